@@ -52,7 +52,8 @@ START_DOCS, SLICE_WORDS = 1200, 400_000
 PRIOR = 200.0
 #: The end token's key: no word is empty.
 END = b""
-_CUT = 16_384
+_SLICE = 16_384
+_CUTS = "slice long, salt long, v binary"
 _U, _D = np.uint64, np.float64
 
 
@@ -151,18 +152,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     own_hashes = np.sort(h[own])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * HASHED)
         for b in batches:
             for hb, cb in zip(b.column("hashes").to_pylist(), b.column("counts").to_pylist()):
                 hh, cc = np.frombuffer(hb, _U), np.frombuffer(cb, np.int64)
                 rest = ~np.isin(hh, own_hashes)
                 k = (hh[rest] % _U(HASHED)).astype(np.int64)
-                t, w = np.bincount(k, cc[rest], HASHED), np.bincount(k, minlength=HASHED)
-                on = np.flatnonzero(w)
-                yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(t[on].astype(np.int64)), pa.array(w[on].astype(np.int64))], ["k", "t", "w"])
+                total += np.concatenate([np.bincount(k, cc[rest], HASHED), np.bincount(k, minlength=HASHED)])
+        yield from _cut(total)
 
-    tokens, words = np.zeros(HASHED), np.zeros(HASHED)
-    for r in counts.select("hashes", "counts").mapInArrow(hashed, "k long, t long, w long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("w").alias("w")).collect():
-        tokens[r["k"]], words[r["k"]] = r["t"], r["w"]
+    both = _add_up(counts.select("hashes", "counts").mapInArrow(hashed, _CUTS))
+    tokens, words = (both[:HASHED], both[HASHED:]) if len(both) else (np.zeros(HASHED), np.zeros(HASHED))
     mass = np.concatenate([np.zeros(OWN), tokens + 1])
     mass[: len(own)] = c[own] + 1
     return Vocabulary(h, c, classes.astype(np.uint16), int(total["n"] or 0), int(total["v"] or 0), tokens, words, mass / mass.sum())
@@ -335,6 +335,13 @@ def first_guess(sampled: list[bytes], unigram: np.ndarray) -> Hmm:
     return Hmm.of(np.concatenate([np.full(STATES, 1.0), move.ravel(), counts.ravel()]), unigram, STATES)
 
 
+def _cut(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A partition's vector in slices."""
+    cuts = [total[i : i + _SLICE].tobytes() for i in range(0, len(total), _SLICE)]
+    salt = TaskContext.get().partitionId() % 16
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int64()), pa.array([salt] * len(cuts), pa.int64()), pa.array(cuts, pa.binary())], ["slice", "salt", "v"])
+
+
 def _add_up(parts: DataFrame) -> np.ndarray:
     """Sum the partitions' vectors: slices of the vector, in 16 groups of partitions, then all."""
 
@@ -360,11 +367,9 @@ def baum_welch(train: DataFrame, model: Hmm, unigram: np.ndarray, rounds: int =
                     got = sent.value.expect(codes, lengths)
                     total = got if total is None else total + got
             if total is not None:
-                cuts = [total[i : i + _CUT].tobytes() for i in range(0, len(total), _CUT)]
-                salt = TaskContext.get().partitionId() % 16
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int64()), pa.array([salt] * len(cuts), pa.int64()), pa.array(cuts, pa.binary())], ["slice", "salt", "v"])
+                yield from _cut(total)
 
-        total = _add_up(train.select("classes").mapInArrow(run, "slice long, salt long, v binary"))
+        total = _add_up(train.select("classes").mapInArrow(run, _CUTS))
         if not len(total):
             break
         model = Hmm.of(total, unigram, STATES)
@@ -397,7 +402,10 @@ def scores(docs: DataFrame) -> DataFrame:
     coded = encode(docs, sent, partitions(spark))
     texts = coded.filter("bucket < 0")
     train = texts.filter(~F.col("held_out"))
-    start = [bytes(r["classes"]) for r in train.orderBy(F.xxhash64("doc_id", "row")).limit(START_DOCS).select("classes").collect()]
+    # rows first, then their classes: START_DOCS rows bound the broadcast and what reaches the driver
+    chosen = train.select("row", F.xxhash64("doc_id", "row").alias("h")).orderBy("h", "row").limit(START_DOCS).select("row")
+    got = train.select("row", "classes").join(F.broadcast(chosen), "row", "left_semi").collect()
+    start = [bytes(r["classes"]) for r in sorted(got, key=lambda r: r["row"])]
     model = baum_welch(train, first_guess(start, voc.unigram), voc.unigram)
     rare = rare_words(coded, counts, sent)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
