@@ -9,18 +9,19 @@ shares at least ceil(n num / den) tokens with any partner. The join goes:
    in `stride`) are counted over the whole corpus in packed buckets; a map task
    counts its own tokens first, so a common token leaves it once. A set with more
    unshared selected tokens than n - ceil(n num / den) has no partner and rests.
-3. Groups. Remaining sets that share a minimum hash are put together, large ones
-   in chunks; a set joins a group if it links with the group's first set. A group
-   keeps its sets and their token union.
+3. Groups. Remaining sets are put together by the smallest hash among their
+   shared selected tokens, large groups in chunks, and compared inside the chunk.
+   Tokens that only one set has play no part, so the variants of a text fall into
+   few groups whether they link or not. A group keeps its sets and their union.
 4. Token-group matrix. Tokens are ordered by the number of groups whose union has
    them, rare first; of each set only the first n - ceil(n num / den) + 1 are
    entered (two linked sets share one of these). Groups in one row of the matrix
    may hold linked sets. Each such pair of groups is bounded by the overlap of
    the unions, then of a set with the other union; only those that qualify are
-   opened, and sets are compared until a first link joins the groups.
+   opened, and sets not yet connected are compared.
    In round one the row's smallest group stands for all; in round two only pairs
-   whose groups are not yet connected are left.
-5. Components of the group links by minimum labels, in staged rounds.
+   whose groups are not yet wholly connected are left.
+5. Components of the links by minimum labels, in staged rounds.
 
 No group of copies is expanded into its pairs. Edge cases: a null or empty text
 has an empty set and links with nothing; a null doc_id takes no part and has a
@@ -42,7 +43,9 @@ from pyspark.sql import functions as F
 from .common import WordHashes, documents, joined, mix, pack, partitions, shingles, slices, stage, words_of
 
 #: Sets in a group at most, tokens a map task counts before it sends them.
-CHUNK, FLUSH = 256, 2_000_000
+CHUNK, FLUSH = 1024, 2_000_000
+#: The place of a set without shared tokens.
+NO_LOW = (1 << 63) - 1
 _U = np.uint64
 
 
@@ -89,10 +92,15 @@ def _selected(s: np.ndarray, stride: int) -> np.ndarray:
     return s[s % _U(stride) == 0]
 
 
+def _place(tokens: np.ndarray) -> np.ndarray:
+    """A scattered non-negative number for each token."""
+    return (mix(tokens ^ _U(0x5851F42D4C957F2D)) >> _U(1)).astype(np.int64)
+
+
 def survey(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Staged rows: for each document row, doc_id, n, key, chosen (selected tokens); and packed tokens by bucket."""
     buckets, stride = partitions(docs.sparkSession), stride_of(num, den)
-    schema = "bucket long, row long, doc_id long, n long, key binary, chosen long, shared long, tokens binary, rows binary"
+    schema = "bucket long, row long, doc_id long, n long, key binary, chosen long, shared long, low long, tokens binary, rows binary"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,10 +113,13 @@ def survey(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             tokens = np.concatenate(chosen) if chosen else np.zeros(0, _U)
             owner = np.repeat(np.arange(len(held)), sizes)
             found, at, count = np.unique(tokens, return_inverse=True, return_counts=True)
-            own = np.bincount(owner, count[at] > 1, len(held)).astype(np.int64)
+            common = count[at] > 1
+            own = np.bincount(owner, common, len(held)).astype(np.int64)
+            low = np.full(len(held), NO_LOW)
+            np.minimum.at(low, owner[common], _place(tokens[common]))
             n = len(held)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([-1] * n, pa.int64()), *[pa.array([h[i] for h in held], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], pa.array(sizes, pa.int64()), pa.array(own), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                [pa.array([-1] * n, pa.int64()), *[pa.array([h[i] for h in held], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], pa.array(sizes, pa.int64()), pa.array(own), pa.array(low), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
                 names,
             )
             if len(found):
@@ -119,7 +130,7 @@ def survey(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 packed = list(pack((mix(found) % _U(buckets)).astype(np.int64), found, rows))
                 k = len(packed)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in packed], pa.int64()), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())], pa.array([p[1] for p in packed], pa.binary()), pa.array([p[2] for p in packed], pa.binary())],
+                    [pa.array([p[0] for p in packed], pa.int64()), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())], pa.array([p[1] for p in packed], pa.binary()), pa.array([p[2] for p in packed], pa.binary())],
                     names,
                 )
             held.clear(), chosen.clear()
@@ -142,33 +153,37 @@ def survey(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def _shared(surveyed: DataFrame) -> DataFrame:
-    """row, found: selected tokens of a row that some row of another flush has too."""
+    """row, found, found_low: selected tokens of a row that some row of another flush has too; their smallest place."""
 
     def by_token(table: pa.Table) -> pa.Table:
         tokens, rows = joined(table.column("tokens"), _U), joined(table.column("rows"), np.int64)
         _, at = np.unique(tokens, return_inverse=True)
         weight = np.bincount(at, np.where(rows < 0, 2, 1))
         hit = rows[(weight[at] > 1) & (rows >= 0)]
-        row, n = np.unique(hit, return_counts=True)
-        packed = list(pack(row >> 40, row, n.astype(np.int64)))
-        return pa.table({"part": pa.array([p[0] for p in packed], pa.int64()), "rows": pa.array([p[1] for p in packed], pa.binary()), "counts": pa.array([p[2] for p in packed], pa.binary())})
+        row, where, n = np.unique(hit, return_inverse=True, return_counts=True)
+        low = np.full(len(row), NO_LOW)
+        np.minimum.at(low, where, _place(tokens[(weight[at] > 1) & (rows >= 0)]))
+        packed = list(pack(row >> 40, row, n.astype(np.int64), low))
+        return pa.table({"part": pa.array([p[0] for p in packed], pa.int64()), **{c: pa.array([p[i] for p in packed], pa.binary()) for i, c in ((1, "rows"), (2, "counts"), (3, "lows"))}})
 
     def by_row(table: pa.Table) -> pa.Table:
         rows, n = joined(table.column("rows"), np.int64), joined(table.column("counts"), np.int64)
         row, at = np.unique(rows, return_inverse=True)
-        return pa.table({"row": row, "found": np.bincount(at, n, len(row)).astype(np.int64)})
+        low = np.full(len(row), NO_LOW)
+        np.minimum.at(low, at, joined(table.column("lows"), np.int64))
+        return pa.table({"row": row, "found": np.bincount(at, n, len(row)).astype(np.int64), "found_low": low})
 
     tokens = surveyed.filter("bucket >= 0").select("bucket", "tokens", "rows")
-    dealt = tokens.groupBy("bucket").applyInArrow(by_token, "part long, rows binary, counts binary")
-    return dealt.groupBy("part").applyInArrow(by_row, "row long, found long")
+    dealt = tokens.groupBy("bucket").applyInArrow(by_token, "part long, rows binary, counts binary, lows binary")
+    return dealt.groupBy("part").applyInArrow(by_row, "row long, found long, found_low long")
 
 
 def classes(surveyed: DataFrame, num: int, den: int) -> DataFrame:
-    """key, label (smallest doc_id), n, hopeful: whether the set may have a partner besides its copies."""
-    rows = surveyed.filter("bucket < 0 AND n > 0 AND doc_id IS NOT NULL").select("row", "doc_id", "n", "key", "chosen", "shared")
+    """key, label (smallest doc_id), n, low, hopeful: whether the set may have a partner besides its copies."""
+    rows = surveyed.filter("bucket < 0 AND n > 0 AND doc_id IS NOT NULL").select("row", "doc_id", "n", "key", "chosen", "shared", "low")
     unshared = F.col("chosen") - F.col("shared") - F.coalesce(F.col("found"), F.lit(0))
     both = rows.join(_shared(surveyed), "row", "left").withColumn("hopeful", unshared <= F.col("n") - least_expr(num, den))
-    return both.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.max("hopeful").alias("hopeful"))
+    return both.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.min(F.least("low", F.coalesce("found_low", "low"))).alias("low"), F.max("hopeful").alias("hopeful"))
 
 
 def least_expr(num: int, den: int):
@@ -177,59 +192,65 @@ def least_expr(num: int, den: int):
 
 
 def sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """Staged key, label, n, tokens, low (minimum hash) for the chosen classes, made anew from the text of their labels."""
+    """Staged key, label, n, tokens, low for the chosen classes, made anew from the text of their labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
             for b in slices(whole):
                 got = _sets(b, hashes, words)
-                low = np.array([mix(s ^ _U(0x5851F42D4C957F2D)).min() if len(s) else 0 for s in got], _U)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_key(s) for s in got], pa.binary()), b.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary()), pa.array(low.view(np.int64))],
-                    ["key", "label", "n", "tokens", "low"],
+                    [pa.array([set_key(s) for s in got], pa.binary()), b.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())],
+                    ["key", "label", "n", "tokens"],
                 )
 
-    labels = chosen.select(F.col("label").alias("doc_id"), F.col("key").alias("wanted"))
+    labels = chosen.select(F.col("label").alias("doc_id"), F.col("key").alias("wanted"), "low")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    made = texts.mapInArrow(run, "key binary, label long, n long, tokens binary, low long")
+    made = texts.mapInArrow(run, "key binary, label long, n long, tokens binary")
     # rows of one doc_id may differ in text: keep the sets that were chosen, once
-    kept = made.join(labels, (F.col("label") == F.col("doc_id")) & (F.col("key") == F.col("wanted")), "left_semi")
+    kept = made.join(labels, (F.col("label") == F.col("doc_id")) & (F.col("key") == F.col("wanted"))).drop("doc_id", "wanted")
     return stage(kept, "jaccard-sets")
 
 
+def _root(parent: dict, x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    return min(len(a), len(b)) * den >= num * max(len(a), len(b)) and links(overlap(a, b), len(a), len(b), num, den)
+
+
 def groups_of(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Staged groups: gid, label, sizes, tokens of all sets, keys, and for each set its label."""
-    schema = "gid long, label long, sizes binary, tokens binary, keys binary"
+    """Staged groups: gid, lo and hi (smallest and largest set), and for each set its size, tokens, key, label and node.
+
+    A node stands for sets of the group that are connected inside it.
+    """
+    schema = "gid long, lo long, hi long, sizes binary, tokens binary, keys binary, labels binary, nodes binary"
 
     def gather(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(table.column("label")), kind="stable")
-        rows = table.take(pa.array(order)).to_pylist()
+        rows = list({r["key"]: r for r in sorted(table.to_pylist(), key=lambda r: (r["label"], r["key"]))}.values())
         arrays = [np.frombuffer(r["tokens"], _U) for r in rows]
-        out: list[list[int]] = []
-        seen: set[bytes] = set()
-        for i, r in enumerate(rows):
-            if r["key"] in seen:
-                continue
-            seen.add(r["key"])
-            for g in out:
-                a, b = arrays[g[0]], arrays[i]
-                if min(len(a), len(b)) * den >= num * max(len(a), len(b)) and links(overlap(a, b), len(a), len(b), num, den):
-                    g.append(i)
-                    break
-            else:
-                out.append([i])
-        gid = [int.from_bytes(rows[g[0]]["key"][:8], "little", signed=True) for g in out]
+        parent = {i: i for i in range(len(rows))}
+        for i in range(len(rows)):
+            for j in range(i):
+                if (ri := _root(parent, i)) != (rj := _root(parent, j)) and _alike(arrays[i], arrays[j], num, den):
+                    parent[max(ri, rj)] = min(ri, rj)
+        ids = [int.from_bytes(r["key"][:8], "little", signed=True) for r in rows]
+        sizes = np.array([len(a) for a in arrays], np.int64)
         return pa.table({
-            "gid": pa.array(gid, pa.int64()), "label": pa.array([min(rows[i]["label"] for i in g) for g in out], pa.int64()),
-            "sizes": pa.array([np.array([len(arrays[i]) for i in g], np.int64).tobytes() for g in out], pa.binary()),
-            "tokens": pa.array([b"".join(rows[i]["tokens"] for i in g) for g in out], pa.binary()),
-            "keys": pa.array([b"".join(rows[i]["key"] for i in g) for g in out], pa.binary()),
+            "gid": pa.array([ids[0]], pa.int64()), "lo": [int(sizes.min())], "hi": [int(sizes.max())], "sizes": [sizes.tobytes()],
+            "tokens": [b"".join(r["tokens"] for r in rows)], "keys": [b"".join(r["key"] for r in rows)],
+            "labels": [np.array([r["label"] for r in rows], np.int64).tobytes()],
+            "nodes": [np.array([ids[_root(parent, i)] for i in range(len(rows))], np.int64).tobytes()],
         })
 
     many = sets.groupBy("low").agg(F.count("*").alias("__n")).filter(F.col("__n") > CHUNK)
     chunks = F.coalesce(F.ceil(F.col("__n") / CHUNK), F.lit(1))
     dealt = sets.join(many, "low", "left").withColumn("chunk", F.pmod(F.xxhash64("label"), chunks)).drop("__n")
+    dealt = dealt.repartition(partitions(sets.sparkSession), "low", "chunk")
     return stage(dealt.groupBy("low", "chunk").applyInArrow(gather, schema), "jaccard-groups")
 
 
@@ -250,7 +271,7 @@ def _entries(s: np.ndarray, stride: int, num: int, den: int) -> np.ndarray:
 
 
 def matrix(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Staged token-group matrix: (token, gid) for the first tokens of the groups' sets that two groups or more have."""
+    """Staged token-group matrix: (token, gid, lo, hi) for the first tokens of the groups' sets that two groups or more have."""
     buckets, stride = partitions(groups.sparkSession), stride_of(num, den)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +298,7 @@ def matrix(groups: DataFrame, num: int, den: int) -> DataFrame:
         g, t, n = joined(right.column("gids"), np.int64), joined(right.column("tokens"), _U), joined(right.column("counts"), np.int64)
         order = np.lexsort((t, g))
         g, t, n = g[order], t[order], n[order]
-        out_t, out_g = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        out_t, out_g, out_lo, out_hi = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for gid, sizes, raw in zip(left.column("gid").to_pylist(), left.column("sizes").to_pylist(), left.column("tokens").to_pylist()):
             low, high = np.searchsorted(g, gid, "left"), np.searchsorted(g, gid, "right")
             shared, count = t[low:high], n[low:high]
@@ -296,7 +317,10 @@ def matrix(groups: DataFrame, num: int, den: int) -> DataFrame:
             got = np.unique(np.concatenate(picked))
             out_t.append(got)
             out_g.append(np.full(len(got), gid, np.int64))
-        return pa.table({"token": np.concatenate(out_t).view(np.int64), "gid": np.concatenate(out_g)})
+            own = np.frombuffer(sizes, np.int64)
+            out_lo.append(np.full(len(got), own.min()))
+            out_hi.append(np.full(len(got), own.max()))
+        return pa.table({"token": np.concatenate(out_t).view(np.int64), "gid": np.concatenate(out_g), "lo": np.concatenate(out_lo), "hi": np.concatenate(out_hi)})
 
     packed = groups.select("gid", "sizes", "tokens").mapInArrow(tokens, "bucket long, tokens binary, gids binary")
     counted = packed.groupBy("bucket").applyInArrow(frequencies, "part long, gids binary, tokens binary, counts binary")
@@ -308,36 +332,41 @@ def matrix(groups: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part), *[b.column(c) for c in ("gid", "sizes", "tokens")]], ["part", "gid", "sizes", "tokens"])
 
     dealt = groups.select("gid", "sizes", "tokens").mapInArrow(part_of, "part long, gid long, sizes binary, tokens binary")
-    return stage(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(first, "token long, gid long"), "jaccard-matrix")
+    return stage(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(first, "token long, gid long, lo long, hi long"), "jaccard-matrix")
 
 
-def _joins(one: tuple[bytes, bytes], two: tuple[bytes, bytes], num: int, den: int) -> bool:
-    """Whether some set of one group links with some set of the other; bounds first."""
-    a, b = _split(*one), _split(*two)
+def _cross(one: dict, two: dict, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between the nodes of two groups, as many as connect them; bounds first."""
+    a, b = _split(one["sizes"], one["tokens"]), _split(two["sizes"], two["tokens"])
     need = least_shared(max(min(map(len, a)), min(map(len, b))), num, den)
     union_a = a[0] if len(a) == 1 else np.unique(np.concatenate(a))
     union_b = b[0] if len(b) == 1 else np.unique(np.concatenate(b))
     if overlap(union_a, union_b) < need:
-        return False
-    others = [y for y in b if overlap(y, union_a) >= least_shared(len(y), num, den)]
-    for x in a:
-        if others and overlap(x, union_b) >= least_shared(len(x), num, den):
-            for y in others:
-                if min(len(x), len(y)) * den >= num * max(len(x), len(y)) and links(overlap(x, y), len(x), len(y), num, den):
-                    return True
-    return False
+        return []
+    node_a, node_b = np.frombuffer(one["nodes"], np.int64).tolist(), np.frombuffer(two["nodes"], np.int64).tolist()
+    open_a = [i for i, x in enumerate(a) if overlap(x, union_b) >= least_shared(len(x), num, den)]
+    open_b = [j for j, y in enumerate(b) if overlap(y, union_a) >= least_shared(len(y), num, den)]
+    parent = {n: n for n in (*node_a, *node_b)}
+    out = []
+    for i in open_a:
+        for j in open_b:
+            u, v = _root(parent, node_a[i]), _root(parent, node_b[j])
+            if u != v and _alike(a[i], b[j], num, den):
+                parent[max(u, v)] = min(u, v)
+                out.append((node_a[i], node_b[j]))
+    return out
 
 
 def opened(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of groups that hold a link."""
+    """Links (a, b) of nodes found in the pairs (a, b) of groups."""
+    fields = ("sizes", "tokens", "nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            hit = [_joins((r["a_sizes"], r["a_tokens"]), (r["b_sizes"], r["b_tokens"]), num, den) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            found = [x for r in b.to_pylist() for x in _cross(*({f: r[f"{c}_{f}"] for f in fields} for c in "ab"), num, den)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    side = lambda c: groups.select(F.col("gid").alias(c), F.col("sizes").alias(f"{c}_sizes"), F.col("tokens").alias(f"{c}_tokens"))
+    side = lambda c: groups.select(F.col("gid").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fields])
     return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
@@ -360,19 +389,37 @@ def components(edges: DataFrame) -> DataFrame:
         both = after
 
 
-def group_links(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """node, root of the connected groups (groups of their own are left out)."""
+def members_of(groups: DataFrame) -> DataFrame:
+    """Staged member (key), label, node, gid of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [raw[i : i + 16] for raw in b.column("keys").to_pylist() for i in range(0, len(raw), 16)]
+            labels, nodes = joined(b.column("labels"), np.int64), joined(b.column("nodes"), np.int64)
+            gids = np.repeat(np.asarray(b.column("gid")), [len(raw) // 16 for raw in b.column("keys").to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(labels), pa.array(nodes), pa.array(gids)], ["member", "label", "node", "gid"])
+
+    return stage(groups.select("keys", "labels", "nodes", "gid").mapInArrow(run, "member binary, label long, node long, gid long"), "jaccard-members")
+
+
+def group_links(groups: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """node, root of the connected nodes (nodes without links are left out)."""
     entries = matrix(groups, num, den)
-    centre = entries.groupBy("token").agg(F.min("gid").alias("a"), F.max("gid").alias("z")).filter("a <> z").select("token", "a")
-    stars = entries.join(centre, "token").filter(F.col("gid") != F.col("a")).select("a", F.col("gid").alias("b")).distinct()
+    fits = (F.col("hi") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo") * num)
+    centre = entries.groupBy("token").agg(F.min(F.struct("gid", "lo", "hi")).alias("c"), F.max("gid").alias("z")).filter("c.gid <> z")
+    centre = centre.select("token", F.col("c.gid").alias("a"), F.col("c.lo").alias("lo2"), F.col("c.hi").alias("hi2"))
+    stars = stage(entries.join(centre, "token").filter(fits & (F.col("gid") != F.col("a"))).select("a", F.col("gid").alias("b")).distinct(), "jaccard-stars")
     found = opened(stars, groups, num, den)
     roots = components(found)
-    rooted = entries.join(roots, F.col("gid") == F.col("node"), "left").select("token", "gid", F.coalesce("root", "gid").alias("root"))
+    # a group whose nodes have one root by now is known by that root, any other by itself
+    by_group = members.select("gid", "node").distinct().join(roots, "node", "left").groupBy("gid").agg(F.min(F.coalesce("root", "node")).alias("x"), F.max(F.coalesce("root", "node")).alias("y"))
+    state = by_group.select(F.col("gid").alias("g"), F.when(F.col("x") == F.col("y"), F.concat(F.lit("r"), "x")).otherwise(F.concat(F.lit("g"), "gid")).alias("root"))
+    rooted = entries.join(state, F.col("gid") == F.col("g")).drop("g")
     mixed = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
     rest = rooted.join(mixed, "token", "left_semi")
-    one, two = rest.select("token", F.col("gid").alias("a"), F.col("root").alias("ra")), rest.select("token", F.col("gid").alias("b"), F.col("root").alias("rb"))
-    pairs = one.join(two, "token").filter("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = opened(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), groups, num, den)
+    two = rest.select("token", F.col("gid").alias("gid2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("root").alias("root2"))
+    pairs = rest.join(two, "token").filter(fits & (F.col("gid") < F.col("gid2")) & (F.col("root") != F.col("root2"))).select(F.col("gid").alias("a"), F.col("gid2").alias("b")).distinct()
+    more = opened(pairs.join(stars, ["a", "b"], "left_anti"), groups, num, den)
     if more.limit(1).count():
         return components(found.union(more))
     return roots
@@ -382,23 +429,12 @@ def duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     surveyed = survey(docs, words, num, den)
     known = stage(classes(surveyed, num, den), "jaccard-classes")
-    sets = sets_of(docs, known.filter("hopeful"), words)
-    groups = groups_of(sets, num, den)
-    roots = group_links(groups, num, den)
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, gids = [], []
-            for gid, raw in zip(b.column("gid").to_pylist(), b.column("keys").to_pylist()):
-                own = [raw[i : i + 16] for i in range(0, len(raw), 16)]
-                keys += own
-                gids += [gid] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(gids, pa.int64())], ["member", "gid"])
-
-    rooted = groups.select("gid", "label").join(roots, F.col("gid") == F.col("node"), "left").select("gid", "label", F.coalesce("root", "gid").alias("root"))
+    groups = groups_of(sets_of(docs, known.filter("hopeful"), words), num, den)
+    members = members_of(groups)
+    roots = group_links(groups, members, num, den).withColumnRenamed("node", "linked")
+    rooted = members.join(roots, F.col("node") == F.col("linked"), "left").select("member", "label", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("label").alias("component"))
-    of_group = rooted.join(smallest, "root").select(F.col("gid").alias("g"), "component")
-    of_set = groups.select("gid", "keys").mapInArrow(members, "member binary, gid long").join(of_group, F.col("gid") == F.col("g")).select("member", "component")
+    of_set = rooted.select("member", "root").join(smallest, "root").select("member", "component")
     of_class = known.select("key", "label").join(of_set, F.col("key") == F.col("member"), "left").select(F.col("key").alias("k"), F.coalesce("component", "label").alias("component"))
     rows = surveyed.filter("bucket < 0").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
     return rows.join(of_class, F.col("key") == F.col("k"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
