@@ -223,6 +223,30 @@ def _alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return min(len(a), len(b)) * den >= num * max(len(a), len(b)) and links(overlap(a, b), len(a), len(b), num, den)
 
 
+def _connected(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """For each set the first set of its component: overlaps with all others from lists of the sets that hold a token."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    label = np.arange(n)
+    owner = np.repeat(label, sizes)
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = owner[np.argsort(token, kind="stable")]
+    starts = np.cumsum(df) - df
+    ends = np.cumsum(sizes)
+    for i in range(1, n):
+        t = token[ends[i] - sizes[i] : ends[i]]
+        t = t[df[t] > 1]
+        if not len(t):
+            continue
+        k = df[t]
+        at = np.repeat(starts[t] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        inter = np.bincount(holders[at], minlength=n)[:i]
+        linked = np.flatnonzero((inter > 0) & (inter * (den + num) >= num * (sizes[i] + sizes[:i])))
+        if len(linked):
+            joined_ = np.unique(np.append(label[linked], label[i]))
+            label[np.isin(label, joined_)] = joined_[0]
+    return label
+
+
 def groups_of(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Staged groups: gid, lo and hi (smallest and largest set), and for each set its size, tokens, key, label and node.
 
@@ -233,18 +257,14 @@ def groups_of(sets: DataFrame, num: int, den: int) -> DataFrame:
     def gather(table: pa.Table) -> pa.Table:
         rows = list({r["key"]: r for r in sorted(table.to_pylist(), key=lambda r: (r["label"], r["key"]))}.values())
         arrays = [np.frombuffer(r["tokens"], _U) for r in rows]
-        parent = {i: i for i in range(len(rows))}
-        for i in range(len(rows)):
-            for j in range(i):
-                if (ri := _root(parent, i)) != (rj := _root(parent, j)) and _alike(arrays[i], arrays[j], num, den):
-                    parent[max(ri, rj)] = min(ri, rj)
+        label = _connected(arrays, num, den)
         ids = [int.from_bytes(r["key"][:8], "little", signed=True) for r in rows]
         sizes = np.array([len(a) for a in arrays], np.int64)
         return pa.table({
             "gid": pa.array([ids[0]], pa.int64()), "lo": [int(sizes.min())], "hi": [int(sizes.max())], "sizes": [sizes.tobytes()],
             "tokens": [b"".join(r["tokens"] for r in rows)], "keys": [b"".join(r["key"] for r in rows)],
             "labels": [np.array([r["label"] for r in rows], np.int64).tobytes()],
-            "nodes": [np.array([ids[_root(parent, i)] for i in range(len(rows))], np.int64).tobytes()],
+            "nodes": [np.array([ids[i] for i in label.tolist()], np.int64).tobytes()],
         })
 
     many = sets.groupBy("low").agg(F.count("*").alias("__n")).filter(F.col("__n") > CHUNK)
