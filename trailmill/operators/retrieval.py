@@ -15,7 +15,11 @@ def tokens(text: Column) -> Column:
 
 def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     """SNK8: token, key and weighted term frequency over the fields."""
-    weighed = F.concat(*[F.transform(tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))), lambda t, w=w: F.struct(t.alias("token"), F.lit(w).alias("w"))) for f, w in fields.items()])
+    def of(field: str, weight: float) -> Column:
+        found = tokens(F.coalesce(F.col(field).cast("string"), F.lit("")))
+        return F.transform(found, lambda token: F.struct(token.alias("token"), F.lit(weight).alias("w")))
+
+    weighed = F.concat(*[of(f, w) for f, w in fields.items()])
     return docs.select(key, F.explode(weighed).alias("p")).groupBy(F.col("p.token").alias("token"), key).agg(F.sum("p.w").alias("tf"))
 
 

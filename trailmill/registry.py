@@ -1,4 +1,5 @@
 """Queries by name with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans.queries import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
