@@ -183,7 +183,7 @@ def classes(surveyed: DataFrame, num: int, den: int) -> DataFrame:
     rows = surveyed.filter("bucket < 0 AND n > 0 AND doc_id IS NOT NULL").select("row", "doc_id", "n", "key", "chosen", "shared", "low")
     unshared = F.col("chosen") - F.col("shared") - F.coalesce(F.col("found"), F.lit(0))
     both = rows.join(_shared(surveyed), "row", "left").withColumn("hopeful", unshared <= F.col("n") - least_expr(num, den))
-    return both.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.min(F.least("low", F.coalesce("found_low", "low"))).alias("low"), F.max("hopeful").alias("hopeful"))
+    return both.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.min(F.least("low", F.coalesce("found_low", "low"))).alias("low"), F.max(F.col("hopeful").cast("int")).alias("hopeful"))
 
 
 def least_expr(num: int, den: int):
@@ -205,11 +205,18 @@ def sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
                 )
 
     labels = chosen.select(F.col("label").alias("doc_id"), F.col("key").alias("wanted"), "low")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels.select("doc_id"), "doc_id", "left_semi")
     made = texts.mapInArrow(run, "key binary, label long, n long, tokens binary")
     # rows of one doc_id may differ in text: keep the sets that were chosen, once
     kept = made.join(labels, (F.col("label") == F.col("doc_id")) & (F.col("key") == F.col("wanted"))).drop("doc_id", "wanted")
-    return stage(kept, "jaccard-sets")
+    # a Bloom filter of bounded size (Spark's limit) over the labels drops other texts before their shuffle
+    conf, name = docs.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = conf.get(name)
+    conf.set(name, "0")
+    try:
+        return stage(kept, "jaccard-sets")
+    finally:
+        conf.set(name, before)
 
 
 def _root(parent: dict, x: int) -> int:
@@ -377,9 +384,46 @@ def _cross(one: dict, two: dict, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def opened(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of nodes found in the pairs (a, b) of groups."""
+def _may_join(one: dict, two: dict, num: int, den: int) -> bool:
+    """Whether the selected tokens alone leave a link of the two groups possible.
+
+    A set of n may miss n - ceil(n num / den) of its tokens in a partner, so it
+    misses no more of its selected ones in the union of the partner's group.
+    """
+    split = lambda g: np.split(np.frombuffer(g["picked"], _U), np.cumsum(np.frombuffer(g["picks"], np.int64))[:-1])
+    a, b = split(one), split(two)
+
+    def some(sets: list[np.ndarray], sizes: bytes, union: np.ndarray) -> bool:
+        return any(len(x) - overlap(x, union) <= n - least_shared(n, num, den) for x, n in zip(sets, np.frombuffer(sizes, np.int64).tolist()))
+
+    return some(a, one["sizes"], np.unique(np.concatenate(b))) and some(b, two["sizes"], np.unique(np.concatenate(a)))
+
+
+def bounded(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of groups that qualify by the overlap of their unions' selected tokens, a fraction of their bytes."""
+    stride = stride_of(num, den)
+    fields = ("sizes", "picks", "picked")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [[_selected(s, stride) for s in _split(n, raw)] for n, raw in zip(b.column("sizes").to_pylist(), b.column("tokens").to_pylist())]
+            picks = [np.array([len(x) for x in g], np.int64).tobytes() for g in own]
+            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("sizes"), pa.array(picks, pa.binary()), pa.array([b"".join(x.tobytes() for x in g) for g in own], pa.binary())], ["gid", *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = [_may_join(*({f: r[f"{c}_{f}"] for f in fields} for c in "ab"), num, den) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    unions = groups.select("gid", "sizes", "tokens").mapInArrow(pick, "gid long, sizes binary, picks binary, picked binary")
+    side = lambda c: unions.select(F.col("gid").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fields])
+    return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "jaccard-bounded")
+
+
+def opened(candidates: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of nodes found in the pairs (a, b) of groups that qualify."""
     fields = ("sizes", "tokens", "nodes")
+    pairs = bounded(candidates, groups, num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -449,7 +493,7 @@ def duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     surveyed = survey(docs, words, num, den)
     known = stage(classes(surveyed, num, den), "jaccard-classes")
-    groups = groups_of(sets_of(docs, known.filter("hopeful"), words), num, den)
+    groups = groups_of(sets_of(docs, known.filter("hopeful > 0"), words), num, den)
     members = members_of(groups)
     roots = group_links(groups, members, num, den).withColumnRenamed("node", "linked")
     rooted = members.join(roots, F.col("node") == F.col("linked"), "left").select("member", "label", F.coalesce("root", "node").alias("root"))
