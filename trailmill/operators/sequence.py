@@ -82,3 +82,15 @@ def suffix_within(df: DataFrame, key: list[str], order: str, size: Column, budge
     w = Window.partitionBy(*key).orderBy(F.col(order).desc())
     tail = df.withColumn("tail_size", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_back", F.row_number().over(w))
     return tail.filter((F.col("tail_size") <= budget) | (F.col("_back") == 1)).drop("_back")
+
+
+def label_ranges(messages: DataFrame, key: str, order: str, role: str, n_tokens: str, trained: str = "assistant") -> DataFrame:
+    """ARR9: start and end token offset of each message in its conversation, and whether its tokens keep labels."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.coalesce(F.col(n_tokens), F.lit(0))).over(w)
+    return messages.withColumn("end", end).withColumn("start", F.col("end") - F.coalesce(F.col(n_tokens), F.lit(0))).withColumn("keeps", F.coalesce(F.col(role) == trained, F.lit(False)))
+
+
+def mask_labels(ids, ranges):
+    """ARR9: the ids inside any (start, end) of ranges, -100 elsewhere."""
+    return F.transform(ids, lambda x, i: F.when(F.exists(ranges, lambda r: (i >= r["start"]) & (i < r["end"])), x).otherwise(F.lit(-100)))

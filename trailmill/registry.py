@@ -1,5 +1,6 @@
 """Queries by name with their SQL."""
 
+from .plans import reviews  # noqa: F401  (registers its queries)
 from .plans.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
