@@ -44,3 +44,26 @@ def open_steps(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """JN15: overlapping spans of one key; an equi-join on the key bounds the range condition."""
     other = spans.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"))
     return spans.join(other, key).filter((F.col(start) < F.col("_e")) & (F.col("_s") < F.col(end)) & (F.col(start) < F.col("_s")))
+
+
+def containing(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str, head: int = 24, chunk: int = 256) -> DataFrame:
+    """FLT5, JN13: key and item_key of documents that contain an item verbatim.
+
+    A document that contains an item contains its first characters at some
+    place: an equi-join on the heads of all places comes before the full
+    comparison. Texts are cut into chunks first, as a substring is found by
+    walking from the start. Items shorter than a head get places of their own
+    length; there are at most head + 1 lengths. Null texts contain nothing.
+    """
+    heads = items.filter(F.col(item).isNotNull()).select(item_key, F.substring(item, 1, head).alias("__head"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("__text"), F.lit(1)), F.lit(chunk))
+    texts = docs.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("__text"))
+    pieces = texts.select(key, F.explode(F.transform(starts, lambda p: F.substring("__text", p, F.lit(chunk + head - 1)))).alias("__piece"))
+    hits = None
+    for (n,) in heads.select(F.length("__head")).distinct().collect():
+        at = F.transform(F.sequence(F.lit(1), F.lit(chunk)), lambda p: F.substring("__piece", p, F.lit(n)))  # noqa: B023
+        found = pieces.select(key, F.explode(at).alias("__head")).join(heads.filter(F.length("__head") == n), "__head").select(key, item_key)
+        hits = found if hits is None else hits.union(found)
+    if hits is None:  # no items
+        return docs.select(key, F.lit(None).cast(items.schema[item_key].dataType).alias(item_key)).limit(0)
+    return hits.distinct().join(docs, key).join(items, item_key).filter(F.contains(text, item)).select(key, item_key).distinct()

@@ -13,26 +13,38 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
 
 
+def _field_tokens(field: str) -> Column:
+    return tokens(F.coalesce(F.col(field).cast("string"), F.lit("")))
+
+
+def _occurrences(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+    """key, token and weight of every token of every field."""
+    out = None
+    for field, weight in fields.items():
+        one = docs.select(key, F.explode(_field_tokens(field)).alias("token")).withColumn("w", F.lit(float(weight)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     """SNK8: token, key and weighted term frequency over the fields."""
-    def of(field: str, weight: float) -> Column:
-        found = tokens(F.coalesce(F.col(field).cast("string"), F.lit("")))
-        return F.transform(found, lambda token: F.struct(token.alias("token"), F.lit(weight).alias("w")))
-
-    weighed = F.concat(*[of(f, w) for f, w in fields.items()])
-    return docs.select(key, F.explode(weighed).alias("p")).groupBy(F.col("p.token").alias("token"), key).agg(F.sum("p.w").alias("tf"))
+    return _occurrences(docs, key, fields).groupBy("token", key).agg(F.sum("w").alias("tf"))
 
 
-def bm25(index: DataFrame, key: str, queries: DataFrame, query_key: str, text: str, k: int) -> DataFrame:
+def bm25(docs: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, query_key: str, text: str, k: int) -> DataFrame:
     """RET1, JN11, SRT1: query, key, score and rank of the k best by (score, key).
 
-    Corpus sizes come from the postings; documents without tokens are no rows
-    there. Only tokens that queries have reach the scoring join.
+    Lengths are counted without exploding the texts, and only tokens that
+    queries have are counted and shuffled. Documents without tokens are no part
+    of the corpus.
     """
-    lengths = index.groupBy(key).agg(F.sum("tf").alias("dl"))
+    weighted = sum((F.size(_field_tokens(f)) * F.lit(float(w)) for f, w in fields.items()), F.lit(0.0))
+    lengths = docs.select(key, weighted.alias("dl")).groupBy(key).agg(F.sum("dl").alias("dl")).filter("dl > 0")
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"))
-    frequency = index.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).distinct()
+    wanted = asked.select("token").distinct()
+    index = _occurrences(docs, key, fields).join(wanted, "token", "left_semi").groupBy("token", key).agg(F.sum("w").alias("tf"))
+    frequency = index.groupBy("token").agg(F.count("*").alias("df"))
     hits = asked.join(frequency, "token").join(index, "token").join(lengths, key).join(F.broadcast(corpus))  # corpus: one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..operators import checks, grpo, panels, retrieval, sampling, sequence
+from ..sources.files import spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -91,17 +92,9 @@ def exact_text_dedup(spark, sf_dir):
 
 @query("SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def containment_guard(spark, sf_dir):
-    """FLT5, JN13: documents that contain an item verbatim.
-
-    A document that contains an item contains its first 24 characters at some
-    place, so items are found by an equi-join on such prefixes of the text's
-    places, for first words that begin an item, before the full comparison.
-    """
-    items = t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")).withColumn("head", F.substring("item", 1, 24))
-    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
-    places = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1)))).alias("p")).select("doc_id", F.substring("text", F.col("p"), F.lit(24)).alias("head"))
-    hits = places.join(items.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
-    return hits.join(docs, "doc_id").join(items, "item_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
+    """FLT5, JN13: documents that contain an item verbatim."""
+    items = t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    return checks.containing(spread(t(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", items, "item_id", "item")
 
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE sha256(b.text) = sha256(d.text))")
@@ -492,8 +485,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 
 
 def _ranked(spark, sf_dir, k: int) -> DataFrame:
-    index = retrieval.postings(t(spark, sf_dir, "documents"), "doc_id", {"text": 1.0})
-    return retrieval.bm25(index, "doc_id", t(spark, sf_dir, "benchmark"), "item_id", "text", k)
+    return retrieval.bm25(spread(t(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", {"text": 1.0}, t(spark, sf_dir, "benchmark"), "item_id", "text", k)
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 4) AS score, rank::BIGINT AS rank FROM r WHERE rank <= 20")

@@ -84,3 +84,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 def pending(expected: DataFrame, done: DataFrame, key: list[str], valid: Column) -> DataFrame:
     """STM7, JN19, SRC12: expected keys without a valid attempt so far."""
     return expected.join(done.filter(valid).select(*key).distinct(), key, "left_anti")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores when its files make fewer partitions than that; tables of many files pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
