@@ -34,9 +34,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trailmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs, which it does once the driver's JVM drops their references."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete the files of a staged table that no later step reads."""
     spark = df.sparkSession
