@@ -35,12 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, joined, mix, pack, partitions, shingles, slices, stage, words_of
+from .common import WordHashes, documents, drop_stage, joined, mix, pack, partitions, shingles, slices, stage, words_of
 
 #: Sets in a group at most, tokens a map task counts before it sends them.
 CHUNK, FLUSH = 1024, 2_000_000
@@ -199,16 +200,23 @@ def sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
         for whole in batches:
             for b in slices(whole):
                 got = _sets(b, hashes, words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_key(s) for s in got], pa.binary()), b.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())],
-                    ["key", "label", "n", "tokens"],
-                )
+                out = [pa.array([set_key(s) for s in got], pa.binary()), b.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())]
+                made = pa.RecordBatch.from_arrays([*out, b.column("low")], ["key", "label", "n", "tokens", "low"])
+                # a row whose class is known by now: other texts of its doc_id go
+                yield made.filter(pc.or_kleene(pc.is_null(b.column("wanted")), pc.equal(out[0], b.column("wanted"))))
 
+    schema = "key binary, label long, n long, tokens binary, low long"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = chosen.select(F.col("label").alias("doc_id"), F.col("key").alias("wanted"), "low")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels.select("doc_id"), "doc_id", "left_semi")
-    made = texts.mapInArrow(run, "key binary, label long, n long, tokens binary")
-    # rows of one doc_id may differ in text: keep the sets that were chosen, once
-    kept = made.join(labels, (F.col("label") == F.col("doc_id")) & (F.col("key") == F.col("wanted"))).drop("doc_id", "wanted")
+    # the smallest doc_id of several classes (its rows differ in text): its sets are found by their keys
+    several = labels.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    odd = several.limit(1).count() > 0
+    kept = texts.join(labels.join(several, "doc_id", "left_anti") if odd else labels, "doc_id").select("doc_id", "text", "wanted", "low").mapInArrow(run, schema)
+    if odd:
+        some = texts.join(several, "doc_id", "left_semi").select("doc_id", "text", F.lit(None).cast("binary").alias("wanted"), F.lit(NO_LOW).alias("low"))
+        wanted = labels.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("d"), "wanted", F.col("low").alias("l"))
+        found = some.mapInArrow(run, schema).join(wanted, (F.col("label") == F.col("d")) & (F.col("key") == F.col("wanted")))
+        kept = kept.union(found.select("key", "label", "n", "tokens", F.col("l").alias("low")))
     # a Bloom filter of bounded size (Spark's limit) over the labels drops other texts before their shuffle
     conf, name = docs.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
     before = conf.get(name)
@@ -326,12 +334,11 @@ def matrix(groups: DataFrame, num: int, den: int) -> DataFrame:
         order = np.lexsort((t, g))
         g, t, n = g[order], t[order], n[order]
         out_t, out_g, out_lo, out_hi = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for gid, sizes, raw in zip(left.column("gid").to_pylist(), left.column("sizes").to_pylist(), left.column("tokens").to_pylist()):
+        for gid, sizes, picks, raw in zip(*(left.column(c).to_pylist() for c in ("gid", "sizes", "picks", "entries"))):
             low, high = np.searchsorted(g, gid, "left"), np.searchsorted(g, gid, "right")
             shared, count = t[low:high], n[low:high]
             picked = []
-            for s in _split(sizes, raw):
-                e = _entries(s, stride, num, den)
+            for size, e in zip(np.frombuffer(sizes, np.int64).tolist(), _split(picks, raw)):
                 seen = np.ones(len(e), np.int64)
                 if len(shared):
                     at = np.minimum(np.searchsorted(shared, e), len(shared) - 1)
@@ -339,7 +346,7 @@ def matrix(groups: DataFrame, num: int, den: int) -> DataFrame:
                     seen[same] = count[at[same]]
                 # selected tokens by frequency, then the others by hash; the same order for all sets
                 other = e % _U(stride) != 0
-                rank = np.lexsort((mix(e), np.where(other, 0, seen), other))[: len(s) - least_shared(len(s), num, den) + 1]
+                rank = np.lexsort((mix(e), np.where(other, 0, seen), other))[: size - least_shared(size, num, den) + 1]
                 picked.append(e[rank][seen[rank] > 1])
             got = np.unique(np.concatenate(picked))
             out_t.append(got)
@@ -356,9 +363,15 @@ def matrix(groups: DataFrame, num: int, den: int) -> DataFrame:
         for b in batches:
             g = np.asarray(b.column("gid"))
             part = (mix(g.view(_U).copy()) % _U(buckets)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(part), *[b.column(c) for c in ("gid", "sizes", "tokens")]], ["part", "gid", "sizes", "tokens"])
+            own = [[_entries(s, stride, num, den) for s in _split(n, raw)] for n, raw in zip(b.column("sizes").to_pylist(), b.column("tokens").to_pylist())]
+            picks = [np.array([len(e) for e in x], np.int64).tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part), b.column("gid"), b.column("sizes"), pa.array(picks, pa.binary()), pa.array([b"".join(e.tobytes() for e in x) for x in own], pa.binary())],
+                ["part", "gid", "sizes", "picks", "entries"],
+            )
 
-    dealt = groups.select("gid", "sizes", "tokens").mapInArrow(part_of, "part long, gid long, sizes binary, tokens binary")
+    # the rank needs a set's entries and size alone, a quarter of its tokens
+    dealt = groups.select("gid", "sizes", "tokens").mapInArrow(part_of, "part long, gid long, sizes binary, picks binary, entries binary")
     return stage(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(first, "token long, gid long, lo long, hi long"), "jaccard-matrix")
 
 
@@ -484,6 +497,8 @@ def group_links(groups: DataFrame, members: DataFrame, num: int, den: int) -> Da
     two = rest.select("token", F.col("gid").alias("gid2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("root").alias("root2"))
     pairs = rest.join(two, "token").filter(fits & (F.col("gid") < F.col("gid2")) & (F.col("root") != F.col("root2"))).select(F.col("gid").alias("a"), F.col("gid2").alias("b")).distinct()
     more = opened(pairs.join(stars, ["a", "b"], "left_anti"), groups, num, den)
+    drop_stage(entries)
+    drop_stage(stars)
     if more.limit(1).count():
         return components(found.union(more))
     return roots
@@ -493,14 +508,19 @@ def duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     surveyed = survey(docs, words, num, den)
     known = stage(classes(surveyed, num, den), "jaccard-classes")
-    groups = groups_of(sets_of(docs, known.filter("hopeful > 0"), words), num, den)
+    rows = stage(surveyed.filter("bucket < 0").select("doc_id", "n", "key"), "jaccard-rows")
+    drop_stage(surveyed)
+    sets = sets_of(docs, known.filter("hopeful > 0"), words)
+    groups = groups_of(sets, num, den)
+    drop_stage(sets)
     members = members_of(groups)
     roots = group_links(groups, members, num, den).withColumnRenamed("node", "linked")
+    drop_stage(groups)
     rooted = members.join(roots, F.col("node") == F.col("linked"), "left").select("member", "label", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("label").alias("component"))
     of_set = rooted.select("member", "root").join(smallest, "root").select("member", "component")
     of_class = known.select("key", "label").join(of_set, F.col("key") == F.col("member"), "left").select(F.col("key").alias("k"), F.coalesce("component", "label").alias("component"))
-    rows = surveyed.filter("bucket < 0").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
     return rows.join(of_class, F.col("key") == F.col("k"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
