@@ -213,6 +213,21 @@ def test_toxicity_and_quality(spark, docs, labels, nothing):
         assert module.score(nothing, module.train(nothing, labels)).count() == 0
 
 
+def test_toxic_words_of_a_small_share():
+    rng = random.Random(8)
+    fill = lambda k: [f"{k}{rng.randrange(10**6):06d}".encode() for _ in range(40)]
+    rare = [[*fill("r"), b"zorrupt" + b"abcdefgh"[i : i + 1], *fill("r")] for i in range(8)]
+    common = [[*fill("c"), rng.choice([b"moron", b"idiot"]), *fill("c")] for _ in range(392)]
+    clean = [fill(k) + fill(k) for k in ["r"] * 48 + ["c"] * 352]
+    words = rare + common + clean
+    labels = toxicity._token_labels(words, np.array([1.0] * 400 + [0.0] * 400))
+    flat = [w for ws in words for w in ws]
+    marked = [w for w, x in zip(flat, labels) if x]
+    assert sum(w.startswith(b"zorrupt") for w in marked) == 8  # 2 % of the toxic documents
+    assert sum(w in (b"moron", b"idiot") for w in marked) == 392 and len(marked) == 400
+    assert not toxicity._token_labels(words[:400], np.ones(400)).any()
+
+
 def test_quality_accuracy(spark):
     rng = random.Random(3)
     good = lambda: "\n".join(" ".join(rng.choice(["the", "stone", "walks", "over", "green", "hills,"]) for _ in range(12)) + "." for _ in range(4))
