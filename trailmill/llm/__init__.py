@@ -2,29 +2,20 @@
 
 ``queries()`` and ``oracle_sql()`` gather what the modules register; nothing
 outside this package imports it except the entry point, which does so behind a
-guard.
+guard. The modules are imported here, so that a package that is missing shows
+at import, where that guard is.
 """
 
 from __future__ import annotations
 
+from . import flac, hmm, jaccard, mixing, pieces, pii, quality, tokenfile, topk, toxicity
 
-def _modules():
-    from . import (
-        flac, hmm, jaccard, mixing, pieces, pii, quality, tokenfile, topk, toxicity,
-    )
-
-    return [topk, jaccard, flac, mixing, hmm, toxicity, pieces, quality, tokenfile, pii]
+MODULES = (topk, jaccard, flac, mixing, hmm, toxicity, pieces, quality, tokenfile, pii)
 
 
 def queries() -> dict:
-    out: dict = {}
-    for m in _modules():
-        out |= m.QUERIES
-    return out
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for m in _modules():
-        out |= m.ORACLE
-    return out
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

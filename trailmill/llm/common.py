@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,35 +15,58 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text a Python worker works on at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text a Python worker works on at once, bytes of a batch sent to it while a table is staged.
+SLICE_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
+#: Bytes that what a worker remembers (words, paths, steps) may take, over all its caches of one operator.
+CACHE_BYTES = 32 << 20
+#: Bytes of text that one bucket of a hash-dealt step answers for.
+BUCKET_BYTES = 128 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a local session without one gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trailmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the length of a block; what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: While a table is staged: Spark deletes the query's shuffle files when it ends, and Python gets batches of bounded bytes.
+STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/trailmill/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trailmill/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    release(spark)
+    path = stage_path(spark, name)
+    with settings(spark, STAGING):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs, which it does once the driver's JVM drops their references."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_stage(df: DataFrame) -> None:
     """Delete the files of a staged table that no later step reads."""
     spark = df.sparkSession
@@ -57,10 +81,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partitions(spark: SparkSession) -> int:
-    """Buckets of a hash-dealt step: as many as the session's shuffles have."""
+    """Tasks of a step that is dealt by key or range: as many as the session's shuffles have."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets_for(docs: DataFrame, text: str = "text") -> int:
+    """Buckets of a step that loads a bucket whole: by counted bytes of text, as many as shuffles have at least."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-int(total) // BUCKET_BYTES))
+
+
+def room(entry_bytes: int, share: float = 1.0) -> int:
+    """Entries of about so many bytes that a cache with this share of CACHE_BYTES may hold."""
+    return max(1, int(CACHE_BYTES * share / entry_bytes))
+
+
 def crc_mod(column: str, modulus: int):
     """crc32(id as text) modulo a number; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -69,8 +104,11 @@ def crc_mod(column: str, modulus: int):
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered for as long as a task keeps the object."""
 
+    #: A word, its number and their place take about 170 bytes.
+    MOST = room(170)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) >= self.MOST:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
