@@ -13,11 +13,16 @@ of at most k rows for each query meet in one ranking.
 The stated queries are sent to every shard in batches of bounded size; no other
 pair of rows is formed.
 
+Before the search, a batch of queries meets one shard of its own; the k-th score
+there is a floor for the whole search, so the other shards open only blocks whose
+bound reaches it. A shard's index is read once and all batches stream past it.
+
 Edge cases: vectors that are null, hold a null or a non-finite component take no
-part, nor do rows with a null id or a component beyond 2**19 (scores stay exact);
-a shorter vector counts as padded with zeros; repeated equal rows count once; of
-different vectors with one id the first in order asks, and all can be found, but
-never by their own id.
+part, nor do rows with a null id; a shorter vector counts as padded with zeros;
+repeated equal rows count once; of different vectors with one id the first in
+order asks, and all can be found, but never by their own id. Scores are exact
+whatever the size of the components; one that a long cannot hold raises
+OverflowError, as does a component beyond a long.
 """
 
 from __future__ import annotations
@@ -29,18 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: Vectors in a shard, in a block, and queries in a batch.
 SHARD, BLOCK, BATCH = 8192, 64, 1024
-SCALE, LARGEST = 256, 1 << 19
+SCALE = 256
 _NONE = np.iinfo(np.int64).min // 2
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id and v, floor(256 * x) of each component, of the rows that take part."""
     x = F.col(vector_col)
-    fits = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) <= F.lit(float(LARGEST))))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x).filter(F.col("id").isNotNull() & x.isNotNull() & F.coalesce(fits, F.lit(False)))
-    return rows.select("id", F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("int")).alias("v"))
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x).filter(F.col("id").isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False)))
+    scaled = lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double"))
+    beyond = lambda c: F.abs(c.cast("double")) >= F.lit(2.0**63 / SCALE)
+    return rows.select("id", F.transform(x, lambda c: F.when(beyond(c), F.raise_error(F.lit("a component beyond a long")).cast("long")).otherwise(scaled(c))).alias("v"))
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +57,10 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     column = table.column("v").combine_chunks()
     ids = np.asarray(table.column("id"))
     sizes = np.asarray(column.value_lengths())
-    x = np.zeros((len(ids), int(sizes.max()) if len(sizes) else 0), np.int32)
-    x[np.arange(x.shape[1]) < sizes[:, None]] = np.asarray(column.flatten())
+    values = np.asarray(column.flatten())
+    small = not len(values) or (values.min() >= -(1 << 31) and values.max() < 1 << 31)
+    x = np.zeros((len(ids), int(sizes.max()) if len(sizes) else 0), np.int32 if small else np.int64)
+    x[np.arange(x.shape[1]) < sizes[:, None]] = values
     order = np.lexsort((*x.T[::-1], ids))
     ids, x = ids[order], x[order]
     fresh = np.ones(len(ids), bool)
@@ -82,22 +93,29 @@ class Index:
         self.high = np.maximum.reduceat(self.x, starts, axis=0) if len(ids) else self.x
         self.low = np.minimum.reduceat(self.x, starts, axis=0) if len(ids) else self.x
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Scores and ids (queries x k, the score _NONE where there are fewer), and blocks opened."""
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Scores and ids (queries x k, the score _NONE where there are fewer), and blocks opened.
+
+        floor: for each query a score that k vectors are known to reach; what is below it may be left out.
+        """
         d = max(self.x.shape[1], q.shape[1])
         pad = lambda m: np.pad(m, ((0, 0), (0, d - m.shape[1])))
         q, x, high, low = pad(q), pad(self.x), pad(self.high), pad(self.low)
-        top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(d, 1)
-        kind = np.float64 if top < 2**53 else np.int64
+        top = max((abs(int(m)) for m in (q.min(initial=0), q.max(initial=0))), default=0) * max((abs(int(m)) for m in (x.min(initial=0), x.max(initial=0))), default=0) * max(d, 1)
+        # products that a double, or else a long, holds exactly; Python's numbers beyond
+        kind = np.float64 if top < 1 << 53 else np.int64 if top < 1 << 62 else object
         q, x, high, low = (m.astype(kind) for m in (q, x, high, low))
         score = np.full((len(q), k), _NONE, np.int64)
         found = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
-        bound = (np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T).astype(np.int64)
+        floor = np.full(len(q), _NONE, np.int64) if floor is None else floor
+        bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        # a bound may exceed a long where the scores do not
+        bound = np.clip(bound, -(1 << 62), 1 << 62).astype(np.int64)
         order = np.argsort(-bound, axis=1, kind="stable")
         live, opened = np.arange(len(q)), 0
         for step in range(bound.shape[1]):
             at = order[live, step]
-            open_ = bound[live, at] >= score[live, k - 1]
+            open_ = bound[live, at] >= np.maximum(score[live, k - 1], floor[live])
             live, at = live[open_], at[open_]
             if not len(live):
                 break
@@ -106,7 +124,10 @@ class Index:
             for part in np.split(by_block, np.flatnonzero(np.diff(at[by_block])) + 1):
                 rows, b = live[part], int(at[part[0]])
                 span = slice(b * self.block, (b + 1) * self.block)
-                s = (q[rows] @ x[span].T).astype(np.int64)
+                s = q[rows] @ x[span].T
+                if kind is object and s.size and max(abs(int(s.min())), abs(int(s.max()))) >= 1 << 62:
+                    raise OverflowError("a score does not fit in a long")
+                s = s.astype(np.int64)
                 ids = np.broadcast_to(self.ids[span], s.shape)
                 s = np.where(ids == query_ids[rows][:, None], _NONE, s)
                 hit = s.max(axis=1) >= score[rows, k - 1]
@@ -119,45 +140,73 @@ class Index:
         return score, found, opened
 
 
-def _packed(df: DataFrame, key: str) -> DataFrame:
-    """A row for each value of key: its ids and vectors as bytes."""
+def _packed(df: DataFrame, key: str, floors: bool = False) -> DataFrame:
+    """A row for each value of key: its ids and vectors as bytes, and floors where there are any."""
 
     def pack(table: pa.Table) -> pa.Table:
         ids, x = _matrix(table)
-        return pa.table({key: [table.column(key)[0].as_py()], f"{key}_ids": [ids.tobytes()], f"{key}_width": [x.shape[1]], f"{key}_x": [x.tobytes()]})
+        if floors:  # one vector of an id asks
+            first = np.concatenate([[True], ids[1:] != ids[:-1]])
+            ids, x = ids[first], x[first]
+            by_id = dict(zip(table.column("id").to_pylist(), table.column("floor").to_pylist()))
+            floor = np.array([by_id[i] for i in ids.tolist()], np.int64).tobytes()
+        else:
+            floor = b""
+        return pa.table({key: [table.column(key)[0].as_py()], "ids": [ids.tobytes()], "wide": [x.dtype == np.int64], "x": [x.tobytes()], "floors": [floor]})
 
-    return df.groupBy(key).applyInArrow(pack, f"{key} long, {key}_ids binary, {key}_width long, {key}_x binary")
+    return df.groupBy(key).applyInArrow(pack, f"{key} long, ids binary, wide boolean, x binary, floors binary")
 
 
-def _unpacked(ids: bytes, width: int, x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(x, np.int32).reshape(len(ids), width)
+def _unpacked(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(r["ids"], np.int64)
+    return ids, np.frombuffer(r["x"], np.int64 if r["wide"] else np.int32).reshape(len(ids), -1)
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score from tables of (id, v)."""
-    shards = max(1, -(-candidates.count() // SHARD))
-    batches = max(1, -(-queries.count() // BATCH))
-    index = _packed(candidates.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))), "shard")
-    asked = _packed(queries.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))), "batch")
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(index, "shard")
+def _searched(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: of each (shard, batch) row of asked the best k of that shard.
+
+    A shard's index comes first in its task, then its batches one after the other.
+    """
 
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, Index] | None = None
+        shard, held = None, None
         for chunk in chunks:
             for r in chunk.to_pylist():
-                if held is None or held[0] != r["shard"]:
-                    held = (r["shard"], Index(*_unpacked(r["shard_ids"], r["shard_width"], r["shard_x"])))
-                ids, q = _unpacked(r["batch_ids"], r["batch_width"], r["batch_x"])
-                first = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
-                ids, q = ids[first], q[first]
-                score, found, _ = held[1].search(ids, q, k)
+                if r["batch"] < 0:
+                    shard, held = r["shard"], Index(*_unpacked(r))
+                    continue
+                if r["shard"] != shard:
+                    continue  # a shard without vectors
+                ids, q = _unpacked(r)
+                score, found, _ = held.search(ids, q, k, np.frombuffer(r["floors"], np.int64))
                 real = score != _NONE
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[real]), pa.array(found[real]), pa.array(score[real])], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    columns = ["shard", "batch", "ids", "wide", "x", "floors"]
+    rows = index.withColumn("batch", F.lit(-1).cast("long")).select(*columns).unionByName(asked.select(*columns))
+    return rows.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score from tables of (id, v)."""
+    shards = max(1, -(-candidates.count() // SHARD))
+    batches = max(1, -(-queries.count() // BATCH))
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards))
+    index = stage(_packed(candidates.withColumn("shard", shard), "shard"), "topk-index")
+    dealt = queries.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    none = F.lit(_NONE)
+    if shards > 1:
+        # a batch against the shard of its own number; a whole k found there is a floor for the search
+        first = _packed(dealt.withColumn("floor", none), "batch", True).withColumn("shard", F.pmod("batch", F.lit(shards)))
+        floors = ranked(_searched(index, first, k)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        dealt = dealt.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", none))
+    else:
+        dealt = dealt.withColumn("floor", none)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    asked = stage(_packed(dealt, "batch", True), "topk-queries").withColumn("shard", every)
+    return ranked(_searched(index, asked, k)).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,11 +215,13 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = """
-WITH v AS (
-  SELECT vec_id, [floor(256.0 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+WITH w AS (
+  SELECT DISTINCT vec_id, [floor(256.0 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+v AS (SELECT vec_id, list_resize(e, (SELECT max(len(e)) FROM w), 0.0) AS e,
+  row_number() OVER (PARTITION BY vec_id ORDER BY e) AS n FROM w),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0 AND q.n = 1),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
