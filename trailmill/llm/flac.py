@@ -8,8 +8,11 @@ is decoded without those before it.
 
 Python walks over frames only; samples are worked on by numpy, one sample of all
 frames of a slice at a time, so the cost for a sample does not grow with the
-length of a text. Documents are independent: there is no shuffle, and memory is
-bounded by a slice of rows (one row at least).
+length of a text. Documents are independent: there is no shuffle. The stored
+streams are decoded into a table of PCM blocks, a frame each with its sample
+offset; the query's columns are computed from these blocks as they pass, in the
+order of their documents and offsets, so no step but the encoder holds a whole
+text. seek() gives the blocks of a range of samples without decoding the others.
 
 Edge cases: a null or empty text is padded to 576 bytes of 255; a null doc_id
 stays null; equal texts give equal bytes; clashing extra columns are cut first.
@@ -26,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -430,16 +434,21 @@ def decode_many(streams: list[bytes]) -> list[bytes]:
     return out
 
 
-def read_at(data: bytes, sample: int, count: int) -> bytes:
-    """count payload bytes from a sample offset, decoding just the frames that hold them."""
+def frames_at(data: bytes, first: int, count: int | None = None) -> list[tuple[int, bytes]]:
+    """(sample offset, payload bytes) of the frames that hold one of count samples from first on; no other is decoded."""
     s = open_stream(data)
-    places = _places(s)
-    hit = [i for i, (first, _, n) in enumerate(s.points) if first < sample + count and first + n > sample]
+    places, end = _places(s), s.samples if count is None else first + count
+    hit = [i for i, (at, _, n) in enumerate(s.points) if at < end and at + n > first]
     if not hit:
-        return b""
-    got = np.concatenate(decode_frames(data, [places[i] for i in hit])).astype(np.int8).view(np.uint8) ^ 0x80
-    at = sample - s.points[hit[0]][0]
-    return got[at : at + count].tobytes()
+        return []
+    frames = decode_frames(data, [places[i] for i in hit])
+    return [(s.points[i][0], (f.astype(np.int8).view(np.uint8) ^ 0x80).tobytes()) for i, f in zip(hit, frames)]
+
+
+def read_at(data: bytes, sample: int, count: int) -> bytes:
+    """count payload bytes from a sample offset."""
+    got = frames_at(data, sample, count)
+    return b"".join(pcm for _, pcm in got)[sample - got[0][0] :][:count] if got else b""
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -449,10 +458,35 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\xff" * (padded - len(raw))
 
 
+class Described:
+    """Digests and integers that describe a payload whose blocks come in order."""
+
+    def __init__(self) -> None:
+        self.sha, self.tail, self.size = hashlib.sha256(), b"", 0
+        self.sum = self.energy = self.crossings = self.peak = 0
+        self.below: bool | None = None
+
+    def add(self, pcm: bytes) -> None:
+        x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
+        low = x < 0
+        self.sha.update(pcm)
+        self.tail = (self.tail + pcm)[-32:]
+        self.size += len(pcm)
+        self.sum += int(x.sum())
+        self.energy += int((x * x).sum())
+        self.crossings += int((low[1:] != low[:-1]).sum()) + (self.below is not None and self.below != bool(low[0]))
+        self.peak = max(self.peak, int(np.abs(x).max()))
+        self.below = bool(low[-1])
+
+    def feature(self) -> str:
+        return f"n={self.size};sum={self.sum};energy={self.energy};crossings={self.crossings};peak={self.peak}"
+
+
 def feature(payload: bytes) -> str:
     """Integers that describe the sound: samples, sum, energy, sign changes, peak."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    return f"n={len(x)};sum={int(x.sum())};energy={int((x * x).sum())};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};peak={int(np.abs(x).max())}"
+    d = Described()
+    d.add(payload)
+    return d.feature()
 
 
 def media(docs: DataFrame) -> DataFrame:
@@ -467,39 +501,79 @@ def media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(stored: DataFrame) -> DataFrame:
-    """PCM blocks of a table of streams: doc_id, sample_offset, pcm (unsigned 8-bit), in seekable pieces of a frame."""
+BLOCKS = "row long, doc_id long, n_bytes long, samples long, media_bytes long, media_sha256 string, sample_offset long, pcm binary"
+
+
+def pcm_blocks(stored: DataFrame, first: int = 0, count: int | None = None) -> DataFrame:
+    """PCM blocks (unsigned 8-bit) of a table of streams, a frame each with its sample offset, in order within a task.
+
+    row numbers the streams; with first and count only frames that hold one of these samples are decoded.
+    """
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for b in slices(whole, "media"):
-                ids, at, pcm = [], [], []
-                for doc, payload in zip(b.column("doc_id").to_pylist(), decode_many(b.column("media").to_pylist())):
-                    for o in range(0, len(payload), BLOCK):
-                        ids.append(doc)
-                        at.append(o)
-                        pcm.append(payload[o : o + BLOCK])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(pcm, pa.binary())], ["doc_id", "sample_offset", "pcm"])
+                rows = []
+                streams = b.column("media").to_pylist()
+                if first == 0 and count is None:
+                    decoded = [[(at, p[at : at + BLOCK]) for at in range(0, len(p), BLOCK)] for p in decode_many(streams)]
+                else:
+                    decoded = [frames_at(s, first, count) for s in streams]
+                for doc, n, s, blocks in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), streams, decoded):
+                    info = (row, doc, n, open_stream(s).samples, len(s), hashlib.sha256(s).hexdigest())
+                    rows += [(*info, at, pcm) for at, pcm in blocks]
+                    row += 1
+                columns = list(zip(*rows)) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*(pa.int64(),) * 5, pa.string(), pa.int64(), pa.binary()))], names)
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, BLOCKS)
+
 
-    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
+def seek(stored: DataFrame, first: int, count: int) -> DataFrame:
+    """doc_id, sample_offset, pcm: the samples [first, first + count) of every stream, cut from the blocks that hold them."""
+    blocks = pcm_blocks(stored, first, count)
+    skip = F.greatest(F.lit(first) - F.col("sample_offset"), F.lit(0))
+    take = F.least(F.lit(first + count) - F.col("sample_offset"), F.octet_length("pcm").cast("long")) - skip
+    return blocks.select("doc_id", (F.col("sample_offset") + skip).alias("sample_offset"), F.expr("pcm").substr((skip + 1).cast("int"), take.cast("int")).alias("pcm"))
 
 
 def digest(stored: DataFrame) -> DataFrame:
-    """Read the stored streams back and describe them."""
+    """The stored streams read back as PCM blocks, and each payload described from its blocks."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "media"):
-                streams = b.column("media").to_pylist()
-                rows = []
-                for doc, n, s, p in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), streams, decode_many(streams)):
-                    rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature(p)))
-                frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-    return stored.mapInArrow(run, schema)
+        held: tuple | None = None
+        made = Described()
+
+        def ended() -> tuple:
+            _, doc, n, samples, media_bytes, media_sha = held
+            if made.size != samples:
+                raise FlacError("blocks are missing")
+            return doc, n, made.size, made.sha.hexdigest(), zlib.crc32(made.tail), media_bytes, media_sha, made.feature()
+
+        def frame(rows: list[tuple]) -> pa.RecordBatch:
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            return pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+        for b in batches:
+            rows = []
+            for *info, at, pcm in zip(*(c.to_pylist() for c in b.columns)):
+                if held is None or info[0] != held[0]:
+                    if held is not None:
+                        rows.append(ended())
+                    held, made = tuple(info), Described()
+                if at != made.size:
+                    raise FlacError("blocks are not in order")
+                made.add(pcm)
+            if rows:
+                yield frame(rows)
+        if held is not None:
+            yield frame([ended()])
+
+    return pcm_blocks(stored).mapInArrow(run, schema)
 
 
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
