@@ -3,7 +3,9 @@
 A source's expected copies for each of its documents is target / source size.
 Documents of a source stand in order of size, then doc_id; with prefix sums of
 the expected copies and one random offset u, a document is emitted once for
-each integer that its interval (S - r + u, S + u] crosses. The order by size
+each integer that its interval (S - r + u, S + u] crosses. r and u are multiples of
+2**-32 and the crossings are counted in integers, so a document whose r is at
+most 2 is emitted at most twice, at any rank. The order by size
 spreads the draws evenly over short and long documents, so the words taken come
 near the target. As all documents of a source expect the same r, the prefix sum
 is r times the rank.
@@ -11,7 +13,9 @@ is r times the rank.
 Scale: ranks come from a range-partitioned table of (source, size, doc_id): each
 partition counts by source, and a table with a row for each partition and source
 gives the offsets. A source with a third of all rows is spread over partitions
-like any other; no window ever holds a source. The text is read once, natively.
+like any other; no window ever holds a source. Texts are read natively; the mix
+itself moves each text once, to meet its number of copies. The table of sources,
+a row for each, is ordered in one task.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last
 in the order; a source without words has target 0 and is not taken; repeated
@@ -36,6 +40,8 @@ WEIGHTS = (3, 1, 2)
 #: Words to take for each word there is, and the most a source or document may repeat.
 SHARE, MOST = 1.5, 2.0
 SEED = "mix-1"
+#: Unit of rates and offsets.
+ONE = 1 << 32
 
 
 def words_in(text: Column) -> Column:
@@ -115,23 +121,39 @@ def copies(docs: DataFrame) -> DataFrame:
     counts = ranked.groupBy("part", "key").agg(F.max("local_rank").alias("n"))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(targets(sized), "key")
-    rank = F.col("before") + F.col("local_rank")
-    crossed = F.floor(F.col("rate") * rank + F.col("offset")) - F.floor(F.col("rate") * (rank - 1) + F.col("offset"))
-    return ranked.join(starts, ["part", "key"]).select("doc_id", "key", "size", "source_size", "target", F.least(crossed, F.lit(int(MOST))).cast("long").alias("copies"))
+    return ranked.join(starts, ["part", "key"]).select("doc_id", "key", "size", "source_size", "target", crossings(F.col("before") + F.col("local_rank")).alias("copies"))
+
+
+def crossings(rank: Column) -> Column:
+    """Integers in (rate (rank - 1) + offset, rate rank + offset], rate and offset being multiples of 2**-32.
+
+    The whole part of rate always counts; its fraction f adds one where it carries:
+    the fraction of rate rank + offset is then below f. That fraction needs the
+    product's low 32 bits only, taken from two halves of the rank.
+    """
+    fixed = F.floor(F.col("rate") * F.lit(float(ONE))).cast("long")
+    start = F.floor(F.col("offset") * F.lit(float(ONE))).cast("long")
+    f, low = fixed.bitwiseAND(F.lit(ONE - 1)), F.lit(0xFFFF)
+    high = (f * F.shiftright(rank, 16).bitwiseAND(low)).bitwiseAND(low)
+    now = (f * rank.bitwiseAND(low) + F.shiftleft(high, 16) + start).bitwiseAND(F.lit(ONE - 1))
+    return (F.shiftright(fixed, 32) + F.when(now < f, 1).otherwise(0)).cast("long")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with the columns of docs."""
-    keyed = docs.withColumns({"__key": source_key(F.col("source")), "__size": words_in(F.col("text"))})
-    drawn = copies(docs).groupBy("doc_id", "key", "size").agg(F.sum("copies").alias("__total"), F.count("*").alias("__rows"))
-    drawn = drawn.filter("__total > 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("size").alias("__s"), "__total", "__rows")
-    on = keyed["doc_id"].eqNullSafe(drawn["__id"]) & (keyed["__key"] == drawn["__k"]) & (keyed["__size"] == drawn["__s"])
-    joined = keyed.join(drawn, on)
+    """The mix itself: the rows of docs, each as often as it is taken, with the columns of docs, whatever their names."""
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    doc_id, source, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "source", "text"))
+    keyed = plain.withColumns({"key": source_key(source), "size": words_in(text)})
+    drawn = copies(docs).groupBy("doc_id", "key", "size").agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
+    drawn = drawn.filter("total > 0").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), F.col("size").alias("s"), "total", "rows")
+    joined = keyed.join(drawn, doc_id.eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")) & (F.col("size") == F.col("s")))
     # equal ids, sources and sizes share their draws evenly; nearly always there is one such row
-    nth = F.row_number().over(Window.partitionBy("__id", "__k", "__s").orderBy("text"))
-    each = F.floor(F.col("__total") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__total") % F.col("__rows"), 1).otherwise(0)
-    out = joined.withColumn("__nth", nth).withColumn("__n", each.cast("int")).filter("__n > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("id", "k", "s").orderBy(text))
+    each = F.floor(F.col("total") / F.col("rows")) + F.when(F.col("nth") <= F.col("total") % F.col("rows"), 1).otherwise(0)
+    out = joined.withColumn("nth", nth).withColumn("n", each.cast("int")).filter("n > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,9 +176,10 @@ t AS (SELECT key, source_size::BIGINT AS source_size,
         (('0x' || substr(md5('{SEED}:' || key), 1, 8))::BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM l),
 r AS (SELECT s.doc_id, s.size, t.source_size, t.target, t.u,
         CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE ELSE t.target / t.source_size::DOUBLE END AS rate,
-        row_number() OVER (PARTITION BY key ORDER BY s.size, s.doc_id) AS k FROM sized s JOIN t USING (key))
+        row_number() OVER (PARTITION BY key ORDER BY s.size, s.doc_id) AS k FROM sized s JOIN t USING (key)),
+i AS (SELECT *, floor(rate * {ONE}.0::DOUBLE)::HUGEINT AS f, floor(u * {ONE}.0::DOUBLE)::HUGEINT AS o FROM r)
 SELECT doc_id, size, source_size, target,
-  (least(floor(rate * k + u) - floor(rate * (k - 1) + u), 2) * size)::BIGINT AS taken FROM r
+  (((f * k + o) // {ONE} - (f * (k - 1) + o) // {ONE}) * size)::BIGINT AS taken FROM i
 """
 
 QUERIES = {"op4_mixing": op4_mixing}
