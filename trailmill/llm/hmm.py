@@ -18,12 +18,16 @@ executors; rarer words of the texts are dealt to the buckets and looked up there
 so neither driver nor broadcast grows with the vocabulary. Words are told apart
 by 64-bit hashes.
 
-Only the states' first guess comes from a bounded sample (START_DOCS texts);
-counts, expected counts and scores take every text.
+The states' first guess is a clustering of all training texts by their frequent
+classes: a seeded random direction for each state deals the texts, then a few
+rounds of spherical k-means, each a pass that adds up the states' class counts.
+Baum-Welch goes on until a round gains less than TOLERANCE per token, or for
+MOST_ROUNDS. Counts, expected counts and scores take every text.
 
 Edge cases: a null or empty text is just the end token; a null doc_id counts as
 the empty text in the fold; repeated rows count and are scored each; with no
-training text N is 0, V is 0 and every token has base 1.
+training text N is 0, V is 0 and every token has base 1; a text of any length is
+one sequence; extra columns, whatever their names, are cut before they come here.
 """
 
 from __future__ import annotations
@@ -39,15 +43,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, joined, pack, partitions, slices, stage, time_major, words_of
+from .common import buckets_for, crc_mod, documents, joined, pack, room, slices, stage, time_major, words_of
 
 STATES = 6
 #: Words whose counts are sent to the executors, words with a class of their own, classes of the others.
 HEAD, OWN, HASHED = 1 << 19, 24_000, 4096
 CLASSES = OWN + HASHED
-ROUNDS = 2
-#: Texts that give the first guess, and words in slices of texts worked on at once.
-START_DOCS, SLICE_WORDS = 1200, 400_000
+#: log10 likelihood a token gains in the last round but one at least, and rounds at most.
+TOLERANCE, MOST_ROUNDS = 0.005, 6
+#: Classes that texts are clustered by, rounds of clustering, and words in slices of texts worked on at once.
+FREQUENT, CLUSTERINGS, SLICE_WORDS = 1500, 3, 400_000
+#: Partitions whose vectors one task adds up.
+FAN = 128
+#: Words a map task counts before it sends them: about 150 bytes each.
+COUNTED = room(150)
 #: Words' worth of the unigram distribution in a state's emissions.
 PRIOR = 200.0
 #: The end token's key: no word is empty.
@@ -61,9 +70,8 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def word_counts(train: DataFrame) -> DataFrame:
+def word_counts(train: DataFrame, buckets: int) -> DataFrame:
     """bucket, hashes, counts (packed, hashes ascending), distinct, tokens: all words and end tokens of train."""
-    buckets = partitions(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -79,7 +87,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                 for text in b.column("text").to_pylist():
                     seen.update(words_of(text))
                     seen[END] += 1
-                if len(seen) > 1_000_000:
+                if len(seen) > COUNTED:
                     yield flush()
         if seen:
             yield flush()
@@ -231,7 +239,7 @@ def rare_words(coded: DataFrame, counts: DataFrame, sent) -> DataFrame:
         else:
             c = np.zeros(len(h), np.int64)
         texts, where = np.unique(rows, return_inverse=True)
-        add = lambda x: np.bincount(where, x, len(texts))
+        add = lambda x: np.bincount(where, x, len(texts)).astype(_D)
         return pa.table({"row": texts, "known": add((c > 0).astype(_D)).astype(np.int64), "base": add(voc.base(c)), "within": add(voc.within((h % _U(HASHED)).astype(np.int64), c))})
 
     asked = coded.filter("bucket >= 0").select("bucket", "hashes", F.lit(None).cast("binary").alias("counts"), "rows")
@@ -314,49 +322,73 @@ def _groups(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             yield part, np.frombuffer(b"".join(raw[i] for i in part), np.uint16), sizes[part]
 
 
-def first_guess(sampled: list[bytes], unigram: np.ndarray) -> Hmm:
-    """States from clusters of a sample of texts by their frequent classes (spherical k-means)."""
-    texts = [np.frombuffer(s, np.uint16) for s in sampled if len(s)]
-    counts = np.zeros((CLASSES, STATES))
-    if texts:
-        x = np.sqrt(np.stack([np.bincount(t[(t > 0) & (t < 1500)], minlength=1500)[:1500] for t in texts]).astype(_D))
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        centres = [x[int((x @ x.mean(axis=0)).argmax())]]
-        while len(centres) < STATES:
-            centres.append(x[int((x @ np.array(centres).T).max(axis=1).argmin())])
-        c = np.array(centres)
-        for _ in range(12):
-            near = (x @ c.T).argmax(axis=1)
-            c = np.array([x[near == j].sum(axis=0) if (near == j).any() else c[j] for j in range(STATES)])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-        for t, j in zip(texts, near.tolist()):
-            counts[:, j] += np.bincount(t, minlength=CLASSES)
+def _shape(histograms: np.ndarray) -> np.ndarray:
+    """Unit vectors of the roots of class counts (rows); the end token's class plays no part."""
+    x = np.sqrt(histograms.astype(_D))
+    x[:, 0] = 0
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def first_guess(train: DataFrame, unigram: np.ndarray) -> Hmm:
+    """States from clusters of all training texts."""
+    sc = train.sparkSession.sparkContext
+    centres = np.random.default_rng(7).standard_normal((STATES, FREQUENT))
+    counts = np.zeros((STATES, CLASSES))
+    for _ in range(1 + CLUSTERINGS):
+        sent = sc.broadcast(centres)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((STATES, CLASSES))
+            some = False
+            for b in batches:
+                for raw in np.array_split(np.array(b.column("classes").to_pylist(), object), -(-b.num_rows // 1000) or 1):
+                    texts = [np.frombuffer(r, np.uint16) for r in raw]
+                    if texts:
+                        near = (_shape(np.stack([np.bincount(t[t < FREQUENT], minlength=FREQUENT) for t in texts])) @ sent.value.T).argmax(axis=1)
+                        for j in np.unique(near).tolist():
+                            total[j] += np.bincount(np.concatenate([t for t, k in zip(texts, near) if k == j]), minlength=CLASSES)
+                        some = True
+            if some:
+                yield from _cut(total.ravel())
+
+        got = _add_up(train.select("classes").mapInArrow(run, _CUTS))
+        sent.unpersist()
+        if not len(got):
+            break
+        counts = got.reshape(STATES, CLASSES)
+        lively = counts[:, :FREQUENT].sum(axis=1) > 0
+        centres = np.where(lively[:, None], _shape(counts[:, :FREQUENT]), centres)
     move = np.full((STATES, STATES), 1.0) + np.eye(STATES) * 200
-    return Hmm.of(np.concatenate([np.full(STATES, 1.0), move.ravel(), counts.ravel()]), unigram, STATES)
+    return Hmm.of(np.concatenate([np.full(STATES, 1.0), move.ravel(), counts.T.ravel()]), unigram, STATES)
 
 
 def _cut(total: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A partition's vector in slices."""
     cuts = [total[i : i + _SLICE].tobytes() for i in range(0, len(total), _SLICE)]
-    salt = TaskContext.get().partitionId() % 16
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int64()), pa.array([salt] * len(cuts), pa.int64()), pa.array(cuts, pa.binary())], ["slice", "salt", "v"])
+    part = TaskContext.get().partitionId()
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int64()), pa.array([part] * len(cuts), pa.int64()), pa.array(cuts, pa.binary())], ["slice", "salt", "v"])
 
 
 def _add_up(parts: DataFrame) -> np.ndarray:
-    """Sum the partitions' vectors: slices of the vector, in 16 groups of partitions, then all."""
+    """Sum the partitions' vectors slice by slice, FAN of them in a task, twice; the driver adds the few that are left."""
 
     def total(table: pa.Table) -> pa.Table:
         v = sum(np.frombuffer(x, _D) for x in table.column("v").to_pylist())
-        return pa.table({"slice": [table.column("slice")[0].as_py()], "v": [v.tobytes()]})
+        return pa.table({"slice": [table.column("slice")[0].as_py()], "salt": [table.column("salt")[0].as_py() // FAN], "v": [v.tobytes()]})
 
-    first = parts.groupBy("slice", "salt").applyInArrow(total, "slice long, v binary")
-    rows = first.groupBy("slice").applyInArrow(total, "slice long, v binary").collect()
-    return np.concatenate([np.frombuffer(r["v"], _D) for r in sorted(rows, key=lambda r: r["slice"])]) if rows else np.zeros(0)
+    for _ in range(2):
+        parts = parts.groupBy("slice", F.floor(F.col("salt") / FAN)).applyInArrow(total, _CUTS)
+    out: dict[int, np.ndarray] = {}
+    for r in parts.collect():
+        v = np.frombuffer(r["v"], _D)
+        out[r["slice"]] = out[r["slice"]] + v if r["slice"] in out else v
+    return np.concatenate([out[k] for k in sorted(out)]) if out else np.zeros(0)
 
 
-def baum_welch(train: DataFrame, model: Hmm, unigram: np.ndarray, rounds: int = ROUNDS) -> Hmm:
+def baum_welch(train: DataFrame, model: Hmm, unigram: np.ndarray, tokens: int, rounds: int = MOST_ROUNDS) -> Hmm:
     """Rounds of expectation over all training texts and maximisation on the driver (vectors of bounded size)."""
     sc = train.sparkSession.sparkContext
+    before = -np.inf
     for _ in range(rounds):
         sent = sc.broadcast(model)
 
@@ -370,10 +402,13 @@ def baum_welch(train: DataFrame, model: Hmm, unigram: np.ndarray, rounds: int =
                 yield from _cut(total)
 
         total = _add_up(train.select("classes").mapInArrow(run, _CUTS))
+        sent.unpersist()
         if not len(total):
             break
         model = Hmm.of(total, unigram, STATES)
-        sent.unpersist()
+        if total[-1] - before < TOLERANCE * tokens:
+            break
+        before = total[-1]
     return model
 
 
@@ -396,17 +431,14 @@ def likelihoods(coded: DataFrame, model: Hmm) -> DataFrame:
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs (doc_id, text, held_out)."""
     spark = docs.sparkSession
-    counts = stage(word_counts(docs.filter(~F.col("held_out"))), "hmm-counts")
+    buckets = buckets_for(docs)
+    counts = stage(word_counts(docs.filter(~F.col("held_out")), buckets), "hmm-counts")
     voc = vocabulary(counts)
     sent = spark.sparkContext.broadcast(voc)
-    coded = encode(docs, sent, partitions(spark))
+    coded = encode(docs, sent, buckets)
     texts = coded.filter("bucket < 0")
     train = texts.filter(~F.col("held_out"))
-    # rows first, then their classes: START_DOCS rows bound the broadcast and what reaches the driver
-    chosen = train.select("row", F.xxhash64("doc_id", "row").alias("h")).orderBy("h", "row").limit(START_DOCS).select("row")
-    got = train.select("row", "classes").join(F.broadcast(chosen), "row", "left_semi").collect()
-    start = [bytes(r["classes"]) for r in sorted(got, key=lambda r: r["row"])]
-    model = baum_welch(train, first_guess(start, voc.unigram), voc.unigram)
+    model = baum_welch(train, first_guess(train, voc.unigram), voc.unigram, voc.n)
     rare = rare_words(coded, counts, sent)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return likelihoods(texts, model).join(rare, "row", "left").select(
