@@ -115,12 +115,25 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, longest: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+#: Positions of a chain that is trained on at most: longer ones are cut, and no part is left out.
+CHAIN = 512
+
+
+def cut(lengths: np.ndarray, most: int = CHAIN) -> np.ndarray:
+    """Lengths of the parts, one after the other, that chains of these lengths are cut into."""
+    whole, rest = lengths // most, lengths % most
+    parts = np.repeat(np.array([most, 0])[None, :], len(lengths), axis=0)
+    parts[:, 1] = rest
+    return np.repeat(parts.ravel(), np.column_stack([whole, rest > 0]).ravel())
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and weights of a bounded training sample.
 
     At most rows / 2 documents of each label, the first by a hash of doc_id, from
-    labelled rows outside the held-out fold; texts of over `longest` characters
-    are not trained on. Weights restore the labels' shares among all such rows.
+    labelled rows outside the held-out fold, with their whole texts. Of rows with
+    one doc_id the first by text counts. Weights restore the labels' shares among
+    all such rows.
     """
     known = labels.select("doc_id", F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", modulus) != held))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -130,8 +143,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: i
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
     # the chosen rows are bounded by the parameter, so their broadcast is too
-    got = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").collect()
-    got = sorted({r["doc_id"]: r for r in got}.values(), key=lambda r: r["doc_id"])
-    y = np.array([r["y"] for r in got], float)
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    first: dict[int, tuple[str, int]] = {}
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["text"] or "")):
+        first.setdefault(r["doc_id"], (r["text"], r["y"]))
+    y = np.array([v for _, v in first.values()], float)
     weight = np.array([shares[int(v)] / max(1, (y == v).sum()) for v in y])
-    return [r["text"] for r in got], y, weight / max(weight.mean(), 1e-12) if len(weight) else weight
+    return [t for t, _ in first.values()], y, weight / max(weight.mean(), 1e-12) if len(weight) else weight

@@ -9,7 +9,10 @@ Training takes a bounded sample (TRAIN_ROWS labelled rows); scoring takes every
 line of every text, where it is; there is no shuffle.
 
 Edge cases: a null or empty text is one empty line; without labelled rows of both
-kinds every score is 0.5; repeated label rows of a document count once.
+kinds every score is 0.5; repeated label rows of a document count once, good if
+any is; of rows with one doc_id and different texts the first by text is trained
+on, and each is scored; a null doc_id is scored and never trained on; a text of
+any length is one chain; extra columns, whatever their names, are cut first.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from . import crf
 from .common import crc_mod, documents, slices
 
-#: Labelled rows trained on at most, and the longest text among them (scoring has no such bounds).
-TRAIN_ROWS, TRAIN_CHARS = 3000, 40_000
+#: Labelled rows trained on at most (scoring has no such bound).
+TRAIN_ROWS = 3000
 ROUNDS = 120
 #: From this score on a document counts as good.
 GOOD = 0.7
@@ -92,12 +95,12 @@ def _share(p: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) -> Model:
     """Fit features and chain on line labels, then the document's logistic function."""
-    texts, y, weight = crf.sample(docs, labels, "quality", modulus, held, TRAIN_ROWS, TRAIN_CHARS)
+    texts, y, weight = crf.sample(docs, labels, "quality", modulus, held, TRAIN_ROWS)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(3 * FEATURES + 1), crf.Chain(), np.zeros(2))
     x, lengths, sizes = _matrix(texts)
     w = np.zeros(x.shape[1])
-    chain = crf.fit(lambda: x @ w, lambda d: [d @ x], [w], np.repeat(y, lengths), lengths, ROUNDS, 0.3, 0.05)
+    chain = crf.fit(lambda: x @ w, lambda d: [d @ x], [w], np.repeat(y, lengths), crf.cut(lengths), ROUNDS, 0.3, 0.05)
     p = chain.marginals(x @ w, lengths)
     return Model(w, chain, crf.logistic(_share(p, lengths, sizes)[:, None], y, weight))
 

@@ -16,12 +16,14 @@ executors does not grow with the data; rows stay in their partitions.
 
 Edge cases: a null or empty text has no words and gets the score of no toxic
 word; without labelled rows of both kinds every score is 0; repeated label rows
-of a document count once, toxic if any is; extra columns are cut first.
+of a document count once, toxic if any is; of rows with one doc_id and different
+texts the first by text is trained on, and each is scored; a null doc_id is scored
+and never trained on; a text of any length is one chain when scored, and is
+trained on whole, cut into chains of bounded length; extra columns are cut first.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import crc_mod, documents, slices, words_of
+from .common import SLICE_BYTES, crc_mod, documents, mix, room, slices, words_of
 
-#: Labelled rows trained on at most, and the longest text among them (scoring has no such bounds).
-TRAIN_ROWS, TRAIN_CHARS = 2400, 40_000
+#: Labelled rows trained on at most (scoring has no such bound).
+TRAIN_ROWS = 2400
 TABLE = 1 << 18
 ROUNDS = 30
 #: Lengths of the word beginnings that are forms of a word.
@@ -79,8 +81,11 @@ class _Values(dict):
         super().__init__()
         self.model = model
 
+    #: A word, its three numbers and their place take about 330 bytes.
+    MOST = room(330)
+
     def __missing__(self, word: bytes) -> tuple[float, float, float]:
-        if len(self) > 300_000:
+        if len(self) >= self.MOST:
             self.clear()
         slots = [_slot(f) for f in _forms(word)]
         core = slots[0]
@@ -112,13 +117,23 @@ def _document_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct(texts: list[list[bytes]]) -> list[int]:
-    """Texts that share none of three minima of hashed word pairs with an earlier one: one of each group of near copies."""
+def _form_hashes(words: list[bytes]) -> np.ndarray:
+    """A row for each word: hashes of its forms, the first one again where there are fewer."""
+    out = np.empty((len(words), 1 + len(PREFIXES)), np.uint64)
+    for i, w in enumerate(words):
+        got = [xxhash.xxh3_64_intdigest(f) for f in _forms(w)]
+        out[i] = got + got[:1] * (out.shape[1] - len(got))
+    return out
+
+
+def _distinct(texts: list[np.ndarray], hashes: np.ndarray) -> list[int]:
+    """Texts (indices of words) that share none of three minima of hashed word pairs with an earlier one: one of each group of near copies."""
     seen: set[tuple[int, int]] = set()
     kept = []
-    for i, words in enumerate(texts):
-        pairs = {a + b" " + b for a, b in zip(words, words[1:])} or set(words)
-        marks = {(k, min((xxhash.xxh3_64_intdigest(p, k) for p in pairs), default=0)) for k in range(3)}
+    for i, t in enumerate(texts):
+        h = hashes[t]
+        pairs = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else h
+        marks = {(k, int(mix(pairs ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & (1 << 64) - 1)).min()) if len(pairs) else 0) for k in range(3)}
         if not marks & seen:
             kept.append(i)
         seen |= marks
@@ -168,42 +183,51 @@ def _token_labels(texts: list[list[bytes]], y: np.ndarray) -> np.ndarray:
     earlier round and the clean ones, until no more are explained; copies count once.
     """
     known: dict[bytes, int] = {}
-    kept = _distinct(texts)
-    rows = [np.array([known.setdefault(f, len(known)) for f in {f for w in set(texts[i]) for f in _forms(w)}], int) for i in kept]
-    marked = np.zeros(len(known), bool)
+    places = [np.array([known.setdefault(w, len(known)) for w in t], np.int64) for t in texts]
+    return _marked(places, _form_hashes(list(known)), y)
+
+
+def _marked(texts: list[np.ndarray], hashes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """_token_labels() of texts given as indices of words, and the hashes of each word's forms."""
+    if not len(hashes):
+        return np.zeros(0)
+    found, at = np.unique(hashes, return_inverse=True)
+    form = at.reshape(hashes.shape)
+    kept = _distinct(texts, hashes[:, 0])
+    rows = [np.unique(form[texts[i]]) for i in kept]
+    marked = np.zeros(len(found), bool)
     left = [(row, float(y[i])) for row, i in zip(rows, kept) if len(row)]
     while any(label for _, label in left):
         forms, labels = np.concatenate([row for row, _ in left]), np.array([label for _, label in left])
-        a, b, rate = _expected(forms, np.repeat(np.arange(len(left)), [len(row) for row, _ in left]), labels, len(known))
+        a, b, rate = _expected(forms, np.repeat(np.arange(len(left)), [len(row) for row, _ in left]), labels, len(found))
         a[marked] = 0
         marked |= _significant(a, b, rate)
         after = [(row, label) for row, label in left if not (label and marked[row].any())]
         if len(after) == len(left):
             break
         left = after
-    found = {f for f, i in known.items() if marked[i]}
-    marks = {w: not found.isdisjoint(_forms(w)) for words, label in zip(texts, y) if label for w in set(words)}
-    return np.array([label and marks[w] for words, label in zip(texts, y) for w in words], float)
+    toxic = marked[form].any(axis=1)
+    return np.concatenate([toxic[t] & bool(label) for t, label in zip(texts, y)]).astype(float)
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> Model:
     """Fit words and chain on token labels, then the document's logistic function."""
-    texts, y, weight = crf.sample(docs, labels, "toxic", modulus, held, TRAIN_ROWS, TRAIN_CHARS)
+    texts, y, weight = crf.sample(docs, labels, "toxic", modulus, held, TRAIN_ROWS)
     empty = Model(np.zeros(TABLE, np.float32), np.zeros((2, TABLE), np.float32), 0.0, crf.Chain(), np.zeros(3), False)
     if len(set(y.tolist())) < 2:
         return empty
-    words = [words_of(t) for t in texts]
+    known: dict[bytes, int] = {}
+    words = [np.array([known.setdefault(w, len(known)) for w in words_of(t)], np.int32) for t in texts]
     lengths = np.array([len(w) for w in words])
-    flat = [w for ws in words for w in ws]
-    if not flat:
+    index = np.concatenate(words)
+    if not len(index):
         return empty
-    tokens = _token_labels(words, y)
-    known: dict[bytes, int] = {}
-    index = np.array([known.setdefault(w, len(known)) for w in flat])
-    forms = [[_slot(f) for f in _forms(w)] for w in known]
-    most = 1 + len(PREFIXES)
-    slots = np.array([f + [f[0]] * (most - len(f)) for f in forms])
-    weighs = np.array([[float(k < len(f)) for k in range(most)] for f in forms])
+    hashes = _form_hashes(list(known))
+    tokens = _marked(words, hashes, y)
+    slots = (hashes & np.uint64(TABLE - 1)).astype(np.int32)
+    weighs = np.ones(slots.shape, np.float32)
+    weighs[:, 1:] = hashes[:, 1:] != hashes[:, :1]
+    del hashes, words
     ends = np.cumsum(lengths)
     first, last = (ends - lengths)[lengths > 0], (ends - 1)[lengths > 0]
     own, near, bias = np.zeros(TABLE), np.zeros((2, TABLE)), np.full(1, -4.0)
@@ -225,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -
         g_near = np.stack([np.bincount(core, np.bincount(index, x, len(known)), TABLE) for x in (to_before, to_after)])
         return [g_own, g_near, np.array([d.sum()])]
 
-    chain = crf.fit(emit, gradient, [own, near, bias], tokens, lengths, ROUNDS, 0.5, 0.05)
+    chain = crf.fit(emit, gradient, [own, near, bias], tokens, crf.cut(lengths), ROUNDS, 0.5, 0.05)
     model = Model(own.astype(np.float32), near.astype(np.float32), float(bias[0]), chain, np.zeros(3))
     p = chain.marginals(emit(), lengths)
     model.document = crf.logistic(_document_features(p, lengths), y, weight)
@@ -251,7 +275,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = _Values(sent.value)
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, limit=SLICE_BYTES // 2):
                 texts = b.column("text").to_pylist()
                 got, p, lengths = _scores(texts, values)
                 spans = [""] * len(texts)
@@ -274,7 +298,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = _Values(sent.value)
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, limit=SLICE_BYTES // 2):
                 got, _, _ = _scores(b.column("text").to_pylist(), values)
                 yield b.filter(pa.array(got < 0.5))
 
