@@ -7,17 +7,22 @@ for such a step and minus infinity for any other, so the best path of max-plus
 algebra is exactly the library's encoding, and transfer matrices of 0 and minus
 infinity are kept as sets of reachable states.
 
-A text of more than CHUNK characters is split into chunks. The state at a chunk
-boundary is the piece that ends at or crosses it, with the characters it still
-covers. Each chunk yields its transfer matrix from entry to exit states; matrices
-of a text are combined associatively in a scan; then each chunk, knowing its
-entry and exit, is backtraced by itself. Shorter texts are one chunk. No piece
+A text of CHUNK characters or more is split into chunks, dealt to tasks one by
+one. The state at a chunk boundary is the piece that ends at or crosses it, with
+the characters it still covers. Each chunk yields its transfer matrix from entry
+to exit states. Matrices are combined up a tree, FAN neighbours at a time, until
+a text has one; from the top, which knows where the text begins and ends, each
+node tells its children their entry and exit states; then each chunk is
+backtraced by itself. No task but the last, which joins a text's ids, sees more
+than FAN matrices or one chunk. Shorter texts are encoded whole by the same
+search; tests hold both ways against the library and against each other. No piece
 has a space mark after another character, so a path passes through every word
-start, and the paths of words are found many at a time and kept.
+start, and the paths of words are found many at a time and kept (within a number
+of bytes).
 
 Characters outside the vocabulary become their UTF-8 bytes' pieces. Edge cases:
 null and empty texts have no ids; repeated rows are encoded one by one; a null
-doc_id stays null. Decoding gives the text back, except that a literal space
+doc_id stays null; extra columns, whatever their names, are cut first. Decoding gives the text back, except that a literal space
 mark (U+2581) in a text becomes a space, as in the library.
 """
 
@@ -38,11 +43,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of, documents, joined, slices, stage
+from .common import crc32_of, documents, joined, partitions, room, slices, stage
 
 SPACE = "▁"
-#: Characters of a chunk, words kept with their ids in a worker, and characters of words searched many at a time.
-CHUNK, KEPT, WIDE = 32_768, 500_000, 48
+#: Characters of a chunk, neighbours combined at once, and characters of words searched many at a time.
+CHUNK, FAN, WIDE = 32_768, 64, 48
+#: Words kept with their ids in a worker, about 180 bytes each; steps in its table, 9 bytes each, and beside it, 110.
+KEPT, KNOWN, PAIRS = room(180, 0.7), room(18, 0.2), room(220, 0.1)
 BEGIN, BYTES = 65_535, 65_534
 _BASE = np.uint64(0x100000001B3)
 _MIXER = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +75,7 @@ class Pieces:
         self.text = [b"" if model.is_control(i) else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
         self.paths: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
-        self._known, self._valid, self._fresh = np.zeros(0, np.int64), np.zeros(0, bool), {}
+        self._known, self._valid = np.zeros(0, np.int64), np.zeros(0, bool)
         powers = [np.uint64(1)]
         with np.errstate(over="ignore"):
             for _ in range(self.longest):
@@ -109,7 +116,7 @@ class Pieces:
         key = before << 16 | piece
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 3_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             if piece == BYTES:
                 found = True
@@ -158,7 +165,7 @@ class Pieces:
         return np.where(self._hashes[at] == h, self._ids[at], -1)
 
     def _steps(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """step() of many pairs: a sorted table, then a dictionary of what it lacks."""
+        """step() of many pairs from a sorted table, which takes up what it lacks."""
         keys = before << 16 | piece
         at = np.minimum(np.searchsorted(self._known, keys), max(0, len(self._known) - 1))
         hit = self._known[at] == keys if len(self._known) else np.zeros(len(keys), bool)
@@ -169,13 +176,10 @@ class Pieces:
             found, where = np.unique(keys[lost], return_inverse=True)
             got = np.array([self.step(k >> 16, k & 0xFFFF) for k in found.tolist()], bool)
             out[lost] = got[where]
-            self._fresh |= zip(found.tolist(), got.tolist())
-            if len(self._fresh) > 20_000 + len(self._known) // 8:
-                known = dict(zip(self._known.tolist(), self._valid.tolist())) if len(self._known) < 2_000_000 else {}
-                known |= self._fresh
-                self._known = np.array(sorted(known), np.int64)
-                self._valid = np.array([known[k] for k in self._known.tolist()], bool)
-                self._fresh = {}
+            if len(self._known) + len(found) > KNOWN:
+                self._known, self._valid = np.zeros(0, np.int64), np.zeros(0, bool)
+            at = np.searchsorted(self._known, found)
+            self._known, self._valid = np.insert(self._known, at, found), np.insert(self._valid, at, got)
         return out
 
     def _learn(self, words: list[str]) -> None:
@@ -330,19 +334,25 @@ def compose(one: dict, two: dict) -> dict:
     return {entry: set().union(*[two.get(x, set()) for x in exits]) if exits else set() for entry, exits in one.items()}
 
 
-def solve(matrices: list[dict]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Entry and exit state of each chunk on the path of the whole text.
+def product(matrices: list[dict]) -> dict:
+    """Product of neighbours' matrices, first to last."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = compose(out, m)
+    return out
 
-    Prefix products from the left give what the text's start reaches, products
-    from the right what reaches its end; one state at each boundary is in both.
+
+def solve(matrices: list[dict], entry: tuple[int, int] = (BEGIN, 0), leave: tuple[int, int] | None = None) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Entry and exit state of each of some neighbours on the path that enters the first by entry and leaves the last by leave.
+
+    Prefix products from the left give what the entry reaches, products from the
+    right what reaches the exit; one state at each boundary is in both. Without a
+    leave the text ends here, so no character is left to cover.
     """
-    begin = (BEGIN, 0)
-    prefix: dict = {begin: {begin}}  # of all rows of the products only the start's is ever asked for
-    ahead: list[set] = [{begin}]
+    ahead: list[set] = [{entry}]
     for m in matrices:
-        prefix = compose(prefix, m)
-        ahead.append(prefix[begin])
-    behind = [{s for s in ahead[-1] if s[1] == 0}]
+        ahead.append(set().union(*[m.get(s, set()) for s in ahead[-1]]))
+    behind = [{s for s in ahead[-1] if (s[1] == 0 if leave is None else s == leave)}]
     for m, before in zip(reversed(matrices), reversed(ahead[:-1])):
         behind.append({s for s in before if m.get(s, set()) & behind[-1]})
     on = [next(iter(s)) for s in reversed(behind)]
@@ -359,36 +369,70 @@ def pieces(path: str) -> Pieces:
     return _MODELS[path]
 
 
-def _long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    """doc_id, ids of texts over the chunk length: matrices, scan, backtraces."""
-    schema = "row long, doc_id long, number long, low long, high long, z string, matrix binary"
+def _tree(matrices: DataFrame, fan: int) -> DataFrame:
+    """row, number, entry, entry_over, leave, leave_over of every chunk from its matrix (row, number, matrix)."""
+    node = "row long, number long, matrix binary"
+    states = ("entry", "entry_over", "leave", "leave_over")
+
+    def up(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("number").to_pylist(), table.column("matrix").to_pylist()))
+        made = pickle.dumps(product([pickle.loads(m) for _, m in rows]))
+        return pa.table({"row": [table.column("row")[0].as_py()], "number": [rows[0][0] // fan], "matrix": [made]})
+
+    def down(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("number", "matrix", *states))), key=lambda r: r[0])
+        _, _, entry, over, leave, leave_over = rows[0]
+        on = solve([pickle.loads(r[1]) for r in rows], (BEGIN, 0) if entry is None else (entry, over), None if leave is None else (leave, leave_over))
+        return pa.table({
+            "row": [table.column("row")[0].as_py()] * len(rows), "number": [r[0] for r in rows],
+            **{c: pa.array([s[i][j] for s in on], pa.int64()) for c, (i, j) in zip(states, ((0, 0), (0, 1), (1, 0), (1, 1)))},
+        })
+
+    parent = F.floor(F.col("number") / fan).alias("parent")
+    levels = [matrices]
+    while (levels[-1].agg(F.max("number")).first()[0] or 0) >= fan:
+        levels.append(stage(levels[-1].groupBy("row", parent).applyInArrow(up, node), "piece-tree"))
+    solved = None
+    for level in reversed(levels):
+        children = level.withColumn("parent", F.floor(F.col("number") / fan))
+        if solved is None:
+            asked = children.select("*", *[F.lit(None).cast("long").alias(c) for c in states])
+        else:
+            known = solved.select("row", F.col("number").alias("parent"), *states)
+            asked = children.join(known, ["row", "parent"])
+        solved = asked.groupBy("row", "parent").applyInArrow(down, "row long, number long, " + ", ".join(f"{c} long" for c in states))
+    return solved
+
+
+def _long(docs: DataFrame, path: str, chunk: int, fan: int) -> DataFrame:
+    """doc_id, ids of texts of the chunk length or more: matrices, tree, backtraces."""
+    schema = "row long, doc_id long, number long, low long, high long, z string"
     names = [c.split()[0] for c in schema.split(", ")]
+    tasks = partitions(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = pieces(path), TaskContext.get().partitionId() << 40
-        around = 2 * model.longest
+        row, around = TaskContext.get().partitionId() << 40, 2 * pieces(path).longest
         for whole in batches:
             for doc, text in zip(whole.column("doc_id").to_pylist(), whole.column("text").to_pylist()):
-                z, rows = marked(text), []
-                for number, at in enumerate(range(0, len(z), chunk)):
-                    low, high = max(0, at - around), min(len(z), at + chunk)
-                    part = z[low : high + around]
-                    matrix = model.transfer(part, at - low, high - low, number == 0)
-                    rows.append((row, doc, number, at - low, high - low, part, pickle.dumps(matrix)))
+                z = marked(text)
+                for at in range(0, len(z), 64 * chunk):
+                    rows = []
+                    for start in range(at, min(len(z), at + 64 * chunk), chunk):
+                        low, high = max(0, start - around), min(len(z), start + chunk)
+                        rows.append((row, doc, start // chunk, start - low, high - low, z[low : high + around]))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(),) * 5 + (pa.string(),))], names)
                 row += 1
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(),) * 5 + (pa.string(), pa.binary()))], names)
 
-    chunks = stage(docs.mapInArrow(cut, schema), "piece-chunks")
+    chunks = stage(docs.mapInArrow(cut, schema).repartition(tasks, "row", "number"), "piece-chunks")
 
-    def scan(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("number").to_pylist(), table.column("matrix").to_pylist()))
-        path_ = solve([pickle.loads(m) for _, m in rows])
-        return pa.table({
-            "row": [table.column("row")[0].as_py()] * len(rows), "number": [n for n, _ in rows],
-            **{c: pa.array([s[i][j] for s in path_], pa.int64()) for c, i, j in (("entry", 0, 0), ("entry_over", 0, 1), ("leave", 1, 0), ("leave_over", 1, 1))},
-        })
+    def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path)
+        for b in batches:
+            made = [pickle.dumps(model.transfer(z, low, high, n == 0)) for n, low, high, z in zip(*(b.column(c).to_pylist() for c in ("number", "low", "high", "z")))]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("number"), pa.array(made, pa.binary())], ["row", "number", "matrix"])
 
-    solved = chunks.select("row", "number", "matrix").groupBy("row").applyInArrow(scan, "row long, number long, entry long, entry_over long, leave long, leave_over long")
+    matrices = stage(chunks.select("row", "number", "low", "high", "z").mapInArrow(transfers, "row long, number long, matrix binary"), "piece-matrices")
+    solved = _tree(matrices, fan)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
@@ -396,7 +440,8 @@ def _long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             ids = [model.backtrace(r["z"], r["low"], r["high"], (r["entry"], r["entry_over"]), (r["leave"], r["leave_over"])).tobytes() for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("number"), pa.array(ids, pa.binary())], ["row", "doc_id", "number", "ids"])
 
-    spelt = chunks.drop("matrix").join(solved, ["row", "number"]).mapInArrow(spell, "row long, doc_id long, number long, ids binary")
+    # dealt by chunk: a few bytes of states would else bring all chunks of a text into few tasks
+    spelt = chunks.join(solved, ["row", "number"]).repartition(tasks, "row", "number").mapInArrow(spell, "row long, doc_id long, number long, ids binary")
 
     def whole(table: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(table.column("number")))
@@ -405,7 +450,7 @@ def _long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     return spelt.groupBy("row").applyInArrow(whole, "doc_id long, ids binary")
 
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, path: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id, ids (little-endian 16-bit numbers) of every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = F.coalesce(F.length("text"), F.lit(0))
@@ -418,7 +463,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.binary())], ["doc_id", "ids"])
 
     short = rows.filter(size < chunk).mapInArrow(run, "doc_id long, ids binary")
-    return short.unionByName(_long(rows.filter(size >= chunk), path, chunk))
+    return short.unionByName(_long(rows.filter(size >= chunk), path, chunk, fan))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
