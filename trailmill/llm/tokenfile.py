@@ -1,22 +1,26 @@
 """Token ids as files: frequency-ranked ids in byte-aligned codes with separate control bytes.
 
-A segment of the file format holds the documents of a doc_id range:
+A file of the format is one segment, the documents of a doc_id range:
 
-    magic "TMS1", u32 documents, u32 ids, u32 ranks
+    magic "TMS2", u32 part, u32 segment of the part, u32 documents, u32 ids, u32 ranks
     i64 doc_id and u8 null flag for each document, u32 ids of each document
     u32 id for each rank (rank 0 is the segment's most frequent id)
     control bytes (2 bits for each id: its bytes less one, four ids to a byte)
     data bytes (each id's rank, little-endian, as many bytes as its control says)
+    trailer "TMSE"
 
 Decoding looks the control bytes up in tables of lengths and offsets, so numpy
 reads all ids at once. A segment carries its own ranks: one pass over the text
 is enough, and a segment is read without any other.
 
-Segments are rows of a Parquet table in the shared folder, so Spark's committer
-drops what lost or repeated tasks wrote; write_segment and read_segment put one
-in a plain file. Texts are dealt by doc_id range; starts come from prefix sums
-over the segments' totals. Edge cases: a null text counts as empty and has only
-the end id; a null doc_id comes first; repeated rows stay, ordered by text.
+Files are written by Spark's file committer, one segment each, so what lost or
+repeated tasks wrote is dropped, in whatever store the shared folder is; they are
+read back as binary files. Texts are dealt by doc_id range; starts come from
+prefix sums over the segments' totals. Texts that hold a special token of the
+tokenizer go to the library whole, which recognises it. Edge cases: a null text
+counts as empty and has only the end id; a null doc_id comes first; repeated rows
+stay, ordered by text; clashing extra columns are cut first; a text of any length
+is one document of one segment.
 """
 
 from __future__ import annotations
@@ -34,14 +38,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import documents, partitions, slices, stage
+from .common import STAGING, documents, partitions, room, settings, slices, stage_path
 
-MAGIC = b"TMS1"
+MAGIC, TRAILER = b"TMS2", b"TMSE"
 END_ID = 2
 #: Ids in a segment before the next one begins.
 SEGMENT_IDS = 2 << 20
-#: Words kept with their ids in a worker.
-CACHE_WORDS = 500_000
+#: Words kept with their ids in a worker: about 200 bytes each.
+CACHE_WORDS = room(200)
 
 #: White space as the tokenizer's pattern has it. Fixed values.
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -80,8 +84,8 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def pack_segment(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
-    """A segment of documents in order, ids being those of all of them."""
+def pack_segment(doc_ids: list, counts: list[int], ids: np.ndarray, part: int = 0, seq: int = 0) -> bytes:
+    """A segment (without its trailer) of documents in order, ids being those of all of them."""
     present, frequency = np.unique(ids, return_counts=True)
     ranked = present[np.lexsort((present, -frequency))].astype("<u4")
     rank_of = np.zeros(int(present.max()) + 1 if len(present) else 1, np.uint32)
@@ -89,15 +93,16 @@ def pack_segment(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
     control, data = encode_values(rank_of[ids])
     null = np.array([d is None for d in doc_ids], np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], "<i8")
-    return b"".join([MAGIC, struct.pack("<III", len(doc_ids), len(ids), len(ranked)), numbers.tobytes(), null.tobytes(), np.array(counts, "<u4").tobytes(), ranked.tobytes(), control, data])
+    head = struct.pack("<IIIII", part, seq, len(doc_ids), len(ids), len(ranked))
+    return b"".join([MAGIC, head, numbers.tobytes(), null.tobytes(), np.array(counts, "<u4").tobytes(), ranked.tobytes(), control, data])
 
 
-def unpack_segment(segment: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """Document ids, ids of each document, all ids."""
-    if segment[:4] != MAGIC:
-        raise ValueError("no segment")
-    docs, n, ranks = struct.unpack_from("<III", segment, 4)
-    at = 16
+def unpack_segment(segment: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
+    """Part, number in the part, document ids, ids of each document, all ids."""
+    if segment[:4] != MAGIC or segment[-4:] != TRAILER:
+        raise ValueError("no whole segment")
+    part, seq, docs, n, ranks = struct.unpack_from("<IIIII", segment, 4)
+    at = 24
     numbers = np.frombuffer(segment, "<i8", docs, at).tolist()
     null = np.frombuffer(segment, np.uint8, docs, at + 8 * docs)
     counts = np.frombuffer(segment, "<u4", docs, at + 9 * docs).astype(np.int64)
@@ -105,18 +110,8 @@ def unpack_segment(segment: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     ranked = np.frombuffer(segment, "<u4", ranks, at)
     at += 4 * ranks
     width = -(-n // 4)
-    values = decode_values(segment[at : at + width], segment[at + width :], n)
-    return [None if x else d for d, x in zip(numbers, null)], counts, ranked[values] if n else values
-
-
-def write_segment(path: str, segment: bytes) -> None:
-    with open(path, "xb") as f:
-        f.write(segment)
-
-
-def read_segment(path: str) -> tuple[list, np.ndarray, np.ndarray]:
-    with open(path, "rb") as f:
-        return unpack_segment(f.read())
+    values = decode_values(segment[at : at + width], segment[at + width : -4], n)
+    return part, seq, [None if x else d for d, x in zip(numbers, null)], counts, ranked[values] if n else values
 
 
 # ---- texts to ids ----------------------------------------------------------
@@ -127,12 +122,13 @@ class Encoder:
 
     The tokenizer's pattern never matches across a single space between two
     non-space characters, so a text falls into independent pieces there. Texts
-    with other runs that hold a space go to the library whole.
+    with other runs that hold a space, or with a token that the tokenizer adds to
+    its vocabulary (a special token), go to the library whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
@@ -161,7 +157,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 pieces.append([])
-            elif _JOINED.search(t):
+            elif _JOINED.search(t) or any(a in t for a in self.added):
                 pieces.append(None)
                 whole.append(i)
             else:
@@ -191,7 +187,7 @@ def encoder(path: str) -> Encoder:
 
 
 def segments(docs: DataFrame, path: str) -> DataFrame:
-    """Segments in doc_id order: part, seq, ids (their number), segment."""
+    """Segments, in doc_id order by part and number in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -202,7 +198,7 @@ def segments(docs: DataFrame, path: str) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([pack_segment(doc_ids, counts, ids)], pa.binary())], ["part", "seq", "ids", "segment"])
+            row = pa.RecordBatch.from_arrays([pa.array([pack_segment(doc_ids, counts, ids, part, seq)], pa.binary())], ["segment"])
             doc_ids.clear(), counts.clear(), held.clear()
             return row
 
@@ -221,27 +217,44 @@ def segments(docs: DataFrame, path: str) -> DataFrame:
             yield flush()
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, "part long, seq long, ids long, segment binary")
+    return dealt.mapInArrow(run, "segment binary")
 
 
-def read_back(stored: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from stored segments."""
+def write(docs: DataFrame, path: str, folder: str) -> None:
+    """Write the ids of docs to the folder, a file for each segment."""
+    spark = docs.sparkSession
+    # a row's bytes and the line separator are all that Spark's text writer puts into a file
+    raw = segments(docs, path).select(F.col("segment").cast("string").alias("value"))
+    with settings(spark, STAGING):
+        raw.write.option("maxRecordsPerFile", 1).option("lineSep", TRAILER.decode()).text(folder)
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of all documents in the folder's files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, seq, segment in zip(b.column("part").to_pylist(), b.column("seq").to_pylist(), b.column("segment").to_pylist()):
-                doc_ids, counts, ids = unpack_segment(segment)
+            for segment in b.column("content").to_pylist():
+                if not segment:  # a task without rows leaves an empty file
+                    continue
+                part, seq, doc_ids, counts, ids = unpack_segment(segment)
                 ends = np.cumsum(counts)
-                raw = ids.astype("<u4")
-                crc = [zlib.crc32(raw[e - c : e].tobytes()) for e, c in zip(ends.tolist(), counts.tolist())]
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist())]
                 n = len(doc_ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * n, pa.int64()), pa.array([seq] * n, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())],
                     ["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
-    rows = stored.select("part", "seq", "segment").mapInArrow(run, "part long, seq long, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    sizes = stored.select("part", "seq", "ids")
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [struct.unpack_from("<IIIII", s, 4) for s in b.column("content").to_pylist() if s]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1, 3)], ["part", "seq", "ids"])
+
+    stored = spark.read.format("binaryFile").load(folder).select("content")
+    rows = stored.mapInArrow(run, "part long, seq long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    sizes = stored.mapInArrow(head, "part long, seq long, ids long")
     parts = sizes.groupBy("part").agg(F.sum("ids").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     inner = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -250,8 +263,9 @@ def read_back(stored: DataFrame) -> DataFrame:
 
 
 def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return read_back(stage(segments(documents(spark, sf_dir), path), "tokens"))
+    folder = stage_path(spark, "tokens")
+    write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return read(spark, folder)
 
 
 QUERIES = {"op9_tokenfile": op9_tokenfile}
