@@ -1,10 +1,12 @@
 """Personal data: anchors found by an Aho-Corasick automaton, expanded by local parsers.
 
-The automaton meets every at-sign, plus sign, scheme, dot or separator beside
-digits and identifier cue in one pass over the text. Each anchor names a kind;
-the parser of that kind takes the maximal run of that kind's alphabet around
-the anchor and parses just this run. A match of a kind never leaves such a run,
-so leftmost, non-overlapping matches of the runs are those of the whole text.
+The automaton meets every at-sign, scheme separator, digit, street word and
+identifier cue in one pass over the text. Each anchor names a kind; the parser of
+that kind takes the maximal run of that kind's alphabet around the anchor (a plus
+sign before a digit belongs to the phone run) and parses just this run. A match
+of a kind never leaves such a run, so leftmost, non-overlapping matches of the
+runs are those of the whole text. A run is read once from left to right, so the
+time grows with the length of the text, long runs of digits included.
 
 Base kinds (their matches always stay): email, ip, card, phone. The method adds
 url (scheme and host), iban (mod-97 check), account (digits or grouped digits
@@ -36,7 +38,6 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "account", "address")
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"(?:https?|ftp)://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?(?:/[^\s<>\"']*)?")
@@ -51,6 +52,7 @@ IBAN_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Runs of the alphabets of ip, card and phone: a match holds no other character.
 _DIGIT_DOT = re.compile(r"[0-9.]+")
+_DIGITS = re.compile(r"[0-9]+")
 _DIGIT_RUN = re.compile(r"[0-9](?:[0-9\x20-]*[0-9])?")
 _PHONE_RUN = re.compile(r"[+0-9\x20().-]+")
 
@@ -113,6 +115,19 @@ def _emails(text: str, ats: list[int], out: list) -> None:
             floor = m.end()
 
 
+def _ips(text: str, start: int, end: int, out: list) -> None:
+    """Groups of digits one dot apart, four by four from the left of a run; a four with a part over 255 is spent all the same."""
+    four: list[tuple[int, int]] = []
+    for m in _DIGITS.finditer(text, start, end):
+        if four and m.start() != four[-1][1] + 1:
+            four = []
+        four.append(m.span())
+        if len(four) == 4:
+            if all(_small(text[a:b]) for a, b in four):
+                out.append(("ip", four[0][0], four[3][1]))
+            four = []
+
+
 def _digit_kinds(text: str, digits: list[int], out: list) -> None:
     """Around each run of digits, parse the runs of the ip, card and phone alphabets."""
     ip_to = card_to = phone_to = -1
@@ -121,9 +136,7 @@ def _digit_kinds(text: str, digits: list[int], out: list) -> None:
             m = _DIGIT_DOT.match(text, p)
             ip_to = m.end()
             if m.end() - p >= 7:
-                for x in IP.finditer(text, p, ip_to):
-                    if all(_small(part) for part in x[0].split(".")):
-                        out.append(("ip", x.start(), x.end()))
+                _ips(text, p, ip_to, out)
         if p >= card_to:
             m = _DIGIT_RUN.match(text, p)
             card_to = m.end()
