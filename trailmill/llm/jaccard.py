@@ -10,9 +10,10 @@ shares at least ceil(n num / den) tokens with any partner. The join goes:
    counts its own tokens first, so a common token leaves it once. A set with more
    unshared selected tokens than n - ceil(n num / den) has no partner and rests.
 3. Groups. Remaining sets are put together by the smallest hash among their
-   shared selected tokens, large groups in chunks, and compared inside the chunk.
-   Tokens that only one set has play no part, so the variants of a text fall into
-   few groups whether they link or not. A group keeps its sets and their union.
+   shared selected tokens, large groups in chunks of bounded sets and tokens, and
+   compared inside the chunk. Tokens that only one set has play no part, so the
+   variants of a text fall into few groups whether they link or not. A group is
+   kept as the union of its tokens; a set in it is a list of places in the union.
 4. Token-group matrix. Tokens are ordered by the number of groups whose union has
    them, rare first; of each set only the first n - ceil(n num / den) + 1 are
    entered (two linked sets share one of these). Groups in one row of the matrix
@@ -26,7 +27,8 @@ shares at least ceil(n num / den) tokens with any partner. The join goes:
 No group of copies is expanded into its pairs. Edge cases: a null or empty text
 has an empty set and links with nothing; a null doc_id takes no part and has a
 null component; repeated rows are equal sets; rows of one doc_id with different
-texts are linked by what either is alike.
+texts are linked by what either is alike; a text's words are held in one task;
+extra columns, whatever their names, are cut first.
 """
 
 from __future__ import annotations
@@ -41,10 +43,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, drop_stage, joined, mix, pack, partitions, shingles, slices, stage, words_of
+from .common import WordHashes, buckets_for, documents, drop_stage, joined, mix, pack, partitions, settings, shingles, slices, stage, words_of
 
-#: Sets in a group at most, tokens a map task counts before it sends them.
-CHUNK, FLUSH = 1024, 2_000_000
+#: Sets and tokens in a chunk of a group (one set at least), tokens and sets a map task counts before it sends them.
+CHUNK, CHUNK_TOKENS, FLUSH, FLUSH_SETS = 1024, 1 << 20, 1_000_000, 200_000
 #: The place of a set without shared tokens.
 NO_LOW = (1 << 63) - 1
 _U = np.uint64
@@ -98,9 +100,9 @@ def _place(tokens: np.ndarray) -> np.ndarray:
     return (mix(tokens ^ _U(0x5851F42D4C957F2D)) >> _U(1)).astype(np.int64)
 
 
-def survey(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def survey(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> DataFrame:
     """Staged rows: for each document row, doc_id, n, key, chosen (selected tokens); and packed tokens by bucket."""
-    buckets, stride = partitions(docs.sparkSession), stride_of(num, den)
+    stride = stride_of(num, den)
     schema = "bucket long, row long, doc_id long, n long, key binary, chosen long, shared long, low long, tokens binary, rows binary"
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -144,7 +146,7 @@ def survey(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     chosen.append(_selected(s, stride))
                     waiting += len(chosen[-1])
                     row += 1
-                if waiting > FLUSH:
+                if waiting > FLUSH or len(held) > FLUSH_SETS:
                     yield from flush()
                     waiting = 0
         if held:
@@ -218,13 +220,8 @@ def sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
         found = some.mapInArrow(run, schema).join(wanted, (F.col("label") == F.col("d")) & (F.col("key") == F.col("wanted")))
         kept = kept.union(found.select("key", "label", "n", "tokens", F.col("l").alias("low")))
     # a Bloom filter of bounded size (Spark's limit) over the labels drops other texts before their shuffle
-    conf, name = docs.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = conf.get(name)
-    conf.set(name, "0")
-    try:
+    with settings(docs.sparkSession, {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
         return stage(kept, "jaccard-sets")
-    finally:
-        conf.set(name, before)
 
 
 def _root(parent: dict, x: int) -> int:
@@ -234,10 +231,6 @@ def _root(parent: dict, x: int) -> int:
     return x
 
 
-def _alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    return min(len(a), len(b)) * den >= num * max(len(a), len(b)) and links(overlap(a, b), len(a), len(b), num, den)
-
-
 def _connected(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """For each set the first set of its component: overlaps with all others from lists of the sets that hold a token."""
     n, sizes = len(sets), np.array([len(x) for x in sets])
@@ -262,31 +255,75 @@ def _connected(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return label
 
 
+GROUP = "gid long, lo long, hi long, sizes binary, tokens binary, places binary, keys binary, labels binary, nodes binary"
+
+
+def _group(sets: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
+    """Sizes, the union of the tokens, and each set's places in it (none for a single set, which is the union)."""
+    sizes = np.array([len(a) for a in sets], np.int64)
+    if len(sets) == 1:
+        return sizes.tobytes(), sets[0].tobytes(), b""
+    union, at = np.unique(np.concatenate(sets), return_inverse=True)
+    return sizes.tobytes(), union.tobytes(), at.astype(np.uint32).tobytes()
+
+
+class Group:
+    """A token group opened: its union, the sizes of its sets, their places in the union one set after the other."""
+
+    def __init__(self, sizes: bytes, tokens: bytes, places: bytes):
+        self.sizes, self.union = np.frombuffer(sizes, np.int64), np.frombuffer(tokens, _U)
+        self.places = np.frombuffer(places, np.uint32) if len(self.sizes) > 1 else np.arange(len(self.union), dtype=np.uint32)
+        self.ends = np.cumsum(self.sizes)
+
+    def sets(self) -> list[np.ndarray]:
+        return np.split(self.union[self.places], self.ends[:-1])
+
+    def one(self, i: int) -> np.ndarray:
+        return self.union[self.places[self.ends[i] - self.sizes[i] : self.ends[i]]]
+
+    def within(self, other: "Group") -> np.ndarray:
+        """Of each set, how many tokens are in the other group's union."""
+        if not len(other.union) or not len(self.union):
+            return np.zeros(len(self.sizes), np.int64)
+        at = np.searchsorted(other.union, self.union)
+        at[at == len(other.union)] = 0
+        hits = np.concatenate([[0], np.cumsum((other.union[at] == self.union)[self.places])])
+        return hits[self.ends] - hits[self.ends - self.sizes]
+
+    def selected(self, stride: int) -> tuple[bytes, bytes, bytes]:
+        """The group of the sets' selected tokens, packed."""
+        on = self.union % _U(stride) == 0
+        place = np.cumsum(on) - 1
+        kept = on[self.places]
+        counts = np.concatenate([[0], np.cumsum(kept)])
+        sizes = counts[self.ends] - counts[self.ends - self.sizes]
+        return sizes.astype(np.int64).tobytes(), self.union[on].tobytes(), place[self.places[kept]].astype(np.uint32).tobytes() if len(sizes) > 1 else b""
+
+
 def groups_of(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Staged groups: gid, lo and hi (smallest and largest set), and for each set its size, tokens, key, label and node.
+    """Staged groups: gid, lo and hi (smallest and largest set), the union of the tokens, and for each set its size, places, key, label and node.
 
     A node stands for sets of the group that are connected inside it.
     """
-    schema = "gid long, lo long, hi long, sizes binary, tokens binary, keys binary, labels binary, nodes binary"
 
     def gather(table: pa.Table) -> pa.Table:
         rows = list({r["key"]: r for r in sorted(table.to_pylist(), key=lambda r: (r["label"], r["key"]))}.values())
         arrays = [np.frombuffer(r["tokens"], _U) for r in rows]
         label = _connected(arrays, num, den)
         ids = [int.from_bytes(r["key"][:8], "little", signed=True) for r in rows]
-        sizes = np.array([len(a) for a in arrays], np.int64)
+        sizes, union, places = _group(arrays)
         return pa.table({
-            "gid": pa.array([ids[0]], pa.int64()), "lo": [int(sizes.min())], "hi": [int(sizes.max())], "sizes": [sizes.tobytes()],
-            "tokens": [b"".join(r["tokens"] for r in rows)], "keys": [b"".join(r["key"] for r in rows)],
+            "gid": pa.array([ids[0]], pa.int64()), "lo": [min(map(len, arrays))], "hi": [max(map(len, arrays))], "sizes": [sizes],
+            "tokens": [union], "places": [places], "keys": [b"".join(r["key"] for r in rows)],
             "labels": [np.array([r["label"] for r in rows], np.int64).tobytes()],
             "nodes": [np.array([ids[i] for i in label.tolist()], np.int64).tobytes()],
         })
 
-    many = sets.groupBy("low").agg(F.count("*").alias("__n")).filter(F.col("__n") > CHUNK)
-    chunks = F.coalesce(F.ceil(F.col("__n") / CHUNK), F.lit(1))
-    dealt = sets.join(many, "low", "left").withColumn("chunk", F.pmod(F.xxhash64("label"), chunks)).drop("__n")
+    # the chunks of a group follow from its sets and their tokens
+    many = sets.groupBy("low").agg(F.count("*").alias("sets"), F.sum("n").alias("in_all")).select("low", F.greatest(F.ceil(F.col("sets") / CHUNK), F.ceil(F.col("in_all") / CHUNK_TOKENS)).alias("chunks")).filter("chunks > 1")
+    dealt = sets.join(many, "low", "left").withColumn("chunk", F.pmod(F.xxhash64("label"), F.coalesce("chunks", F.lit(1)))).drop("chunks")
     dealt = dealt.repartition(partitions(sets.sparkSession), "low", "chunk")
-    return stage(dealt.groupBy("low", "chunk").applyInArrow(gather, schema), "jaccard-groups")
+    return stage(dealt.groupBy("low", "chunk").applyInArrow(gather, GROUP), "jaccard-groups")
 
 
 def _split(sizes: bytes, tokens: bytes) -> list[np.ndarray]:
@@ -294,6 +331,11 @@ def _split(sizes: bytes, tokens: bytes) -> list[np.ndarray]:
     return np.split(np.frombuffer(tokens, _U), np.cumsum(n)[:-1])
 
 
+def _groups_in(b: pa.RecordBatch) -> Iterator[Group]:
+    for row in zip(*(b.column(c).to_pylist() for c in ("sizes", "tokens", "places"))):
+        yield Group(*row)
+
+
 def _entries(s: np.ndarray, stride: int, num: int, den: int) -> np.ndarray:
     """Tokens of a set that may be among its first: the selected ones, then others by hash if these are too few."""
     first = s % _U(stride) == 0
@@ -305,15 +347,15 @@ def _entries(s: np.ndarray, stride: int, num: int, den: int) -> np.ndarray:
     return s[first]
 
 
-def matrix(groups: DataFrame, num: int, den: int) -> DataFrame:
+def matrix(groups: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
     """Staged token-group matrix: (token, gid, lo, hi) for the first tokens of the groups' sets that two groups or more have."""
-    buckets, stride = partitions(groups.sparkSession), stride_of(num, den)
+    stride = stride_of(num, den)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, gids = [], []
-            for gid, sizes, raw in zip(b.column("gid").to_pylist(), b.column("sizes").to_pylist(), b.column("tokens").to_pylist()):
-                t = np.unique(np.concatenate([_entries(s, stride, num, den) for s in _split(sizes, raw)]))
+            for gid, group in zip(b.column("gid").to_pylist(), _groups_in(b)):
+                t = np.unique(np.concatenate([_entries(s, stride, num, den) for s in group.sets()]))
                 parts.append(t)
                 gids.append(np.full(len(t), gid, np.int64))
             if parts:
@@ -356,14 +398,14 @@ def matrix(groups: DataFrame, num: int, den: int) -> DataFrame:
             out_hi.append(np.full(len(got), own.max()))
         return pa.table({"token": np.concatenate(out_t).view(np.int64), "gid": np.concatenate(out_g), "lo": np.concatenate(out_lo), "hi": np.concatenate(out_hi)})
 
-    packed = groups.select("gid", "sizes", "tokens").mapInArrow(tokens, "bucket long, tokens binary, gids binary")
+    packed = groups.select("gid", "sizes", "tokens", "places").mapInArrow(tokens, "bucket long, tokens binary, gids binary")
     counted = packed.groupBy("bucket").applyInArrow(frequencies, "part long, gids binary, tokens binary, counts binary")
 
     def part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             g = np.asarray(b.column("gid"))
             part = (mix(g.view(_U).copy()) % _U(buckets)).astype(np.int64)
-            own = [[_entries(s, stride, num, den) for s in _split(n, raw)] for n, raw in zip(b.column("sizes").to_pylist(), b.column("tokens").to_pylist())]
+            own = [[_entries(s, stride, num, den) for s in group.sets()] for group in _groups_in(b)]
             picks = [np.array([len(e) for e in x], np.int64).tobytes() for x in own]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part), b.column("gid"), b.column("sizes"), pa.array(picks, pa.binary()), pa.array([b"".join(e.tobytes() for e in x) for x in own], pa.binary())],
@@ -371,77 +413,78 @@ def matrix(groups: DataFrame, num: int, den: int) -> DataFrame:
             )
 
     # the rank needs a set's entries and size alone, a quarter of its tokens
-    dealt = groups.select("gid", "sizes", "tokens").mapInArrow(part_of, "part long, gid long, sizes binary, picks binary, entries binary")
+    dealt = groups.select("gid", "sizes", "tokens", "places").mapInArrow(part_of, "part long, gid long, sizes binary, picks binary, entries binary")
     return stage(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(first, "token long, gid long, lo long, hi long"), "jaccard-matrix")
 
 
-def _cross(one: dict, two: dict, num: int, den: int) -> list[tuple[int, int]]:
+def _cross(one: Group, two: Group, nodes_one: bytes, nodes_two: bytes, num: int, den: int) -> list[tuple[int, int]]:
     """Links between the nodes of two groups, as many as connect them; bounds first."""
-    a, b = _split(one["sizes"], one["tokens"]), _split(two["sizes"], two["tokens"])
-    need = least_shared(max(min(map(len, a)), min(map(len, b))), num, den)
-    union_a = a[0] if len(a) == 1 else np.unique(np.concatenate(a))
-    union_b = b[0] if len(b) == 1 else np.unique(np.concatenate(b))
-    if overlap(union_a, union_b) < need:
+    in_two, in_one = one.within(two), two.within(one)
+    open_a = np.flatnonzero(in_two >= least_shared(one.sizes, num, den)).tolist()
+    open_b = np.flatnonzero(in_one >= least_shared(two.sizes, num, den)).tolist()
+    if not open_a or not open_b:
         return []
-    node_a, node_b = np.frombuffer(one["nodes"], np.int64).tolist(), np.frombuffer(two["nodes"], np.int64).tolist()
-    open_a = [i for i, x in enumerate(a) if overlap(x, union_b) >= least_shared(len(x), num, den)]
-    open_b = [j for j, y in enumerate(b) if overlap(y, union_a) >= least_shared(len(y), num, den)]
+    node_a, node_b = np.frombuffer(nodes_one, np.int64).tolist(), np.frombuffer(nodes_two, np.int64).tolist()
+    size_a, size_b = one.sizes.tolist(), two.sizes.tolist()
+    opened_b = {j: two.one(j) for j in open_b}
     parent = {n: n for n in (*node_a, *node_b)}
     out = []
     for i in open_a:
+        x = one.one(i)
         for j in open_b:
             u, v = _root(parent, node_a[i]), _root(parent, node_b[j])
-            if u != v and _alike(a[i], b[j], num, den):
+            fits = min(size_a[i], size_b[j]) * den >= num * max(size_a[i], size_b[j])
+            if u != v and fits and links(overlap(x, opened_b[j]), size_a[i], size_b[j], num, den):
                 parent[max(u, v)] = min(u, v)
                 out.append((node_a[i], node_b[j]))
     return out
 
 
-def _may_join(one: dict, two: dict, num: int, den: int) -> bool:
-    """Whether the selected tokens alone leave a link of the two groups possible.
+def _may_join(one: Group, two: Group, sizes_one: bytes, sizes_two: bytes, num: int, den: int) -> bool:
+    """Whether the selected tokens alone (the groups hold no others) leave a link of the two groups possible.
 
     A set of n may miss n - ceil(n num / den) of its tokens in a partner, so it
     misses no more of its selected ones in the union of the partner's group.
     """
-    split = lambda g: np.split(np.frombuffer(g["picked"], _U), np.cumsum(np.frombuffer(g["picks"], np.int64))[:-1])
-    a, b = split(one), split(two)
 
-    def some(sets: list[np.ndarray], sizes: bytes, union: np.ndarray) -> bool:
-        return any(len(x) - overlap(x, union) <= n - least_shared(n, num, den) for x, n in zip(sets, np.frombuffer(sizes, np.int64).tolist()))
+    def some(a: Group, b: Group, sizes: bytes) -> bool:
+        n = np.frombuffer(sizes, np.int64)
+        return bool((a.sizes - a.within(b) <= n - least_shared(n, num, den)).any())
 
-    return some(a, one["sizes"], np.unique(np.concatenate(b))) and some(b, two["sizes"], np.unique(np.concatenate(a)))
+    return some(one, two, sizes_one) and some(two, one, sizes_two)
 
 
 def bounded(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs of groups that qualify by the overlap of their unions' selected tokens, a fraction of their bytes."""
     stride = stride_of(num, den)
-    fields = ("sizes", "picks", "picked")
+    fields = ("sizes", "picks", "picked", "spots")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [[_selected(s, stride) for s in _split(n, raw)] for n, raw in zip(b.column("sizes").to_pylist(), b.column("tokens").to_pylist())]
-            picks = [np.array([len(x) for x in g], np.int64).tobytes() for g in own]
-            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("sizes"), pa.array(picks, pa.binary()), pa.array([b"".join(x.tobytes() for x in g) for g in own], pa.binary())], ["gid", *fields])
+            own = [g.selected(stride) for g in _groups_in(b)]
+            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("sizes"), *[pa.array([x[i] for x in own], pa.binary()) for i in range(3)]], ["gid", *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = [_may_join(*({f: r[f"{c}_{f}"] for f in fields} for c in "ab"), num, den) for r in b.to_pylist()]
+            hit = [_may_join(*(Group(r[f"{c}_picks"], r[f"{c}_picked"], r[f"{c}_spots"]) for c in "ab"), r["a_sizes"], r["b_sizes"], num, den) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    unions = groups.select("gid", "sizes", "tokens").mapInArrow(pick, "gid long, sizes binary, picks binary, picked binary")
+    unions = groups.select("gid", "sizes", "tokens", "places").mapInArrow(pick, "gid long, sizes binary, picks binary, picked binary, spots binary")
     side = lambda c: unions.select(F.col("gid").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fields])
     return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "jaccard-bounded")
 
 
 def opened(candidates: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) of nodes found in the pairs (a, b) of groups that qualify."""
-    fields = ("sizes", "tokens", "nodes")
+    fields = ("sizes", "tokens", "places", "nodes")
     pairs = bounded(candidates, groups, num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [x for r in b.to_pylist() for x in _cross(*({f: r[f"{c}_{f}"] for f in fields} for c in "ab"), num, den)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            for r in zip(*(b.column(f"{c}_{f}").to_pylist() for c in "ab" for f in fields)):
+                found = _cross(Group(*r[:3]), Group(*r[4:7]), r[3], r[7], num, den)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     side = lambda c: groups.select(F.col("gid").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fields])
     return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "jaccard-links")
@@ -449,7 +492,11 @@ def opened(candidates: DataFrame, groups: DataFrame, num: int, den: int) -> Data
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) for the nodes of edges (a, b): large-star and small-star rounds, each staged."""
+    h = F.xxhash64("u", "v")
+    # tables of the same rows have the same marks; rows are distinct
+    marks = lambda rows: rows.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
     both = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "jaccard-edges")
+    before = marks(both)
     while True:
         # large star: larger neighbours of a node join its smallest neighbour
         around = both.select("u", "v").union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -461,9 +508,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, large.u == low.c)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = stage(small, "jaccard-edges")
-        if not after.exceptAll(both).limit(1).count() and not both.exceptAll(after).limit(1).count():
+        now = marks(after)
+        drop_stage(both)
+        if now == before:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        both = after
+        both, before = after, now
 
 
 def members_of(groups: DataFrame) -> DataFrame:
@@ -479,9 +528,9 @@ def members_of(groups: DataFrame) -> DataFrame:
     return stage(groups.select("keys", "labels", "nodes", "gid").mapInArrow(run, "member binary, label long, node long, gid long"), "jaccard-members")
 
 
-def group_links(groups: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+def group_links(groups: DataFrame, members: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
     """node, root of the connected nodes (nodes without links are left out)."""
-    entries = matrix(groups, num, den)
+    entries = matrix(groups, num, den, buckets)
     fits = (F.col("hi") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo") * num)
     centre = entries.groupBy("token").agg(F.min(F.struct("gid", "lo", "hi")).alias("c"), F.max("gid").alias("z")).filter("c.gid <> z")
     centre = centre.select("token", F.col("c.gid").alias("a"), F.col("c.lo").alias("lo2"), F.col("c.hi").alias("hi2"))
@@ -506,7 +555,8 @@ def group_links(groups: DataFrame, members: DataFrame, num: int, den: int) -> Da
 
 def duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    surveyed = survey(docs, words, num, den)
+    buckets = buckets_for(docs)
+    surveyed = survey(docs, words, num, den, buckets)
     known = stage(classes(surveyed, num, den), "jaccard-classes")
     rows = stage(surveyed.filter("bucket < 0").select("doc_id", "n", "key"), "jaccard-rows")
     drop_stage(surveyed)
@@ -514,12 +564,14 @@ def duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     groups = groups_of(sets, num, den)
     drop_stage(sets)
     members = members_of(groups)
-    roots = group_links(groups, members, num, den).withColumnRenamed("node", "linked")
+    roots = group_links(groups, members, num, den, buckets).withColumnRenamed("node", "linked")
     drop_stage(groups)
     rooted = members.join(roots, F.col("node") == F.col("linked"), "left").select("member", "label", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("label").alias("component"))
     of_set = rooted.select("member", "root").join(smallest, "root").select("member", "component")
     of_class = known.select("key", "label").join(of_set, F.col("key") == F.col("member"), "left").select(F.col("key").alias("k"), F.coalesce("component", "label").alias("component"))
+    # written first, so that the last join stands on two plain shuffles, which Spark splits where a key has many rows
+    of_class = stage(of_class, "jaccard-components")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
     return rows.join(of_class, F.col("key") == F.col("k"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
