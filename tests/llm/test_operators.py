@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -71,6 +72,37 @@ def test_topk(spark):
     assert topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    """No finite component is too large; scores stay exact integers beyond 2**53; what a long cannot hold is an error."""
+    rows = [(0, [1.0, 0.0]), (1, [6e5, 0.0]), (2, [1.0, 1.0]), (50, [3e6, 1.0]), (3, [3e6, 7.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(v, v.filter("id % 50 = 0"), 2).collect()}
+    big = 768_000_000
+    assert got == {(0, 1): (3, 256 * big), (0, 2): (50, 256 * big), (50, 1): (3, big * big + 7 * 65536), (50, 2): (1, big * 153_600_000)}
+    far = topk.quantised(spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="does not fit"):
+        topk.top_k(far, far, 1).collect()
+    beyond = topk.quantised(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="beyond a long"):
+        beyond.collect()
+
+
+def test_topk_over_shards(spark, monkeypatch):
+    """Floors from a first shard leave out nothing: several shards and batches against all pairs, with ties."""
+    monkeypatch.setattr(topk, "SHARD", 60)
+    monkeypatch.setattr(topk, "BATCH", 7)
+    rng = random.Random(9)
+    data = [(i, [rng.choice([-1.0, -0.5, 0.25, 1.0]) for _ in range(3)]) for i in range(400)]
+    v = topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
+    got = {}
+    for r in topk.top_k(v, v.filter("id % 20 = 0"), 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    x = {i: [int(256 * c) for c in e] for i, e in data}
+    for q in range(0, 400, 20):
+        want = sorted((-sum(a * b for a, b in zip(x[q], x[i])), i) for i in x if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_jaccard(docs, nothing):
     got = by_id(jaccard.duplicates(docs, 4, 85, 100))
     sets = {}
@@ -117,6 +149,13 @@ def test_flac(docs, nothing):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
     blocks = flac.pcm_blocks(flac.media(docs)).filter("doc_id = 17").orderBy("sample_offset").collect()
     assert b"".join(bytes(b["pcm"]) for b in blocks) == flac.payload_of(texts()[17])[1]
+    for first, count in ((0, 10), (4600, 30), (5000, 9000), (10**7, 5)):
+        found: dict = {}
+        for r in flac.seek(flac.media(docs), first, count).orderBy("sample_offset").collect():
+            if r["doc_id"] is not None and r["doc_id"] != 3:
+                found[r["doc_id"]] = found.get(r["doc_id"], b"") + bytes(r["pcm"])
+        want = {i: flac.payload_of(t)[1][first : first + count] for i, t in enumerate(texts()) if i != 3}
+        assert found == {i: p for i, p in want.items() if p}
     assert flac.digest(flac.media(nothing)).count() == 0
 
 
@@ -145,6 +184,21 @@ def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_crossings_are_exact(spark):
+    """Copies in integers at ranks where doubles round, and at most two."""
+    rows = [(rate, offset, rank) for rate in (2.0, 1.9999999998, 1.5, 2 / 3, 0.1, 0.0) for offset in (0.0, 0.25, 4294967295 / 4294967296) for rank in (1, 2, 3, 65536, 10**9 + 7, 10**12 + 1, 2**52 + 1)]
+    got = spark.createDataFrame(rows, "rate double, offset double, rank long").select("*", mixing.crossings(F.col("rank")).alias("c")).collect()
+    for r in got:
+        f, o = int(r["rate"] * 2**32), int(r["offset"] * 2**32)
+        assert r["c"] == (f * r["rank"] + o >> 32) - (f * (r["rank"] - 1) + o >> 32) <= 2
+
+
+def test_mixing_of_clashing_names(spark):
+    df = spark.createDataFrame([(i, "a b c", "x", "k", 1, 2, 3) for i in range(20)], "doc_id long, text string, source string, key string, size int, n int, total int")
+    out = mixing.mix(df)
+    assert out.columns == df.columns and out.count() == 30
+
+
 def test_hmm(docs, nothing):
     frame = docs.select("doc_id", "text", (F.col("doc_id") % 7 == 2).alias("held_out")).filter("doc_id IS NOT NULL")
     rows = hmm.scores(frame).collect()
@@ -251,6 +305,43 @@ def test_pieces(docs, nothing):
     assert pieces.encode(nothing, PIECES).count() == 0
 
 
+def test_pieces_of_giant_texts(spark):
+    """Chunks and a tree of several levels give what the whole texts and the library give."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(12)
+    words = ["strange", "unbelievably", "x" * 900, "é字", "co-operate", "▁", "3.14159", "ab" * 200]
+    giant = ["".join(rng.choice(words) + rng.choice(["", " ", "  ", "\n"]) for _ in range(1500)), "lowercase" * 4000, " " * 3000, "a"]
+    df = spark.createDataFrame(list(enumerate(giant)), "doc_id long, text string")
+    for chunk, fan in ((700, 3), (5000, 2), (1 << 20, 64)):
+        got = by_id(pieces.encode(df, PIECES, chunk, fan))
+        for i, t in enumerate(giant):
+            assert np.frombuffer(got[i]["ids"], np.uint16).tolist() == lib.encode(t), (chunk, i)
+
+
+def test_caches_stay_in_their_bytes():
+    """A worker's caches at their limits: the memory they take is near their budget."""
+    import tracemalloc
+
+    from trailmill.llm import common
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 14)))
+    model = pieces.Pieces(PIECES)
+    tracemalloc.start()
+    for _ in range(12):
+        model.encode_marked(["▁" + "▁".join(word() for _ in range(40_000))])
+    assert tracemalloc.get_traced_memory()[0] < 2 * common.CACHE_BYTES
+    tracemalloc.stop()
+    tracemalloc.start()
+    hashes = common.WordHashes()
+    for _ in range(common.WordHashes.MOST + 10):
+        hashes[word().encode()]
+    assert tracemalloc.get_traced_memory()[1] < 1.5 * common.CACHE_BYTES
+    tracemalloc.stop()
+
+
 def test_pieces_compose_is_associative():
     a, b, c = {1: {2, 3}}, {2: {5}, 3: {6}}, {5: {7}, 6: set()}
     assert pieces.compose(pieces.compose(a, b), c) == pieces.compose(a, pieces.compose(b, c)) == {1: {7}}
@@ -261,25 +352,40 @@ def test_tokenfile(docs, nothing, spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tk = Tokenizer.from_file(path)
-    stored = tokenfile.stage(tokenfile.segments(docs, path), "test")
-    rows = tokenfile.read_back(stored).collect()
+    folder = tokenfile.stage_path(spark, "test")
+    tokenfile.write(docs, path, folder)
+    rows = tokenfile.read(spark, folder).collect()
     order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect()))
     start = 0
     for r, (_, doc, text) in zip(sorted(rows, key=lambda r: r["start"]), order):
         ids = [*tk.encode(text, add_special_tokens=False).ids, 2]
         assert (r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) == (doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    assert tokenfile.read_back(tokenfile.stage(tokenfile.segments(nothing, path), "test")).count() == 0
+    empty = tokenfile.stage_path(spark, "test")
+    tokenfile.write(nothing, path, empty)
+    assert tokenfile.read(spark, empty).count() == 0
+
+
+def test_tokenfile_special_tokens(spark):
+    """Ids are the library's own, special tokens in the text included."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    some = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b  c", "see <|endoftext|> here", "<|endoftext", " <|endoftext|>\n<|endoftext|> "]
+    got = tokenfile.Encoder(path).encode(some)
+    assert [g.tolist() for g in got] == [tk.encode(t, add_special_tokens=False).ids for t in some] and got[0].tolist() == [31373, 220, 50256, 995]
 
 
-def test_tokenfile_codes(tmp_path):
+def test_tokenfile_codes():
     v = np.array([0, 1, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     for n in range(len(v) + 1):
         assert tokenfile.decode_values(*tokenfile.encode_values(v[:n]), n).tolist() == v[:n].tolist()
-    segment = tokenfile.pack_segment([None, 5], [2, 1], np.array([9, 2, 2]))
-    tokenfile.write_segment(str(tmp_path / "s"), segment)
-    ids, counts, got = tokenfile.read_segment(str(tmp_path / "s"))
-    assert (ids, counts.tolist(), got.tolist()) == ([None, 5], [2, 1], [9, 2, 2])
+    segment = tokenfile.pack_segment([None, 5], [2, 1], np.array([9, 2, 2]), 3, 4) + tokenfile.TRAILER
+    part, seq, ids, counts, got = tokenfile.unpack_segment(segment)
+    assert (part, seq, ids, counts.tolist(), got.tolist()) == (3, 4, [None, 5], [2, 1], [9, 2, 2])
+    with pytest.raises(ValueError):
+        tokenfile.unpack_segment(segment[:-1])
 
 
 def base_spans(t):
@@ -303,6 +409,10 @@ def test_pii(docs, nothing):
     for _ in range(4000):
         t = "".join(rng.choice(["1", "22", ".", "@", "+", "-", " ", "a.b", "(", ")", "4111111111111111", "é", "\n", "com"]) for _ in range(rng.randrange(25)))
         assert [s for s in pii.find_spans(t, a) if s[0] in pii.BASE] == base_spans(t)
+    digits = "1" * 400_000 + " " + "7." * 200_000 + " +" + "5" * 100_000
+    began = time.process_time()
+    found = pii.find_spans(digits, a)
+    assert time.process_time() - began < 5 and [s for s in found if s[0] == "ip"][:2] == [("ip", 400_001, 400_008), ("ip", 400_009, 400_016)]
     clean = by_id(pii.redacted(docs))
     assert "@c.org" not in clean[18]["text"] and "<EMAIL>" in clean[18]["text"] and clean[18]["n_chars"] == len(clean[18]["text"])
     assert pii.digest(nothing).count() == 0 and pii.redacted(nothing).columns == nothing.columns
