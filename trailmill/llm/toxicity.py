@@ -8,7 +8,7 @@ no share of all is asked for, so a language with few of the toxic rows gets its
 forms too. The chain's emissions add learned
 weights of the word, its beginnings and both neighbours. Forward-backward
 marginals of all words of a text give the document's score (a logistic function
-of their logarithmic sum and their maximum) and its offending spans.
+of the logarithm of their sum, faint ones left out, and of their maximum) and its offending spans.
 
 Training takes a bounded sample (TRAIN_ROWS labelled rows); scoring takes every
 word of every text. Weights are a table of fixed size, so what is sent to the
@@ -47,6 +47,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 FALSE_RATE, TIMES = 0.05, 8
 #: Toxic documents a form must stand in, copies counted once.
 LEAST = 3
+#: Marginals below this do not count in the sum of a text.
+FAINT = 0.1
 _EDGE = b".,;:!?%*$&#|()[]{}<>\"'"
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -107,12 +109,15 @@ def _emission(words: list[bytes], lengths: np.ndarray, values: _Values, bias: fl
 
 
 def _document_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """log(1 + sum of marginals) and largest marginal of each text."""
+    """log(1 + sum of the marginals from FAINT on) and largest marginal of each text.
+
+    The many smaller marginals of a long clean text would add up to a toxic word.
+    """
     out = np.zeros((len(lengths), 2))
     some = np.flatnonzero(lengths > 0)
     if len(some):
         starts = (np.cumsum(lengths) - lengths)[some]
-        out[some, 0] = np.log1p(np.add.reduceat(p, starts))
+        out[some, 0] = np.log1p(np.add.reduceat(np.where(p >= FAINT, p, 0), starts))
         out[some, 1] = np.maximum.reduceat(p, starts)
     return out
 
