@@ -21,23 +21,25 @@ def _lookup(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+def _below_ten_thousand(text: Column) -> Column:
+    """The value of a numeral without 万: every power counts by the digit right before it (1 if there is none), then the last digit."""
+    digits, small = "".join(HAN_DIGITS), "".join(c for c in HAN_POWERS if c != "万")
+    terms = F.regexp_extract_all(text, F.lit(f"([{digits}]?[{small}])"), 1)
+    digit, power = _lookup(HAN_DIGITS), _lookup(HAN_POWERS)
+    value = lambda t: F.when(F.length(t) == 1, power[t]).otherwise(F.greatest(digit[F.left(t, F.lit(1))], F.lit(1)) * power[F.right(t, F.lit(1))])
+    units = digit[F.nullif(F.regexp_extract(text, f"([{digits}])$", 1), F.lit(""))]
+    return F.aggregate(F.transform(terms, value), F.lit(0).cast("long"), lambda s, v: s + v) + F.coalesce(units, F.lit(0))
+
+
 def han_number(text: Column) -> Column:
     """STR16: the integer a Han numeral names; null for an empty text or any other character.
 
-    A power without a digit before it counts once; the power 10000 multiplies all that stands before it.
+    The numeral is cut at 万; each part is read by its smaller powers, and every part before a 万 counts ten
+    thousand times, 1 at least.
     """
-    digit, power = _lookup(HAN_DIGITS), _lookup(HAN_POWERS)
-    state = lambda done, section, last: F.struct(done.cast("long").alias("done"), section.cast("long").alias("section"), last.cast("long").alias("last"))
-
-    def step(s: Column, ch: Column) -> Column:
-        whole = s["section"] + s["last"]
-        at = power[ch]
-        ten_thousands = state(s["done"] + F.greatest(whole, F.lit(1)) * at, F.lit(0), F.lit(0))
-        smaller = state(s["done"], s["section"] + F.greatest(s["last"], F.lit(1)) * at, F.lit(0))
-        return F.when(at.isNull(), state(s["done"], s["section"], digit[ch])).when(at == 10000, ten_thousands).otherwise(smaller)
-
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    value = F.aggregate(chars, state(F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["done"] + s["section"] + s["last"])
+    parts = F.split(text, "万", -1)
+    high = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.greatest(_below_ten_thousand(x), F.lit(1)) * F.lit(HAN_POWERS["万"]))
+    value = F.aggregate(high, F.lit(0).cast("long"), lambda s, v: s + v) + _below_ten_thousand(F.element_at(parts, -1))
     return F.when(text.rlike(f"^{HAN_NUMBER}$"), value)
 
 
@@ -50,20 +52,20 @@ def amounts(text: Column, unit: str) -> Column:
 
 
 def amount_verdict(text: Column, operator: str, value: float, unit: str, upper: float | None = None, tolerance: float = 0.0) -> Column:
-    """STR17: pass when any amount fits (eq, min, max or range), fail when none does, unverifiable without amounts."""
-    if unit not in UNITS or operator not in ("eq", "min", "max", "range"):
+    """STR17: whether an amount of the text lies in the interval an operator stands for; unverifiable without amounts.
+
+    eq, min, max and range are the closed intervals [value, value], [value, ∞), (-∞, value] and [value, upper], each
+    widened by the tolerance on both sides. Unknown units and operators are unverifiable.
+    """
+    if not (tolerance >= 0 and tolerance != float("inf")):
+        raise ValueError(f"a tolerance of {tolerance} makes no interval")
+    low = {"eq": value, "min": value, "range": value, "max": float("-inf")}.get(operator)
+    high = {"eq": value, "max": value, "range": value if upper is None else upper, "min": float("inf")}.get(operator)
+    if low is None or high is None or unit not in UNITS:
         return F.lit("unverifiable")
-    if not 0 <= tolerance < float("inf"):
-        raise ValueError("tolerance must be finite and not negative")
-    goal = value * UNITS[unit][1]
-    fits = {
-        "eq": lambda x: F.abs(x - goal) <= tolerance,
-        "min": lambda x: x + tolerance >= goal,
-        "max": lambda x: x - tolerance <= goal,
-        "range": lambda x: (x >= goal - tolerance) & (x <= (upper if upper is not None else value) * UNITS[unit][1] + tolerance),
-    }[operator]
-    found = amounts(text, unit)
-    return F.when(F.coalesce(F.size(found), F.lit(0)) <= 0, "unverifiable").when(F.exists(found, fits), "pass").otherwise("fail")
+    size, found = UNITS[unit][1], amounts(text, unit)
+    inside = F.exists(found, lambda x: x.between(low * size - tolerance, high * size + tolerance))
+    return F.when(F.size(found) > 0, F.when(inside, "pass").otherwise("fail")).otherwise("unverifiable")
 
 
 def spans(text: Column, value: str) -> Column:

@@ -232,7 +232,11 @@ def event_counters(spark, sf_dir):
     return tracker.counters(t(spark, sf_dir, "events"), "user_id", "value").withColumn("total", F.round("total", 4))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id::VARCHAR AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type || '|' || props AS sig, CASE WHEN event_type IN ('view', 'purchase') THEN props END AS ev FROM events),
+x AS (SELECT *, lag(sig) OVER (PARTITION BY session ORDER BY n) IS DISTINCT FROM sig AS changed, coalesce(ev <> '', false) AND row_number() OVER (PARTITION BY session, ev ORDER BY n) = 1 AS fresh FROM e),
+y AS (SELECT *, n - max(CASE WHEN changed THEN n END) OVER w AS repeats, n - coalesce(max(CASE WHEN fresh THEN n END) OVER w, 0) AS stalled FROM x WINDOW w AS (PARTITION BY session ORDER BY n)),
+z AS (SELECT *, CASE WHEN repeats >= 2 THEN 'repeat_loop' WHEN stalled >= 4 THEN 'no_progress' WHEN n >= 35 THEN 'max_steps' END AS why FROM y)
+SELECT session, coalesce(min(n) FILTER (why IS NOT NULL), max(n))::INT AS steps, coalesce(arg_min(why, n) FILTER (why IS NOT NULL), '') AS ended FROM z GROUP BY 1""")
 def tracker_sessions(spark, sf_dir):
     from ..streaming import tracker
 
@@ -350,10 +354,11 @@ def variant_price_ladder(spark, sf_dir):
     return a.select("p_brand", "p_type", rung.alias("rung"), F.when(F.col("prices") == 1, F.col("low")).alias("price"))
 
 
-@query("""SELECT p_brand, round(sum(p_size * p_retailprice) FILTER (p_size > 10) / sum(p_size) FILTER (p_size > 10), 4) AS weighted, sum((p_size > 25)::INT)::BIGINT AS passed, count(*)::BIGINT AS required FROM part GROUP BY 1""")
+@query("""SELECT p_brand, round(coalesce(sum(p_size * p_retailprice) FILTER (p_size > 10 AND p_brand <> 'Brand#11') / sum(p_size) FILTER (p_size > 10 AND p_brand <> 'Brand#11'), 1.0::DOUBLE), 4) AS weighted, sum((p_size > 25)::INT)::BIGINT AS passed, count(*)::BIGINT AS required FROM part GROUP BY 1""")
 def weighted_preference(spark, sf_dir):
-    on, w = F.col("p_size") > 10, F.col("p_size")
-    return t(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.try_divide(F.sum(F.when(on, w * F.col("p_retailprice"))), F.sum(F.when(on, w))), 4).alias("weighted"), F.sum((w > 25).cast("long")).alias("passed"), F.count("*").alias("required"))
+    """AG24: 1.0 where no dimension is active (one brand here)."""
+    on, w = (F.col("p_size") > 10) & (F.col("p_brand") != "Brand#11"), F.col("p_size")
+    return t(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.coalesce(F.try_divide(F.sum(F.when(on, w * F.col("p_retailprice"))), F.sum(F.when(on, w))), F.lit(1.0)), 4).alias("weighted"), F.sum((w > 25).cast("long")).alias("passed"), F.count("*").alias("required"))
 
 
 @query("""WITH a AS (SELECT l_orderkey, count(*) AS a FROM lineitem GROUP BY 1), q AS (SELECT quantile_disc(a, 0.95) AS a95 FROM a)
@@ -440,18 +445,27 @@ def interleaved_plan(spark, sf_dir):
 def mincost_category_plan(spark, sf_dir):
     c = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     cells = {(r["c_mktsegment"], r["n_name"]): r["n"] for r in c.groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("n")).collect()}
-    take = sampling.min_cost_flow(cells, dict.fromkeys({k[0] for k in cells}, 5), 1)
+    take = sampling.min_cost_flow(cells, dict.fromkeys({k[0] for k in cells}, 5), 1, {c: 1.0 / n for c, n in cells.items()})
     chosen = spark.createDataFrame([(a, b, n) for (a, b), n in sorted(take.items()) if n], "c_mktsegment string, n_name string, quota int")
     nth = F.row_number().over(Window.partitionBy("c_mktsegment", "n_name").orderBy(sampling.digest("s7", F.col("c_custkey")), "c_custkey"))
     return c.withColumn("nth", nth).join(F.broadcast(chosen), ["c_mktsegment", "n_name"]).filter("nth <= quota").select("c_custkey", "c_mktsegment", "n_name")
 
 
-@query("WITH v AS (SELECT c_custkey, c_custkey % 9 = 0 AS v FROM customer) SELECT 'train' AS part, count(*)::BIGINT AS n FROM v WHERE NOT v UNION ALL SELECT 'validation', count(*)::BIGINT FROM v WHERE v UNION ALL SELECT 'overlap', 0::BIGINT")
+@query("""WITH p AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 9 <> 0), v AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 9 = 0 OR c_custkey % 50 = 1),
+a AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 27 <> 0)
+SELECT 'train' AS part, count(*)::BIGINT AS n FROM p UNION ALL SELECT 'validation', count(*)::BIGINT FROM v UNION ALL SELECT 'overlap', count(*)::BIGINT FROM p SEMI JOIN v USING (k)
+UNION ALL SELECT 'missing', count(*)::BIGINT FROM a ANTI JOIN (FROM p UNION FROM v) u USING (k) UNION ALL SELECT 'unexpected', count(*)::BIGINT FROM (FROM p UNION FROM v) u ANTI JOIN a USING (k)""")
 def set_partition_check(spark, sf_dir):
+    """SET3, SET4, SET5: sizes of two parts, keys in both, and what their union lacks or adds against the whole; the parts here overlap on purpose."""
     c = t(spark, sf_dir, "customer").select("c_custkey")
-    a, b = c.filter("c_custkey % 9 <> 0"), c.filter("c_custkey % 9 = 0")
+    a, b, whole = c.filter("c_custkey % 9 <> 0"), c.filter("c_custkey % 9 = 0 OR c_custkey % 50 = 1"), c.filter("c_custkey % 27 <> 0")
     size = lambda d, name: d.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
-    return size(a, "train").unionByName(size(b, "validation")).unionByName(size(checks.overlap(a, b, "c_custkey"), "overlap"))
+    off = checks.keyset_difference(whole, a.union(b).distinct(), "c_custkey")
+    parts = [size(a, "train"), size(b, "validation"), size(checks.overlap(a, b, "c_custkey"), "overlap"), *[size(off.filter(F.col("problem") == x), x) for x in ("missing", "unexpected")]]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # ---- text and retrieval ---------------------------------------------------------

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,13 +49,17 @@ def parse_log(lines: DataFrame, line: str, position: str, fields: list[str]) ->
 
 
 def content_digest(df: DataFrame) -> str:
-    """SNK3, SNK12: a digest of a table's rows that their order does not change.
+    """SNK3, SNK12: sha256 of a table's schema and of its rows, whatever their order.
 
-    Row hashes add up in three sums, so partitions are combined by partial sums.
+    A row is hashed as the JSON of a struct that keeps nulls, so values cannot move between columns. Row hashes add
+    up as four numbers of 60 bits, each in a sum and an exclusive or, so partitions are combined by partial sums.
     """
-    h = F.xxhash64(*df.columns)
-    r = df.agg(F.count("*").alias("n"), F.sum((h % 1_000_003).cast("decimal(38,0)")).alias("a"), F.sum(F.pmod(h, F.lit(2_147_483_647)).cast("decimal(38,0)")).alias("b"), F.bit_xor(h).alias("c")).first()
-    return f"{r['n']}:{r['a']}:{r['b']}:{r['c']}"
+    columns = sorted(df.columns)
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}), 256)
+    words = [F.conv(F.substring(row, 1 + 16 * i, 15), 16, 10).cast("long") for i in range(4)]
+    total = df.select(*[w.alias(f"w{i}") for i, w in enumerate(words)]).agg(F.count("*"), *[f for i in range(4) for f in (F.sum(F.col(f"w{i}").cast("decimal(20,0)")), F.bit_xor(f"w{i}"))]).first()
+    schema = [(c, df.schema[c].dataType.simpleString()) for c in columns]
+    return hashlib.sha256(json.dumps([schema, [str(x) for x in total]]).encode()).hexdigest()
 
 
 def freeze(df: DataFrame, path: str) -> str:
@@ -68,7 +76,15 @@ def freeze(df: DataFrame, path: str) -> str:
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """SNK9: name, bytes and sha256 of every file below a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    below = F.regexp_replace("path", F.lit("^.*?" + re.escape(path.rstrip("/").split(":")[-1]) + "/"), F.lit(""))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), below.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def changed(before: DataFrame, now: DataFrame) -> DataFrame:
+    """SNK9: path and problem (missing, unexpected, differs) of files that two manifests do not agree on."""
+    a, b = before.select("path", F.col("sha256").alias("was")), now.select("path", F.col("sha256").alias("is"))
+    problem = F.when(F.col("is").isNull(), "missing").when(F.col("was").isNull(), "unexpected").when(F.col("was") != F.col("is"), "differs")
+    return a.join(b, "path", "full_outer").select("path", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
 def append_log(df: DataFrame, path: str) -> None:

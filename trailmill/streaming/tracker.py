@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -47,15 +47,19 @@ def track(steps: DataFrame) -> DataFrame:
 
 
 def track_batch(steps: DataFrame) -> DataFrame:
-    """The batch twin of track(): a fold over each session's ordered steps."""
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        now: tuple = ("", 0, 0, 0, [], "")
-        for r in rows.sort_values("step").itertuples():
-            now = advance(now, r.signature, [r.evidence] if r.evidence else [])
-        return pd.DataFrame({"session": [key[0]], "steps": [now[3]], "ended": [now[5]]})
-
-    return steps.groupBy("session").applyInPandas(fold, OUT)
+    """The batch twin of track(), by windows: the first step at which a rule holds ends a session."""
+    by = Window.partitionBy("session").orderBy("step")
+    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = steps.withColumn("n", F.row_number().over(by)).withColumn("changed", ~F.lag("signature").over(by).eqNullSafe(F.col("signature")))
+    first = F.row_number().over(Window.partitionBy("session", "evidence").orderBy("step")) == 1
+    rows = rows.withColumn("fresh", F.coalesce(F.col("evidence") != "", F.lit(False)) & first)
+    rows = rows.withColumn("repeats", F.col("n") - F.max(F.when(F.col("changed"), F.col("n"))).over(so_far))
+    rows = rows.withColumn("stalled", F.col("n") - F.coalesce(F.max(F.when(F.col("fresh"), F.col("n"))).over(so_far), F.lit(0)))
+    why = F.when(F.col("repeats") >= REPEATS, "repeat_loop").when(F.col("stalled") >= STALLED, "no_progress").when(F.col("n") >= STEPS, "max_steps")
+    ends = rows.withColumn("why", why)
+    hit = F.when(F.col("why").isNotNull(), F.col("n"))
+    out = ends.groupBy("session").agg(F.coalesce(F.min(hit), F.max("n")).cast("int").alias("steps"), F.coalesce(F.min_by("why", hit), F.lit("")).alias("ended"))
+    return out.select("session", "steps", "ended")
 
 
 def counters(events: DataFrame, key: str, value: str) -> DataFrame:
