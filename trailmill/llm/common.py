@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Bytes of text a Python worker works on at once, bytes of a batch sent to it while a table is staged.
 SLICE_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
 #: Bytes that what a worker remembers (words, paths, steps) may take, over all its caches of one operator.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 64 << 20
 #: Bytes of text that one bucket of a hash-dealt step answers for.
 BUCKET_BYTES = 128 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
