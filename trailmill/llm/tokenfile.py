@@ -44,8 +44,8 @@ MAGIC, TRAILER = b"TMS2", b"TMSE"
 END_ID = 2
 #: Ids in a segment before the next one begins.
 SEGMENT_IDS = 2 << 20
-#: Words kept with their ids in a worker: about 200 bytes each.
-CACHE_WORDS = room(200)
+#: Words kept with their ids in a worker, about 200 bytes each; as its step has no other cache, two shares and a half.
+CACHE_WORDS = room(200, 2.5)
 
 #: White space as the tokenizer's pattern has it. Fixed values.
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -86,8 +86,10 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def pack_segment(doc_ids: list, counts: list[int], ids: np.ndarray, part: int = 0, seq: int = 0) -> bytes:
     """A segment (without its trailer) of documents in order, ids being those of all of them."""
-    present, frequency = np.unique(ids, return_counts=True)
-    ranked = present[np.lexsort((present, -frequency))].astype("<u4")
+    # ids are below the vocabulary's size, so a table counts them without sorting
+    frequency = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    present = np.flatnonzero(frequency)
+    ranked = present[np.argsort(-frequency[present], kind="stable")].astype("<u4")
     rank_of = np.zeros(int(present.max()) + 1 if len(present) else 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
     control, data = encode_values(rank_of[ids])
@@ -133,6 +135,7 @@ class Encoder:
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.spaced: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -140,19 +143,21 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of " word" for new words, many in one text: only their first id begins with a space."""
-        for low in range(0, len(words), 64):
-            part = words[low : low + 64]
-            ids = np.frombuffer(self._ids([" " + " ".join(part)])[0], self.dtype)
-            cuts = np.flatnonzero(self.begins[ids])
-            if len(cuts) == len(part) and (not len(cuts) or cuts[0] == 0):
-                for word, piece in zip(part, np.split(ids, cuts[1:])):
-                    self.spaced[word] = piece.tobytes()
-            else:
-                self.spaced |= zip(part, self._ids([" " + w for w in part]))
+        size = np.dtype(self.dtype).itemsize
+        for low in range(0, len(words), 16_384):
+            parts = [words[i : i + 64] for i in range(low, min(len(words), low + 16_384), 64)]
+            for part, raw in zip(parts, self._ids([" " + " ".join(p) for p in parts])):
+                cuts = np.flatnonzero(self.begins[np.frombuffer(raw, self.dtype)])
+                if len(cuts) == len(part) and cuts[0] == 0:
+                    at = (cuts * size).tolist()
+                    self.spaced.update(zip(part, [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)])]))
+                else:
+                    self.spaced.update(zip(part, self._ids([" " + w for w in part])))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.spaced) > CACHE_WORDS:
-            self.spaced.clear()
+        if len(self.spaced) > CACHE_WORDS // 2:
+            # two generations: words still in use move over from the older one, the others go
+            self.older, self.spaced = self.spaced, {}
         pieces, heads, whole = [], [], []
         for i, t in enumerate(texts):
             if not t:
@@ -166,7 +171,9 @@ class Encoder:
                 if first:
                     heads.append((i, first))
         fresh = set().union(*[p for p in pieces if p]) - self.spaced.keys()
-        self._learn(sorted(fresh))
+        for word in fresh & self.older.keys():
+            self.spaced[word] = self.older[word]
+        self._learn(list(fresh - self.older.keys()))
         head = dict(zip([i for i, _ in heads], self._ids([f for _, f in heads])))
         full = dict(zip(whole, self._ids([texts[i] for i in whole])))
         get = self.spaced.__getitem__
