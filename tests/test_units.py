@@ -68,3 +68,45 @@ def test_tracker_stream_equals_batch(spark, tmp_path):
 def test_first_per_key_ties(spark):
     df = spark.createDataFrame([(1, 2), (1, 1), (None, 5)], "k int, o int")
     assert {(r["k"], r["o"]) for r in sequence.first_per_key(df, ["k"], ["o"]).collect()} == {(1, 1), (None, 5)}
+
+
+def test_containing_finds_items_at_any_character(spark):
+    from trailmill.operators import checks
+
+    texts = [(1, "xalpha beta  gamma delta epsilonx"), (2, "alpha beta gamma"), (3, "no"), (4, ""), (5, None), (6, "n o  beta"), (7, "beta gamma delta epsilon " * 300 + "tail end"), (1, "alpha beta  gamma delta epsilon")]
+    items = [("a", "alpha beta  gamma delta epsilon"), ("b", "beta gamma"), ("c", "o"), ("d", ""), ("e", None), ("f", " beta "), ("g", "silon tail end"), ("h", "beta  gamma d"), ("i", "absent words in here"), ("j", "a b c"), ("k", "n o  beta")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {tuple(r) for r in checks.containing(docs, "doc_id", "text", spark.createDataFrame(items, "item_id string, item string"), "item_id", "item", head=4, chunk=16).collect()}
+    assert got == {(d, i) for d, text in texts for i, item in items if text and item and item in text}
+    assert checks.containing(docs, "doc_id", "text", spark.createDataFrame([], "item_id string, item string"), "item_id", "item").count() == 0
+
+
+def test_bm25_equals_the_formula(spark):
+    import math
+    import re
+
+    from trailmill.operators import retrieval
+
+    rows = [(1, "Red lamp", "lamp lamp x1"), (2, "blue", None), (3, None, "red red red blue"), (4, "", "--"), (5, "Red lamp", "lamp lamp x1")]
+    asked = [("q", "red LAMP red"), ("r", "blue x1"), ("s", "nothing"), ("t", None)]
+    weights = {"title": 3.0, "body": 1.0}
+    bags = {}
+    for key, *texts in rows:
+        bag = bags.setdefault(key, {})
+        for text, w in zip(texts, weights.values()):
+            for token in re.findall("[a-z0-9]+", (text or "").lower()):
+                bag[token] = bag.get(token, 0) + w
+    bags = {k: v for k, v in bags.items() if v}
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    want = set()
+    for name, text in asked:
+        scores = []
+        for key, bag in bags.items():
+            terms = set(re.findall("[a-z0-9]+", (text or "").lower())) & set(bag)
+            df = {x: sum(x in b for b in bags.values()) for x in terms}
+            score = sum(math.log(1 + (len(bags) - df[x] + 0.5) / (df[x] + 0.5)) * bag[x] * 2.2 / (bag[x] + 1.2 * (0.25 + 0.75 * sum(bag.values()) / mean)) for x in terms)
+            scores += [(-round(score, 6), key)] if terms else []
+        want |= {(name, key, -s, i + 1) for i, (s, key) in enumerate(sorted(scores)[:2])}
+    docs = spark.createDataFrame(rows, "id long, title string, body string")
+    got = retrieval.bm25(docs, "id", weights, spark.createDataFrame(asked, "qid string, text string"), "qid", "text", 2)
+    assert {tuple(r) for r in got.select("qid", "id", "score", "rank").collect()} == want

@@ -46,24 +46,54 @@ def open_steps(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return spans.join(other, key).filter((F.col(start) < F.col("_e")) & (F.col("_s") < F.col(end)) & (F.col(start) < F.col("_s")))
 
 
+_GAP = "[\\x20\\x09-\\x0D]+"
+#: Words of an item's inside that stand for it when candidates are sought.
+ANCHOR_WORDS = 3
+
+
+def _by_words(docs: DataFrame, key: str, items: DataFrame, item_key: str) -> DataFrame:
+    """Candidates by the first words inside an item: what has gaps on both sides is a whole word wherever the item stands."""
+    words = F.split("__item", _GAP)
+    inside = items.select(item_key, F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))).alias("__words")).filter(F.size("__words") > 0)
+    anchors = inside.select(item_key, F.concat_ws(" ", F.slice("__words", 1, ANCHOR_WORDS)).alias("__gram"), F.least(F.size("__words"), F.lit(ANCHOR_WORDS)).alias("__n"))
+    found = None
+    split = docs.select(key, F.split("__text", _GAP).alias("__words"))
+    for (n,) in anchors.select("__n").distinct().collect():  # 1 to ANCHOR_WORDS
+        last = F.size("__words") - n + 1
+        at = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda p: F.concat_ws(" ", F.slice("__words", p, F.lit(n)))))  # noqa: B023
+        one = split.select(key, F.explode(F.array_distinct(at)).alias("__gram")).join(anchors.filter(F.col("__n") == n).drop("__n"), "__gram").select(key, item_key)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _by_heads(docs: DataFrame, key: str, items: DataFrame, item_key: str, head: int, chunk: int) -> DataFrame:
+    """Candidates by an item's first characters, at every place of a text; the texts are cut into chunks, as a substring is found by walking from the start."""
+    heads = items.select(item_key, F.substring("__item", 1, head).alias("__head")).filter(F.length("__head") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.length("__text"), F.lit(1)), F.lit(chunk))
+    pieces = docs.select(key, F.explode(F.transform(starts, lambda p: F.substring("__text", p, F.lit(chunk + head - 1)))).alias("__piece"))
+    found = None
+    for (n,) in heads.select(F.length("__head")).distinct().collect():  # 1 to head
+        at = F.transform(F.sequence(F.lit(1), F.lit(chunk)), lambda p: F.substring("__piece", p, F.lit(n)))  # noqa: B023
+        one = pieces.select(key, F.explode(at).alias("__head")).join(heads.filter(F.length("__head") == n), "__head").select(key, item_key)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def containing(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str, head: int = 24, chunk: int = 256) -> DataFrame:
-    """FLT5, JN13: key and item_key of documents that contain an item verbatim.
+    """FLT5, JN13: key and item_key of documents that contain an item verbatim, from any character on.
 
-    A document that contains an item contains its first characters at some
-    place: an equi-join on the heads of all places comes before the full
-    comparison. Texts are cut into chunks first, as a substring is found by
-    walking from the start. Items shorter than a head get places of their own
-    length; there are at most head + 1 lengths. Null texts contain nothing.
+    Candidates come from an equi-join, before the full comparison: on the words
+    inside an item, or, for items of fewer than three words, on their first
+    characters at every place of a text. Null texts contain nothing, null and
+    empty items stand for nothing.
     """
-    heads = items.filter(F.col(item).isNotNull()).select(item_key, F.substring(item, 1, head).alias("__head"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("__text"), F.lit(1)), F.lit(chunk))
     texts = docs.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("__text"))
-    pieces = texts.select(key, F.explode(F.transform(starts, lambda p: F.substring("__text", p, F.lit(chunk + head - 1)))).alias("__piece"))
-    hits = None
-    for (n,) in heads.select(F.length("__head")).distinct().collect():
-        at = F.transform(F.sequence(F.lit(1), F.lit(chunk)), lambda p: F.substring("__piece", p, F.lit(n)))  # noqa: B023
-        found = pieces.select(key, F.explode(at).alias("__head")).join(heads.filter(F.length("__head") == n), "__head").select(key, item_key)
-        hits = found if hits is None else hits.union(found)
-    if hits is None:  # no items
+    wanted = items.filter(F.col(item).isNotNull()).select(item_key, F.col(item).alias("__item"))
+    few = F.size(F.split("__item", _GAP)) < 3
+    parts = [_by_words(texts, key, wanted.filter(~few), item_key), _by_heads(texts, key, wanted.filter(few), item_key, head, chunk)]
+    pairs = None
+    for part in filter(None, parts):
+        pairs = part if pairs is None else pairs.unionByName(part)
+    if pairs is None:  # no items
         return docs.select(key, F.lit(None).cast(items.schema[item_key].dataType).alias(item_key)).limit(0)
-    return hits.distinct().join(docs, key).join(items, item_key).filter(F.contains(text, item)).select(key, item_key).distinct()
+    return pairs.distinct().join(texts, key).join(wanted, item_key).filter(F.contains("__text", "__item")).select(key, item_key).distinct()

@@ -13,6 +13,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens the text has."""
+    return F.regexp_count(F.lower(text), F.lit("[a-z0-9]+"))
+
+
 def _field_tokens(field: str) -> Column:
     return tokens(F.coalesce(F.col(field).cast("string"), F.lit("")))
 
@@ -34,21 +39,24 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
 def bm25(docs: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, query_key: str, text: str, k: int) -> DataFrame:
     """RET1, JN11, SRT1: query, key, score and rank of the k best by (score, key).
 
-    Lengths are counted without exploding the texts, and only tokens that
-    queries have are counted and shuffled. Documents without tokens are no part
-    of the corpus.
+    Lengths are counted without making tokens, and only tokens that queries
+    have are moved: once, dealt by key, so that term frequencies, lengths and
+    (where the asked tokens are small enough for Spark to broadcast them) the
+    sums of a query and a document need no further shuffle. The counts by token
+    read the same exchange. Documents without tokens are no part of the corpus.
     """
-    weighted = sum((F.size(_field_tokens(f)) * F.lit(float(w)) for f, w in fields.items()), F.lit(0.0))
+    weighted = sum((token_count(F.coalesce(F.col(f).cast("string"), F.lit(""))) * F.lit(float(w)) for f, w in fields.items()), F.lit(0.0))
     lengths = docs.select(key, weighted.alias("dl")).groupBy(key).agg(F.sum("dl").alias("dl")).filter("dl > 0")
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).distinct()
-    wanted = asked.select("token").distinct()
-    index = _occurrences(docs, key, fields).join(wanted, "token", "left_semi").groupBy("token", key).agg(F.sum("w").alias("tf"))
-    frequency = index.groupBy("token").agg(F.count("*").alias("df"))
-    hits = asked.join(frequency, "token").join(index, "token").join(lengths, key).join(F.broadcast(corpus))  # corpus: one row
+    moved = _occurrences(docs, key, fields).join(asked.select("token").distinct(), "token", "left_semi").repartition(F.col(key))
+    index = moved.groupBy(key, "token").agg(F.sum("w").alias("tf"))
+    # counting tf, not rows, keeps its column, so that both readers share one exchange
+    frequency = index.groupBy("token").agg(F.count("tf").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
+    terms = asked.join(frequency, "token").join(F.broadcast(corpus)).select(query_key, "token", idf.alias("idf"), "avgdl")  # corpus: one row
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = index.join(lengths, key).join(terms, "token").groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.col("score").desc(), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
