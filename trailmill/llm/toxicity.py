@@ -56,14 +56,12 @@ _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 def _forms(word: bytes) -> tuple[bytes, ...]:
     """The word without punctuation around it, and its first four to eight characters if it goes on after them."""
     core = word.strip(_EDGE) or word
+    if core.isascii():
+        return (b"w" + core, *(b"p" + core[:n] for n in PREFIXES if len(core) > n))
     text = core.decode("utf-8", "replace")
     return (b"w" + core, *(b"p" + text[:n].encode() for n in PREFIXES if len(text) > n))
 
 
-def _slot(form: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(form) & TABLE - 1
-
-
 @dataclass
 class Model:
     """Weights by slot for a word itself, for the word before and the word after; chain; document weights."""
@@ -76,36 +74,42 @@ class Model:
     trained: bool = True
 
 
-class _Values(dict):
-    """word -> (own weight, weight as the word before, weight as the word after)."""
+class _Values:
+    """Weights of words, remembered: its own, as the word before, as the word after."""
+
+    #: A word, its place and its three weights take about 230 bytes.
+    MOST = room(230)
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
-
-    #: A word, its three numbers and their place take about 330 bytes.
-    MOST = room(330)
-
-    def __missing__(self, word: bytes) -> tuple[float, float, float]:
-        if len(self) >= self.MOST:
-            self.clear()
-        slots = [_slot(f) for f in _forms(word)]
-        core = slots[0]
-        m = self.model
-        value = self[word] = (float(m.own[slots].sum()), float(m.near[0, core]), float(m.near[1, core]))
-        return value
+        self.places: dict[bytes, int] = {}
+        self.weights = np.zeros((3, 0), np.float32)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Three rows, a column for each of the words; those not met yet are looked up together."""
+        fresh = [w for w in dict.fromkeys(words) if w not in self.places]
+        if len(self.places) + len(fresh) > self.MOST:
+            self.places, self.weights = {}, self.weights[:, :0]
+            fresh = list(dict.fromkeys(words))
+        if fresh:
+            hashes = _form_hashes(fresh)
+            slots = hashes & np.uint64(TABLE - 1)
+            own = self.model.own[slots]
+            own[:, 1:] *= hashes[:, 1:] != hashes[:, :1]
+            self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh))))
+            self.weights = np.concatenate([self.weights, np.stack([own.sum(axis=1), *self.model.near[:, slots[:, 0]]])], axis=1)
+        return self.weights[:, np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))]
 
 
 def _emission(words: list[bytes], lengths: np.ndarray, values: _Values, bias: float) -> np.ndarray:
     """Emissions of the words of many texts, one after the other."""
-    v = np.array([values[w] for w in words]).reshape(-1, 3)
+    own, before, after = values.of(words).astype(float)
     ends = np.cumsum(lengths)
     first, last = (ends - lengths)[lengths > 0], (ends - 1)[lengths > 0]
-    e = v[:, 0] + bias
-    before, after = np.roll(v[:, 1], 1), np.roll(v[:, 2], -1)
+    before, after = np.roll(before, 1), np.roll(after, -1)
     before[first] = 0
     after[last] = 0
-    return e + before + after
+    return own + bias + before + after
 
 
 def _document_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -124,11 +128,13 @@ def _document_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _form_hashes(words: list[bytes]) -> np.ndarray:
     """A row for each word: hashes of its forms, the first one again where there are fewer."""
-    out = np.empty((len(words), 1 + len(PREFIXES)), np.uint64)
-    for i, w in enumerate(words):
-        got = [xxhash.xxh3_64_intdigest(f) for f in _forms(w)]
-        out[i] = got + got[:1] * (out.shape[1] - len(got))
-    return out
+    digest, width = xxhash.xxh3_64_intdigest, 1 + len(PREFIXES)
+    out: list[int] = []
+    for w in words:
+        got = [digest(f) for f in _forms(w)]
+        out += got
+        out += got[:1] * (width - len(got))
+    return np.array(out, np.uint64).reshape(-1, width)
 
 
 def _distinct(texts: list[np.ndarray], hashes: np.ndarray) -> list[int]:
