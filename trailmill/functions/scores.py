@@ -70,3 +70,9 @@ def finite(x: Column) -> Column:
 def fingerprint(*parts: Column) -> Column:
     """MTH7: a hash of ordered parts."""
     return F.sha2(F.concat_ws("\x00", *parts), 256)
+
+
+def budget_gate(upper: Column, resolved: Column, price: Column) -> Column:
+    """RWD17: pass without a budget; unverifiable without a resolved, finite price of 0 or more or a finite budget above 0; else price <= budget."""
+    known = F.coalesce(resolved, F.lit(False)) & F.coalesce(finite(price) >= 0, F.lit(False)) & F.coalesce(finite(upper) > 0, F.lit(False))
+    return F.when(upper.isNull(), "pass").when(~known, "unverifiable").when(price <= upper, "pass").otherwise("fail")

@@ -44,3 +44,14 @@ def step_advantage(advantage: Column, penalty: Column, kind: Column, mask: Colum
 def sampling_score(orm: Column, penalised: Column) -> Column:
     """RWD10: the outcome reward with a marker for any process penalty."""
     return orm + F.when(F.coalesce(penalised, F.lit(False)), F.lit(MARKER)).otherwise(0.0)
+
+
+def advantage_summary(tokens: DataFrame, advantage: str, active: Column) -> DataFrame:
+    """AG17: one row on the active tokens' advantages; zeros where no token is active."""
+    x = F.when(active, F.col(advantage))
+    share = lambda c: F.avg(F.when(x.isNotNull(), c.cast("double")))
+    parts = {
+        "mean": F.avg(x), "std": F.stddev_pop(x), "min": F.min(x), "max": F.max(x), "positive_ratio": share(x > 0), "negative_ratio": share(x < 0),
+        "zero_ratio": share(x == 0), "clip_ratio": share(F.abs(x) >= CLIP - 1e-6),
+    }
+    return tokens.agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in parts.items()])

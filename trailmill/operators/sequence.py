@@ -94,3 +94,10 @@ def label_ranges(messages: DataFrame, key: str, order: str, role: str, n_tokens:
 def mask_labels(ids, ranges):
     """ARR9: the ids inside any (start, end) of ranges, -100 elsewhere."""
     return F.transform(ids, lambda x, i: F.when(F.exists(ranges, lambda r: (i >= r["start"]) & (i < r["end"])), x).otherwise(F.lit(-100)))
+
+
+def new_ids(shown: DataFrame, session: str, step: str, item: str) -> DataFrame:
+    """WIN12: how many items each step of a session shows for the first time."""
+    first = shown.filter(F.col(item).isNotNull()).groupBy(session, item).agg(F.min(step).alias(step))
+    counts = first.groupBy(session, step).agg(F.count("*").alias("n_new"))
+    return shown.select(session, step).distinct().join(counts, [session, step], "left").select(session, step, F.coalesce("n_new", F.lit(0)).alias("n_new"))
