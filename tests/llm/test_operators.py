@@ -120,8 +120,9 @@ def test_jaccard(docs, nothing):
     assert jaccard.duplicates(nothing, 4, 85, 100).count() == 0
 
 
-def test_jaccard_near_family(spark):
-    """Many variants of one text, few of them directly alike: components equal those of all pairs."""
+def test_jaccard_near_family(spark, monkeypatch):
+    """Many variants of one text, few of them directly alike: components and links, over several blocks, equal those of all pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", 9)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(80)]
     data = []
@@ -130,7 +131,7 @@ def test_jaccard_near_family(spark):
         for _ in range(rng.randrange(9)):
             w[rng.randrange(80)] = f"n{rng.randrange(50)}"
         data.append((i, " ".join(w)))
-    got = by_id(jaccard.duplicates(spark.createDataFrame(data, "doc_id long, text string"), 5, 80, 100))
+    got = by_id(jaccard.duplicates(spark.createDataFrame(data, "doc_id long, text string"), 5, 80, 100, counted=True))
     sets = {i: {tuple(t.split()[j : j + 5]) for j in range(76)} for i, t in data}
     root = {i: i for i in sets}
     for _ in range(8):
@@ -139,6 +140,10 @@ def test_jaccard_near_family(spark):
                 if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
     assert {i: r["component_id"] for i, r in got.items()} == root
+    alike = lambda a, b: a != b and 100 * len(a & b) >= 80 * len(a | b)
+    different = {frozenset(x) for x in sets.values()}
+    want = {i: sum(alike(sets[i], x) for x in different) for i in sets}
+    assert {i: got[i]["n_links"] for i in sets} == want and max(want.values()) > 9
 
 
 def test_flac(docs, nothing):

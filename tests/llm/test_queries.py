@@ -109,7 +109,7 @@ def test_against_sql(spark, sf, op, keys):
 
 
 def test_op2(spark, sf, data):
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in query("op2")(spark, sf).collect() if r["doc_id"] is not None)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in query("op2")(spark, sf).collect() if r["doc_id"] is not None)
     known = [(r[0], shingled(r[1], 4)) for r in data if r[0] is not None]
     root = components([s for _, s in known], 85, 100)
     # rows of one doc_id with several texts belong together by their id
@@ -120,7 +120,9 @@ def test_op2(spark, sf, data):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     least = {r: min(i for i, s in zip(ids, root) if s == r) for r in set(root)}
-    assert got == sorted((i, len(s), least[r] if s else i) for (i, s), r in zip(known, root))
+    different = {frozenset(s) for _, s in known if s}
+    n_links = lambda s: sum(x != s and 100 * len(x & s) >= 85 * len(x | s) for x in different)
+    assert got == sorted((i, len(s), least[r] if s else i, n_links(s)) for (i, s), r in zip(known, root))
 
 
 def test_op3(spark, sf, data):

@@ -23,6 +23,11 @@ shares at least ceil(n num / den) tokens with any partner. The join goes:
    In round one the row's smallest group stands for all; in round two only pairs
    whose groups are not yet wholly connected are left.
 5. Components of the links by minimum labels, in staged rounds.
+6. Number of links, where asked for. All links lie inside components, so the
+   different sets of a component are dealt to blocks of bounded sets and tokens,
+   and each block is counted against itself and the component's other blocks. Rows
+   are blocks, never pairs of sets; a component of b blocks has b (b - 1) / 2 of them
+   to compare, which is what counting all its links takes.
 
 No group of copies is expanded into its pairs. Edge cases: a null or empty text
 has an empty set and links with nothing; a null doc_id takes no part and has a
@@ -47,6 +52,8 @@ from .common import WordHashes, buckets_for, documents, drop_stage, joined, mix,
 
 #: Sets and tokens in a chunk of a group (one set at least), tokens and sets a map task counts before it sends them.
 CHUNK, CHUNK_TOKENS, FLUSH, FLUSH_SETS = 1024, 1 << 20, 1_000_000, 200_000
+#: Sets and tokens in a block of a component while its links are counted (one set at least).
+BLOCK, BLOCK_TOKENS = 512, 1 << 19
 #: The place of a set without shared tokens.
 NO_LOW = (1 << 63) - 1
 _U = np.uint64
@@ -516,16 +523,90 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def members_of(groups: DataFrame) -> DataFrame:
-    """Staged member (key), label, node, gid of every set."""
+    """Staged member (key), label, node, gid, n of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [raw[i : i + 16] for raw in b.column("keys").to_pylist() for i in range(0, len(raw), 16)]
             labels, nodes = joined(b.column("labels"), np.int64), joined(b.column("nodes"), np.int64)
             gids = np.repeat(np.asarray(b.column("gid")), [len(raw) // 16 for raw in b.column("keys").to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(labels), pa.array(nodes), pa.array(gids)], ["member", "label", "node", "gid"])
+            sizes = joined(b.column("sizes"), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(labels), pa.array(nodes), pa.array(gids), pa.array(sizes)], ["member", "label", "node", "gid", "n"])
+
+    return stage(groups.select("keys", "labels", "nodes", "gid", "sizes").mapInArrow(run, "member binary, label long, node long, gid long, n long"), "jaccard-members")
+
+
+def _linked(one: Group, two: Group, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of either group, how many sets of the other it links with; of one group given twice, how many others."""
+    same = one is two
+    at = np.searchsorted(two.union, one.union)
+    at[at == len(two.union)] = 0
+    at[two.union[at] != one.union] = -1
+    mark, starts = np.zeros(len(two.union), np.int32), two.ends - two.sizes
+    n_one, n_two = np.zeros(len(one.sizes), np.int64), np.zeros(len(two.sizes), np.int64)
+    for i, (end, size) in enumerate(zip(one.ends.tolist(), one.sizes.tolist())):
+        found = at[one.places[end - size : end]]
+        found = found[found >= 0]
+        mark[found] = 1
+        inter = np.add.reduceat(mark[two.places], starts)
+        mark[found] = 0
+        hit = (inter > 0) & (inter * (den + num) >= num * (size + two.sizes))
+        if same:
+            hit[: i + 1] = False
+        n_one[i] += int(hit.sum())
+        n_two += hit
+    return n_one, n_two
+
+
+def link_counts(groups: DataFrame, rooted: DataFrame, num: int, den: int) -> DataFrame:
+    """Staged set, n_links for the sets with a link: how many other sets they link with. rooted: member, gid, n, root."""
+    chunks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("in_all") / BLOCK_TOKENS))
+    many = rooted.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("in_all")).filter("sets > 1").select("root", chunks.alias("chunks"))
+    dealt = rooted.join(many, "root").select("gid", F.struct("member", "root", F.pmod(F.xxhash64("member"), "chunks").alias("block")).alias("s"))
+    # a group holds CHUNK sets at most
+    of_group = dealt.groupBy("gid").agg(F.collect_list("s").alias("dealt"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, wanted, group in zip(b.column("keys").to_pylist(), b.column("dealt").to_pylist(), _groups_in(b)):
+                nth = {keys[i : i + 16]: i // 16 for i in range(0, len(keys), 16)}
+                tokens = [group.one(nth[w["member"]]).tobytes() for w in wanted]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([w["root"] for w in wanted], pa.int64()), pa.array([w["block"] for w in wanted], pa.int64()), pa.array([w["member"] for w in wanted], pa.binary()), pa.array(tokens, pa.binary())],
+                    ["root", "block", "member", "set"],
+                )
 
-    return stage(groups.select("keys", "labels", "nodes", "gid").mapInArrow(run, "member binary, label long, node long, gid long"), "jaccard-members")
+    def gather(table: pa.Table) -> pa.Table:
+        sizes, union, places = _group([np.frombuffer(x, _U) for x in table.column("set").to_pylist()])
+        return pa.table({"root": table.column("root")[:1], "block": table.column("block")[:1], "sizes": [sizes], "tokens": [union], "places": [places], "keys": [b"".join(table.column("member").to_pylist())]})
+
+    def counts(keys: bytes, n: np.ndarray) -> pa.RecordBatch:
+        on = np.flatnonzero(n).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([keys[16 * i : 16 * i + 16] for i in on], pa.binary()), pa.array(n[on], pa.int64())], ["set", "n_links"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, block in zip(b.column("keys").to_pylist(), _groups_in(b)):
+                yield counts(keys, sum(_linked(block, block, num, den)))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in zip(*(b.column(f"{c}_{f}").to_pylist() for c in "ab" for f in fields)):
+                for keys, n in zip((r[3], r[7]), _linked(Group(*r[:3]), Group(*r[4:7]), num, den)):
+                    yield counts(keys, n)
+
+    fields = ("sizes", "tokens", "places", "keys")
+    opened_sets = groups.select("gid", *fields).join(of_group, "gid").mapInArrow(split, "root long, block long, member binary, set binary")
+    opened_sets = opened_sets.repartition(partitions(groups.sparkSession), "root", "block")
+    blocks = stage(opened_sets.groupBy("root", "block").applyInArrow(gather, "root long, block long, sizes binary, tokens binary, places binary, keys binary"), "jaccard-blocks")
+    found = blocks.select(*fields).mapInArrow(within, "set binary, n_links long")
+    pairs = blocks.select("root", F.col("block").alias("a")).join(blocks.select("root", F.col("block").alias("b")), "root").filter("a < b")
+    if pairs.limit(1).count():
+        side = lambda c: blocks.select("root", F.col("block").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fields])
+        found = found.union(pairs.join(side("a"), ["root", "a"]).join(side("b"), ["root", "b"]).mapInArrow(across, "set binary, n_links long"))
+    out = stage(found.groupBy("set").agg(F.sum("n_links").alias("n_links")), "jaccard-counts")
+    drop_stage(blocks)
+    return out
 
 
 def group_links(groups: DataFrame, members: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
@@ -553,8 +634,12 @@ def group_links(groups: DataFrame, members: DataFrame, num: int, den: int, bucke
     return roots
 
 
-def duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+def duplicates(docs: DataFrame, words: int, num: int, den: int, counted: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs; if counted also n_links.
+
+    n_links is the number of other shingle sets that link with the row's own, however many rows have them: copies
+    of one text are one set. It is 0 for a row without words, without a doc_id or without such a partner.
+    """
     buckets = buckets_for(docs)
     surveyed = survey(docs, words, num, den, buckets)
     known = stage(classes(surveyed, num, den), "jaccard-classes")
@@ -565,19 +650,23 @@ def duplicates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     drop_stage(sets)
     members = members_of(groups)
     roots = group_links(groups, members, num, den, buckets).withColumnRenamed("node", "linked")
+    rooted = members.join(roots, F.col("node") == F.col("linked"), "left").select("member", "label", "gid", "n", F.coalesce("root", "node").alias("root"))
+    numbers = link_counts(groups, rooted, num, den) if counted else None
     drop_stage(groups)
-    rooted = members.join(roots, F.col("node") == F.col("linked"), "left").select("member", "label", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("label").alias("component"))
     of_set = rooted.select("member", "root").join(smallest, "root").select("member", "component")
     of_class = known.select("key", "label").join(of_set, F.col("key") == F.col("member"), "left").select(F.col("key").alias("k"), F.coalesce("component", "label").alias("component"))
+    if counted:
+        of_class = of_class.join(numbers, F.col("k") == F.col("set"), "left").select("k", "component", "n_links")
     # written first, so that the last join stands on two plain shuffles, which Spark splits where a key has many rows
     of_class = stage(of_class, "jaccard-components")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
-    return rows.join(of_class, F.col("key") == F.col("k"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    number = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []
+    return rows.join(of_class, F.col("key") == F.col("k"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *number)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(documents(spark, sf_dir), 4, 85, 100)
+    return duplicates(documents(spark, sf_dir), 4, 85, 100, counted=True)
 
 
 QUERIES = {"op2_jaccard": op2_jaccard}
