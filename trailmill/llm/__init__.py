@@ -8,9 +8,9 @@ at import, where that guard is.
 
 from __future__ import annotations
 
-from . import flac, hmm, jaccard, mixing, pieces, pii, quality, tokenfile, topk, toxicity
+from . import compaction, flac, hmm, jaccard, mixing, pieces, pii, quality, tokenfile, topk, toxicity
 
-MODULES = (topk, jaccard, flac, mixing, hmm, toxicity, pieces, quality, tokenfile, pii)
+MODULES = (topk, jaccard, flac, mixing, hmm, toxicity, pieces, quality, tokenfile, pii, compaction)
 
 
 def queries() -> dict:
