@@ -8,9 +8,9 @@ at import, where that guard is.
 
 from __future__ import annotations
 
-from . import compaction, flac, hmm, jaccard, mixing, pieces, pii, quality, simhash, tokenfile, topk, toxicity
+from . import compaction, filteraudit, flac, hmm, jaccard, mixing, pieces, pii, quality, simhash, tokenfile, topk, toxicity
 
-MODULES = (topk, jaccard, flac, mixing, hmm, toxicity, pieces, quality, tokenfile, pii, compaction, simhash)
+MODULES = (topk, jaccard, flac, mixing, hmm, toxicity, pieces, quality, tokenfile, pii, compaction, simhash, filteraudit)
 
 
 def queries() -> dict:
