@@ -76,7 +76,9 @@ def test_comparators(spark):
     assert get(products.core_functions(lit(["防水"]), lit(["不防水"]), F.lit("防水"))) == "fail"
     assert get(products.core_functions(lit(["防水"]), lit(["轻"]), F.lit("很防水"))) == "pass"
     assert get(products.core_functions(lit([]), lit(["轻"]), F.lit(""))) == "unverifiable"
-    assert get(products.model_tokens(F.lit("the rtx4090 and wh-1000xm5, plain 2024"))) == ["rtx4090", "wh-1000xm5"]
+    assert get(products.model_tokens(F.lit("the rtx4090 and wh-1000xm5, plain 2024 a1 7 x " + "9" * 25))) == ["rtx4090", "wh-1000xm5", "2024", "a1"]
+    assert get(products.model_tokens(F.lit("3000 12345 iphone-15.pro+"))) == ["3000", "12345", "iphone-15.pro+"]
+    assert get(products.occurrence(F.lit("不支持快充"), F.lit("快充"))) is None and get(products.occurrence(F.lit("不支持快充，有快充头"), F.lit("快充"))) is True
     assert [get(products.price_gate(F.lit(p).cast("double"), F.lit(s), F.lit(u).cast("double"))) for p, s, u in ((5, "pass", None), (5, "fail", 9), (5, "pass", 9), (5, "pass", 4), (-1, "pass", 4))] == ["pass", "unverifiable", "pass", "fail", "unverifiable"]
     aliases = {"acme": ["阿克米", "ac"]}
     assert [get(products.brand_gate(F.lit(e), F.lit(t), aliases)) for e, t in (("acme", "阿克米旗舰店"), ("阿克米", "acme"), ("other", "acme"), ("shop", "theshop"))] == ["pass", "pass", "fail", "pass"]
@@ -92,9 +94,10 @@ def test_options(spark):
 
 @pytest.mark.parametrize("text, want", [
     ("预算2万5千左右", 27500.0), ("预算100-200元", 200.0), ("价格在1千到2千", 2000.0), ("预算4k+", None), ("预算3000左右", 3300.0), ("不超过2万元", 20000.0), ("50元以内", 50.0), ("价格1,500元", 1500.0), ("便宜", None), (None, None),
+    ("预算1万8千元以内", 18000.0), ("最高3千元", 3000.0), ("价格控制在2k-3k之间", 3000.0), ("预算500到300元", 500.0), ("价格80元以下", 80.0), ("预算0元，100元以内", 100.0), ("不超过5k", None), ("预算12.5万", 125000.0), ("共3件，价格在99.9元内", 99.9),
 ])
 def test_upper_budget(spark, text, want):
-    got = spark.range(1).select(products.upper_budget(F.lit(text).cast("string")).alias("b")).first()["b"]
+    got = spark.range(1).select(prices.upper_budget(F.lit(text).cast("string")).alias("b")).first()["b"]
     assert got == (pytest.approx(want) if want is not None else None)
 
 

@@ -33,6 +33,28 @@ def han_bigrams(x: Column) -> Column:
     return F.array_distinct(F.concat(pairs, latin))
 
 
+# Names of the currency, the punctuation that separates words, Han characters, words of latin letters and digits.
+CURRENCY, CURRENCY_CODES = ("人民币", "块钱"), ("rmb", "cny", "yuan")
+SEPARATORS = "，,。；;：:！!？?、|"
+HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
+LATIN_WORD = r"[a-z0-9]+(?:[._+\-/][a-z0-9]+)*"
+
+
+def search_normal(x: Column) -> Column:
+    """STR2: folded text with one name for the currency and separators as single spaces; null counts as empty."""
+    folded = F.coalesce(nfkc_casefold(x.cast("string")), F.lit(""))
+    named = F.regexp_replace(folded, "|".join(CURRENCY), "元")
+    coded = F.regexp_replace(named, rf"(?U)(?<=\d)\s*(?:{'|'.join(CURRENCY_CODES)})\b", "元")
+    return F.trim(F.regexp_replace(coded, rf"(?U)(?:\s|[{SEPARATORS}])+", " "))
+
+
+def search_tokens(normal: Column) -> Column:
+    """STR4: tokens of a normal text, each once: bigrams of Han runs (a run of one stands for itself), then latin words."""
+    runs = F.regexp_extract_all(normal, F.lit(f"([{HAN}]+)"), 1)
+    bigrams = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
+    return F.array_distinct(F.concat(F.flatten(F.transform(runs, bigrams)), F.regexp_extract_all(normal, F.lit(f"({LATIN_WORD})"), 1)))
+
+
 def middle_ellipsis(x: Column, limit: int) -> Column:
     """STR11: two thirds of the head and one third of the tail."""
     head = (limit - 1) * 2 // 3

@@ -138,7 +138,7 @@ def dimensions_and_gates(spark, sf_dir):
 # ---- event streams ------------------------------------------------------------
 
 _STEPS = """s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, event_id, event_type, value, ts FROM events),
-steps AS (SELECT user_id, position, event_id, CASE event_type WHEN 'view' THEN 'search' WHEN 'purchase' THEN 'buy' ELSE event_type END AS tool, event_type || ' ' || round(value % 5)::INT AS action, CASE WHEN event_type = 'error' THEN 'bad' END AS error FROM s),
+steps AS (SELECT user_id, position, event_id, CASE event_type WHEN 'view' THEN 'search' WHEN 'purchase' THEN 'buy' ELSE event_type END AS tool, event_type || ' ' || floor(value % 5)::INT AS action, CASE WHEN event_type = 'error' THEN 'bad' END AS error FROM s),
 ev AS (SELECT user_id, position, 1 AS rank, 'tool_step' AS event_type, tool, action, error, event_id::VARCHAR AS call FROM steps UNION ALL SELECT user_id, position + CASE WHEN event_id % 26 = 0 THEN 0 ELSE 1 END, 0, 'guard_rejection', tool, NULL, NULL, event_id::VARCHAR FROM steps WHERE event_id % 13 = 0),
 stream AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY position, rank, call) AS event_number FROM ev)"""
 
@@ -147,7 +147,7 @@ def stream(spark, sf_dir):
     """PRJ7, JN8: a user's events as a trajectory: steps, and the calls that a guard blocked at or after some of them."""
     e = t(spark, sf_dir, "events").withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
     tool = F.when(F.col("event_type") == "view", "search").when(F.col("event_type") == "purchase", "buy").otherwise(F.col("event_type"))
-    action = F.concat_ws(" ", "event_type", F.bround(F.col("value") % 5).cast("int"))
+    action = F.concat_ws(" ", "event_type", F.floor(F.col("value") % 5).cast("int"))
     call = F.col("event_id").cast("string")
     step = F.struct("position", call.alias("call_id"), tool.alias("tool"), action.alias("action"), F.when(F.col("event_type") == "error", "bad").alias("error"), F.col("value").alias("reward"), F.lit(False).alias("done"))
     guard = F.when(F.col("event_id") % 13 == 0, F.struct((F.col("position") + F.when(F.col("event_id") % 26 == 0, 0).otherwise(1)).alias("step_index"), call.alias("call_id"), tool.alias("tool"), F.lit("blocked").alias("reason")))
