@@ -8,7 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from trailmill.functions import numerals, outcomes, process, products
+from trailmill.functions import numerals, outcomes, prices, process, products
 from trailmill.operators import events, planning, sampling
 from trailmill.registry import QUERIES
 from trailmill.sources import files
@@ -94,7 +94,7 @@ def test_options(spark):
 
 @pytest.mark.parametrize("text, want", [
     ("预算2万5千左右", 27500.0), ("预算100-200元", 200.0), ("价格在1千到2千", 2000.0), ("预算4k+", None), ("预算3000左右", 3300.0), ("不超过2万元", 20000.0), ("50元以内", 50.0), ("价格1,500元", 1500.0), ("便宜", None), (None, None),
-    ("预算1万8千元以内", 18000.0), ("最高3千元", 3000.0), ("价格控制在2k-3k之间", 3000.0), ("预算500到300元", 500.0), ("价格80元以下", 80.0), ("预算0元，100元以内", 100.0), ("不超过5k", None), ("预算12.5万", 125000.0), ("共3件，价格在99.9元内", 99.9),
+    ("预算1万8千元以内", 18000.0), ("最高3千元", 3000.0), ("价格控制在2k-3k之间", 3000.0), ("预算500到300元", None), ("价格80元以下", 80.0), ("预算0元，100元以内", 100.0), ("不超过5k", None), ("预算12.5万", 125000.0), ("共3件，价格在99.9元内", 99.9),
 ])
 def test_upper_budget(spark, text, want):
     got = spark.range(1).select(prices.upper_budget(F.lit(text).cast("string")).alias("b")).first()["b"]

@@ -8,6 +8,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words about prices. A topic may open a phrase; leads stand before an amount, tails after it.
 TOPICS = ("预算", "价格")
@@ -22,7 +23,8 @@ SCALE = {"万": 10_000.0, "千": 1_000.0, "k": 1_000.0, "K": 1_000.0}
 #: What is allowed above a round budget that is only about right.
 ABOUT = 1.1
 
-CANDIDATE = "array<struct<rule:string,operator:string,hardness:string,low:double,high:double,start:int,end:int,text:string>>"
+_TYPES = {"rule": T.StringType(), "operator": T.StringType(), "hardness": T.StringType(), "low": T.DoubleType(), "high": T.DoubleType(), "start": T.IntegerType(), "end": T.IntegerType(), "text": T.StringType()}
+CANDIDATE = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _TYPES.items()]))
 _YUAN = r"\s*元?"
 _AMOUNT = re.compile(r"(\d+(?:\.\d+)?)\s*([万千kK])?")
 
@@ -202,7 +204,7 @@ def upper_bound_of(text: str | None) -> float | None:
     return next((found[0].value for found in (most, within) if found and found[0].value > 0), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _upper_bound(text: pd.Series) -> pd.Series:
     return text.map(upper_bound_of).astype("float64")
 

@@ -9,7 +9,7 @@ without progress (both repeat_loop), or at the last step allowed (max_steps), te
 The stream keeps, for each session, one row of counters and a map from evidence to nothing. A session has
 at most STEPS steps, so the map is bounded by what that many pages show; it is cleared when the session
 ends, and where ttl_ms is given every entry expires so long after its last change. Steps of a micro-batch are put in order; a step at or before one that was
-counted is a repeat or too late and is left out, as the twin does with repeated steps. In the batch twin a
+counted is a repeat or too late and is left out, as the twin does with repeated steps. The batch twin takes the first STEPS steps of a session, cut before they are moved; a
 piece of evidence is counted at its first step, by partial sums, and only counters meet in windows.
 
 Edge cases: a null name or argument counts as empty; a null list, map or page type has nothing; null ids are
@@ -146,7 +146,9 @@ def track_batch(steps: DataFrame, product_id: str = PRODUCT_ID) -> DataFrame:
     empty = F.array().cast("array<string>")
     clean = lambda c: F.filter(F.coalesce(F.col(c), empty), lambda x: x.isNotNull())
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    s = steps.dropDuplicates(["session", "step"]).select(
+    # no session lives longer, so a long one sends STEPS rows from each task at most
+    nth = F.row_number().over(Window.partitionBy("session").orderBy("step"))
+    s = steps.dropDuplicates(["session", "step"]).withColumn("nth", nth).filter(F.col("nth") <= STEPS).select(
         F.coalesce(F.concat(F.lit("s"), F.col("session")), F.lit("")).alias("s"), "session", "step", low("name").alias("action"), low("argument").alias("argument"),
         clean("visible").alias("visible"), F.col("page_type"), F.map_entries(F.coalesce(F.col("options"), F.create_map().cast("map<string,string>"))).alias("options"), clean("constraints").alias("constraints"),
     )
