@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from test_index import brute
 from test_resampling import fold
 
-from trailmill.functions import prices
+from trailmill.functions import options, prices
 from trailmill.operators import index
 from trailmill.registry import QUERIES
 
@@ -68,3 +70,44 @@ def test_precedence_and_overlap():
     assert [(c["rule"], c["start"], c["end"]) for c in got] == [(R, 3, 11)]
     got = prices.candidates_of("预算不超过1万2到3万")
     assert [(c["rule"], c["start"], c["end"]) for c in got] == [(U, 0, 8), (R, 7, 11)]
+
+
+def test_drawn_budgets(spark):
+    """Drawn bounds are the standard library's for every item; stated ones come first."""
+    got = {r["item_id"]: r["upper"] for r in QUERIES["drawn_budgets"](spark, DIR).collect()}
+    for i, name, size, price in rows("SELECT item_id, name, size, price FROM 'DIR/items.parquet'"):
+        said = f"预算不超过{size + 1}元" if i % 8 == 0 else name
+        if price is None or i % 8 == 0:
+            assert got[i] == (None if price is None else size + 1)
+            continue
+        low = math.ceil(price / 10) * 10
+        steps = 3 if price <= 100 else 10 if price <= 1000 else 50 if price <= 5000 else 100 if price <= 10000 else 4
+        rng = random.Random(int.from_bytes(hashlib.sha256(f"{i}\0{said}".encode()).digest()[:8], "big"))
+        assert got[i] == sorted(rng.sample([low + 10 * k for k in range(steps)], 2))[1]
+
+
+def test_drawn_edges(spark):
+    edge = spark.sql("SELECT 'a' AS k, CAST(NULL AS string) AS t, CAST('Infinity' AS DOUBLE) AS p UNION ALL SELECT NULL, 'x', CAST(1 AS DOUBLE) UNION ALL SELECT 'b', NULL, NULL")
+    assert [r[0] for r in edge.select(prices.price_upper(F.col("k"), F.col("t"), F.col("p"))).collect()] == [None] * 3
+
+
+def axis(name, *values):
+    return f"named_struct('axis', '{name}', 'values', array(" + ", ".join(f"named_struct('normal', '{n}', 'value', '{n}', 'price', CAST({p} AS DOUBLE))" for n, p in values) + "))"
+
+
+def test_variant_price(spark):
+    def one(axes, chosen, variants="CAST(NULL AS array<struct<options:map<string,string>,price:double>>)", pricing="CAST(NULL AS array<double>)"):
+        return tuple(spark.range(1).select(options.variant_price(options.axis_index(F.expr(axes)), F.expr(chosen), F.expr(variants), F.expr(pricing)).alias("p")).first()["p"])
+
+    colour, size = axis("颜色", ("red", 5), ("blue", 6)), axis("尺码", ("m", "NULL"), ("l", "NULL"))
+    full = "array(named_struct('options', map('颜色', 'red', '尺码', 'm'), 'price', CAST(9 AS DOUBLE)))"
+    assert one(f"array({colour}, {size})", "map('尺码', 'm', '颜色分类', 'red')", full) == ("pass", 9.0, "full_variant_combination", None)
+    assert one(f"array({colour}, {size})", "map('尺码', 'm', '颜色', 'red')", full.replace("CAST(9", "CAST(-9")) == ("pass", 5.0, "unique_effective_price_axis", "color")
+    assert one(f"array({colour}, {size})", "map('尺码', 'm')") == ("unverifiable", None, "effective_price_axis_unselected", "color")
+    assert one(f"array({colour}, {size})", "map('颜色', 'pink')") == ("unverifiable", None, "selected_variant_price_missing", "color")
+    assert one(f"array({colour}, {axis('尺码', ('m', 1), ('l', 2))})", "map('颜色', 'red')")[2] == "multiple_effective_price_axes"
+    assert one(f"array({axis('颜色', ('red', 5), ('blue', 5))}, {size})", "map('尺码', 'm')") == ("pass", 5.0, "constant_option_price", None)
+    assert one(f"filter(array({size}), a -> false)", "map('尺码', 'm')", pricing="array(CAST(3 AS DOUBLE), CAST(3 AS DOUBLE), CAST(-1 AS DOUBLE))") == ("pass", 3.0, "single_base_price", None)
+    assert one(f"array({size})", "map('尺码', 'm')", pricing="array(CAST(3 AS DOUBLE))")[2] == "price_not_deterministic"
+    assert one(f"array({colour}, {axis('颜色分类', ('x', 1))})", "map('尺码', 'm')")[2] == "invalid_option_axes"
+    assert one(f"array({colour})", "map('颜色', 'red', '颜色分类', 'blue')")[2] == "invalid_option_axes" == one(f"array({colour})", "CAST(NULL AS map<string,string>)")[2]

@@ -64,6 +64,52 @@ def axis_index(options: Column) -> Column:
     return bound(F.transform(options, lambda o: F.struct(canonical_axis(o["axis"]).alias("axis"), o["axis"].alias("source"), values(o).alias("values"))), indexed)
 
 
+def variant_price(index: Column, chosen: Column, variants: Column, pricing: Column) -> Column:
+    """RWD3: struct of status, price, method and axis: what a selection costs, by the first rung that tells.
+
+    index: axis_index(); chosen: map axis -> value, normal texts; variants: array of struct (options: such a map,
+    price); pricing: the product's base prices. Rungs: axes that collide; a variant with just these options and a
+    price; more than one axis whose values differ in price; the one such axis, by its chosen value; one price over all
+    values; a product without axes and with one base price. A price below zero or not finite is none; of several
+    variants with the same options the first counts; a variant whose own axes collide fits nothing.
+    """
+    good = lambda p: F.when((p >= 0) & ~F.isnan(p) & (p < float("inf")), p)
+    settled = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(canonical_axis(e["key"]).alias("axis"), e["value"].alias("value"))))
+    bases = F.array_distinct(F.filter(F.transform(F.coalesce(pricing, F.array().cast("array<double>")), good), lambda p: p.isNotNull()))
+    none = F.array().cast("array<struct<options:map<string,string>,price:double>>")
+
+    def told(method: str, price: Column | None = None, axis: Column | None = None) -> Column:
+        status, empty = "unverifiable" if price is None else "pass", F.lit(None)
+        price, axis = (empty if price is None else price).cast("double"), (empty if axis is None else axis).cast("string")
+        return F.struct(F.lit(status).alias("status"), price.alias("price"), F.lit(method).alias("method"), axis.alias("axis"))
+
+    def rungs(x: Column) -> Column:
+        axes, picks = x["index"]["axes"], x["picks"]
+        names = F.transform(picks, lambda e: e["axis"])
+        clash = picks.isNull() | (F.size(x["index"]["collisions"]) > 0) | (F.size(F.array_distinct(names)) < F.size(names))
+        fitting = F.filter(F.coalesce(variants, none), lambda v: settled(v["options"]) == picks)
+        whole = good(F.get(fitting, F.lit(0))["price"])
+        priced = lambda a: F.array_distinct(F.filter(F.transform(a["values"], lambda v: v["price"]), lambda p: p.isNotNull()))
+        moving = F.filter(axes, lambda a: F.size(priced(a)) > 1)
+        axis = F.get(moving, F.lit(0))
+        pick = F.get(F.filter(picks, lambda e: e["axis"] == axis["axis"]), F.lit(0))
+        entry = F.get(F.filter(axis["values"], lambda v: v["normal"] == pick["value"]), F.lit(0))["price"]
+        every = F.array_distinct(F.flatten(F.transform(axes, priced)))
+        return (
+            F.when(clash, told("invalid_option_axes"))
+            .when(whole.isNotNull(), told("full_variant_combination", whole))
+            .when(F.size(moving) > 1, told("multiple_effective_price_axes"))
+            .when((F.size(moving) == 1) & pick.isNull(), told("effective_price_axis_unselected", axis=axis["axis"]))
+            .when((F.size(moving) == 1) & entry.isNull(), told("selected_variant_price_missing", axis=axis["axis"]))
+            .when(F.size(moving) == 1, told("unique_effective_price_axis", entry, axis["axis"]))
+            .when(F.size(every) == 1, told("constant_option_price", F.get(every, F.lit(0))))
+            .when((F.size(axes) == 0) & (F.size(bases) == 1), told("single_base_price", F.get(bases, F.lit(0))))
+            .otherwise(told("price_not_deterministic"))
+        )
+
+    return bound(F.struct(index.alias("index"), settled(chosen).alias("picks")), rungs)
+
+
 def candidate_options(index: Column, required: Column) -> Column:
     """RWD4: struct of status, reason, axis and chosen (source axis -> value) for a product's axis_index().
 

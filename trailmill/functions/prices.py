@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import random
 import re
 from typing import NamedTuple
 
@@ -213,3 +216,35 @@ def upper_budget(text: Column) -> Column:
     """STR13: upper_bound_of() as a column; texts without a digit never reach Python."""
     bound = F.when(text.rlike(r"(?U)\d"), _upper_bound(F.when(text.rlike(r"(?U)\d"), text)))
     return F.when(~F.isnan(bound), bound)
+
+
+# Up to this price there are so many round bounds to draw from, ten yuan apart; fewer above the last.
+BOUNDS = {100: 3, 1000: 10, 5000: 50, 10_000: 100}
+MORE_BOUNDS = 4
+
+
+def drawn_upper(key: str, said: str, price: float) -> float:
+    """MTH8: the stated upper bound, or one drawn above the price by a generator seeded with a digest of key and text.
+
+    Two of the round bounds are drawn without replacement and the larger one counts. The generator is the Mersenne
+    Twister, whose numbers the drawn bounds must equal.
+    """
+    stated = upper_bound_of(said)
+    if stated is not None:
+        return stated
+    first = math.ceil(price / 10) * 10
+    bounds = range(first, first + 10 * next((n for most, n in BOUNDS.items() if price <= most), MORE_BOUNDS), 10)
+    seed = int.from_bytes(hashlib.sha256(f"{key}\0{said}".encode("utf-8", "surrogatepass")).digest()[:8], "big")
+    return float(max(random.Random(seed).sample(bounds, 2)))
+
+
+@F.pandas_udf(T.DoubleType())
+def _drawn(key: pd.Series, said: pd.Series, price: pd.Series) -> pd.Series:
+    return pd.Series([drawn_upper(k, s, p) for k, s, p in zip(key, said, price)], dtype="float64")
+
+
+def price_upper(key: Column, said: Column, price: Column) -> Column:
+    """MTH8: drawn_upper() as a column; null for a null key or a price that is null or not finite; a null text counts as empty."""
+    fine = key.isNotNull() & (F.abs(price) < float("inf"))
+    drawn = _drawn(F.coalesce(key.cast("string"), F.lit("")), F.coalesce(said, F.lit("")), F.when(fine, price).otherwise(F.lit(0.0)))
+    return F.when(fine, drawn)

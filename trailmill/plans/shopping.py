@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import prices, text
+from ..functions import options, prices, text
 from ..operators import guard, index
 from ..sources import lines
 from ..sources.shared import new_folder
@@ -75,6 +75,33 @@ def upper_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("item_id", prices.upper_budget(F.expr(_PRICE_TEXT)).alias("upper"))
 
 
+@query()
+def drawn_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MTH8: upper bounds of all items, stated in every eighth text or drawn."""
+    said = F.when(F.col("item_id") % 8 == 0, F.concat(F.lit("预算不超过"), (F.col("size") + 1).cast("string"), F.lit("元"))).otherwise(F.col("name"))
+    return t(spark, sf_dir, "items").select("item_id", prices.price_upper(F.col("item_id").cast("string"), said, F.col("price")).alias("upper"))
+
+
+_SHAPE = """x AS (SELECT item_id, item_id % 9 AS c, CAST(coalesce(price, 5) AS DOUBLE) AS r FROM items)"""
+
+
+@query(f"""WITH {_SHAPE} SELECT item_id, CASE WHEN c IN (2, 3, 6, 7, 8) THEN 'unverifiable' ELSE 'pass' END AS status, CASE WHEN c IN (0, 1, 4, 5) THEN r END AS price,
+  CASE c WHEN 0 THEN 'full_variant_combination' WHEN 1 THEN 'unique_effective_price_axis' WHEN 2 THEN 'effective_price_axis_unselected' WHEN 3 THEN 'multiple_effective_price_axes' WHEN 4 THEN 'constant_option_price'
+    WHEN 5 THEN 'single_base_price' WHEN 6 THEN 'price_not_deterministic' WHEN 7 THEN 'selected_variant_price_missing' ELSE 'invalid_option_axes' END AS method,
+  CASE WHEN c IN (1, 2, 7) THEN 'color' END AS axis FROM x""")
+def variant_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RWD3: what a selection of an item costs, all rungs."""
+    x = t(spark, sf_dir, "items").selectExpr("item_id", "item_id % 9 AS c", "CAST(coalesce(price, 5) AS DOUBLE) AS r")
+    value = lambda n, p: f"named_struct('normal', '{n}', 'value', '{n}', 'price', CAST({p} AS DOUBLE))"
+    colours = f"named_struct('axis', '颜色', 'values', array({value('red', 'IF(c IN (0, 6), NULL, r)')}, {value('blue', 'CASE WHEN c IN (1, 2, 3, 7) THEN r + 1 WHEN c = 4 THEN r END')}))"
+    sizes = f"named_struct('axis', IF(c = 8, '颜色分类', '尺码'), 'values', array({value('m', 'IF(c = 3, r, NULL)')}, {value('l', 'IF(c = 3, r + 2, NULL)')}))"
+    axes = F.expr(f"IF(c IN (5, 6), filter(array({colours}), a -> false), array({colours}, {sizes}))")
+    chosen = F.expr("CASE c WHEN 2 THEN map('尺码', 'm') WHEN 7 THEN map('颜色', 'green') ELSE map('颜色', 'red', '尺码', 'm') END")
+    variants = F.expr("array(named_struct('options', map('尺码', 'l', '颜色', 'red'), 'price', r + 9), named_struct('options', map('鞋码', IF(c = 0, 'm', 'x'), '颜色', 'red'), 'price', r))")
+    price = options.variant_price(options.axis_index(axes), chosen, variants, F.expr("IF(c = 6, array(r, r + 1), array(r, r, CAST('NaN' AS DOUBLE)))"))
+    return x.select("item_id", price.alias("p")).select("item_id", "p.*")
+
+
 # ---- pages and the guard ----------------------------------------------------------
 
 _CALL = """CASE click_id % 5 WHEN 0 THEN 'open_product' WHEN 1 THEN 'select_option' WHEN 2 THEN 'buy_now' WHEN 3 THEN 'search_products' ELSE 'fly' END"""
