@@ -64,10 +64,10 @@ def _parts(tokens: Column) -> Column:
 
 def _terms(text: Column, weight: float) -> tuple[Column, Column]:
     """Array of (term, weight) for every occurrence in a field, and the field's length."""
-    tokens = search_tokens(search_normal(text))
-    parts = _parts(tokens)
-    whole = F.filter(tokens, lambda x: x.rlike(r"[._+\-/]"))
-    return F.transform(F.concat(parts, whole), lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w"))), F.size(parts)
+    # an array of one, so that tokens are worked out once for both lists
+    split = F.transform(F.array(search_tokens(search_normal(text))), lambda t: F.struct(_parts(t).alias("parts"), F.filter(t, lambda x: x.rlike(r"[._+\-/]")).alias("whole")))
+    both = F.get(split, F.lit(0))
+    return F.transform(F.concat(both["parts"], both["whole"]), lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w"))), F.size(both["parts"])
 
 
 def products(docs: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -85,13 +85,15 @@ def build(docs: DataFrame, key: str, fields: dict[str, Column | str], folder: st
         raise ValueError("there must be a column for each of: " + ", ".join(weights))
     version = uuid.uuid4().hex
     home = f"{folder}/{version}"
-    found = {f: _terms(F.expr(c) if isinstance(c, str) else c, weights[f]) for f, c in fields.items()}
     near = [F.col(c).alias(f"_cluster{i}") for i, c in enumerate(cluster)]
-    plain = docs.select(F.col(key).alias("key"), *near, F.concat(*[t for t, _ in found.values()]).alias("terms"), sum((n for _, n in found.values()), F.lit(0)).cast("long").alias("length"))
+    plain = docs.select(F.col(key).alias("key"), *near, *[(F.expr(c) if isinstance(c, str) else c).cast("string").alias(f"_{f}") for f, c in fields.items()])
     order = [*[f"_cluster{i}" for i in range(len(cluster))], "key"]
     place = F.monotonically_increasing_id()
     # a partition's number, then a row's range inside it; written, so that both stay what they are
     dealt = plain.repartitionByRange(*order).sortWithinPartitions(*order)
+    # tokens are made once, behind the shuffle
+    found = {f: _terms(F.col(f"_{f}"), weights[f]) for f in fields}
+    dealt = dealt.select("*", F.concat(*[t for t, _ in found.values()]).alias("terms"), sum((n for _, n in found.values()), F.lit(0)).cast("long").alias("length"))
     ranged = written(dealt.select("key", "terms", "length", (F.shiftleft(F.shiftright(place, 33), 32) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / size)).alias("range")), f"{home}/documents")
     n, total = ranged.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     average = total / n if n else 0.0
