@@ -57,7 +57,9 @@ def balanced(df: DataFrame, label: str, key: str, quota: DataFrame, total: int,
     ranked = hash_ranked(df, label, key, seed).join(quota, label, "left")
     chosen = ranked.filter(F.col("_rank") <= F.coalesce("quota", F.lit(0)))
     left = ranked.filter(F.col("_rank") > F.coalesce("quota", F.lit(0)))
-    need = max(0, total - chosen.count())
+    # what the quotas take follows from the labels' counts: a number, without ranking twice
+    took = df.groupBy(label).agg(F.count("*").alias("_n")).join(quota, label).agg(F.sum(F.least("_n", "quota"))).first()[0]
+    need = max(0, total - (took or 0))
     refill = left.orderBy(digest(seed, F.col(key)), key).limit(need)
     return chosen.select(*df.columns, F.lit("quota").alias("via")).unionByName(refill.select(*df.columns, F.lit("refill").alias("via")))
 
