@@ -51,8 +51,8 @@ _PRICED = "x AS (SELECT item_id, name, item_id % 8 AS c, CAST(floor(coalesce(pri
 _N = "length(p::VARCHAR)"
 
 
-@query(f"""WITH {_PRICED} SELECT item_id, rule, low, high, "start"::INT AS "start", "end"::INT AS "end" FROM (
-SELECT item_id, 'explicit_upper_budget_rule' AS rule, NULL::DOUBLE AS low, p::DOUBLE AS high, 0 AS "start", ({_N} + 6)::INT AS "end" FROM x WHERE c = 0
+@query(f"""WITH {_PRICED} SELECT item_id, rule, low, high, span_start::INT AS span_start, span_end::INT AS span_end FROM (
+SELECT item_id, 'explicit_upper_budget_rule' AS rule, NULL::DOUBLE AS low, p::DOUBLE AS high, 0 AS span_start, {_N} + 6 AS span_end FROM x WHERE c = 0
 UNION ALL SELECT item_id, 'explicit_upper_budget_rule', NULL, p, length(name) + 1, length(name) + {_N} + 4 FROM x WHERE c = 1
 UNION ALL SELECT item_id, 'explicit_price_range_rule', p, p + 50, 0, {_N} + length((p + 50)::VARCHAR) + 6 FROM x WHERE c = 2
 UNION ALL SELECT item_id, 'explicit_lower_price_rule', p, NULL, 0, {_N} + 3 FROM x WHERE c = 3
@@ -64,7 +64,7 @@ def price_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR14, JN15: price phrases of texts about items, with spans."""
     x = t(spark, sf_dir, "items").selectExpr("item_id", "name", "CAST(floor(coalesce(price, 7)) AS BIGINT) + 1 AS p")
     found = x.select("item_id", F.explode(prices.candidates(F.expr(_PRICE_TEXT))).alias("c"))
-    return found.select("item_id", "c.rule", "c.low", "c.high", "c.start", "c.end")
+    return found.select("item_id", "c.rule", "c.low", "c.high", F.col("c.start").alias("span_start"), F.col("c.end").alias("span_end"))
 
 
 @query(f"""WITH {_PRICED}
@@ -168,10 +168,10 @@ w AS (SELECT *, n - max(CASE WHEN changed THEN n END) OVER o AS repeats, n - coa
 y AS (SELECT *, CASE WHEN repeats >= 2 OR stalled >= 4 THEN 'repeat_loop' WHEN n >= 35 THEN 'max_steps' END AS why FROM w),
 z AS (SELECT *, count(why) OVER (PARTITION BY s ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over FROM y)
 SELECT session, max(n)::INT AS steps, coalesce(max(why), '') AS ended, arg_max(repeats, n)::INT AS repeats, arg_max(stalled, n)::INT AS stalled, sum(ids)::INT AS seen_ids, sum(pr)::INT AS opened,
-  least(sum(rs), 3)::INT AS result_set, least(sum(pr), 5)::INT AS product, least(sum(su), 6)::INT AS subpage, sum(op)::INT AS "option", sum(co)::INT AS "constraint" FROM z WHERE over = 0 GROUP BY s, session""")
+  least(sum(rs), 3)::INT AS n_result_set, least(sum(pr), 5)::INT AS n_product, least(sum(su), 6)::INT AS n_subpage, sum(op)::INT AS n_option, sum(co)::INT AS n_constraint FROM z WHERE over = 0 GROUP BY s, session""")
 def progress_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM1: how a client's session of clicks ends, with the evidence it found."""
-    return progress.track_batch(tracked_steps(spark, sf_dir))
+    return progress.track_batch(tracked_steps(spark, sf_dir)).withColumnsRenamed({k: f"n_{k}" for k in progress.KINDS})
 
 
 # ---- files and streams ------------------------------------------------------------
