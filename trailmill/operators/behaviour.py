@@ -1,8 +1,8 @@
 """Panels of counts over the event rows of trajectories.
 
-Repeats next to each other need the order of a trajectory's own rows, so they come from windows on its key; a
-trajectory is bounded by its limit of steps. All other counts are aggregates in two levels with partial sums, and
-distinct values are counted as rows of (key, name, value), so a key with many rows is spread over tasks.
+Repeats next to each other need the order of a trajectory's own rows, so its rows meet in one task, once; a trajectory
+is bounded by its limit of steps. Different values and tallies come from the same dealing: a row is made for each
+value, and aggregates by (key, name, value), then by key, need no further shuffle.
 """
 
 from __future__ import annotations
@@ -35,49 +35,41 @@ def _argument(name: str) -> Column:
     return F.nullif(F.trim(F.col("parameters")[name]), F.lit(""))
 
 
+def _call(tool: Column, parameters: Column) -> Column:
+    # JSON has no bare line break, so the last one ends the tool
+    sorted_map = F.map_from_entries(F.array_sort(F.map_entries(F.coalesce(parameters, F.create_map().cast("map<string,string>")))))
+    return F.concat(F.coalesce(tool, F.lit("")), F.lit("\n"), F.to_json(sorted_map, {"ignoreNullFields": "false"}))
+
+
 def action_signature() -> Column:
     """The environment's action, white space and case folded, else the tool and its parameters by name, a note left out."""
     action = _folded(F.col("env_action"))
-    kept = F.array_sort(F.map_entries(F.map_filter("parameters", lambda k, _: k != "note")))
-    call = F.to_json(F.struct(F.lower(F.coalesce("tool", F.lit(""))).alias("t"), F.coalesce(kept, F.array().cast("array<struct<key:string,value:string>>")).alias("p")))
-    return F.when(action != "", F.concat(F.lit("env:"), action)).otherwise(call)
+    return F.when(action != "", F.concat(F.lit("env:"), action)).otherwise(_call(F.lower("tool"), F.map_filter("parameters", lambda k, _: k != "note")))
 
 
 def call_signature() -> Column:
     """The tool and all its parameters by name, as they are."""
-    return F.to_json(F.struct("tool", F.array_sort(F.map_entries("parameters")).alias("p")))
+    return _call(F.col("tool"), F.col("parameters"))
 
 
-def _by_value(rows: DataFrame, key: list[str], distinct: dict[str, Column], tallies: dict[str, Column]) -> DataFrame:
-    """Different values of each name in distinct, and a map of value to count of each name in tallies, in one pass.
+def _panel(rows: DataFrame, key: list[str], facts: list[Column], distinct: dict[str, Column], tallies: dict[str, Column]) -> DataFrame:
+    """Facts over the rows of each key, different values of each name in distinct, and a map of value to count of each name in tallies.
 
-    All are arrays of strings whose nulls don't count. Only keys with any value have a row.
+    distinct and tallies are arrays of strings whose nulls don't count. Facts are aggregates; those that gather values
+    should do so where `_n` is empty, on a row that stands for the event itself.
     """
-    arrays = {**distinct, **tallies}
 
     def named(n: str, values: Column) -> Column:
-        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.struct(F.lit(n).alias("n"), x.alias("x")))
+        return F.transform(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: F.struct(F.lit(n).alias("_n"), x.alias("_x")))
 
-    pairs = F.flatten(F.array(*[named(n, v) for n, v in arrays.items()]))
-    each = rows.select(*key, F.explode(pairs).alias("p")).filter("p.x IS NOT NULL").groupBy(*key, F.col("p.n").alias("_n"), F.col("p.x").alias("_x")).agg(F.count("*").alias("_c"))
+    own = F.array(F.struct(F.lit("").alias("_n"), F.lit(None).cast("string").alias("_x")))
+    each = rows.select("*", F.inline(F.flatten(F.array(own, *[named(n, v) for n, v in {**distinct, **tallies}.items()]))))
+    names = [c for c in each.limit(0).groupBy(*key).agg(*facts).columns if c not in key]
+    each = each.groupBy(*key, "_n", "_x").agg(*facts, F.count("*").alias("_c"))
+    whole = [F.any_value(F.when(F.col("_n") == "", F.col(c)), F.lit(True)).alias(c) for c in names]
     counts = [F.count(F.when(F.col("_n") == n, 1)).alias(n) for n in distinct]
     maps = [F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_n") == n, F.struct("_x", "_c"))))).alias(n) for n in tallies]
-    return each.groupBy(*key).agg(*counts, *maps)
-
-
-def _beside(key: list[str], left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two tables of one row a key, a null in a key meeting a null."""
-    right = right.withColumnsRenamed({k: f"_right_{k}" for k in key})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in key])
-    return left.join(right, same, "left").drop(*[f"_right_{k}" for k in key])
-
-
-def _counted(name: str) -> Column:
-    return F.coalesce(name, F.lit(0)).cast("long")
-
-
-def _map(name: str) -> Column:
-    return F.coalesce(name, F.create_map().cast("map<string,bigint>")).alias(name)
+    return each.groupBy(*key).agg(*whole, *counts, *maps)
 
 
 def _one(value: Column) -> Column:
@@ -103,22 +95,22 @@ def metric_panel(events: DataFrame, key: list[str], order: list[str], id_pattern
     rows = rows.withColumn("_last_sig", F.lag("_sig").over(by)).withColumn("_last_query", F.last("_query", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
     had, p = F.col("_step") & F.col("projection").isNotNull(), F.col("projection")
     number = lambda c: F.coalesce(F.sum(F.when(had, c)), F.lit(0)).cast("long")
-    facts = rows.groupBy(*key).agg(
+    facts = [
         _count(F.col("_step")).alias("executed_tool_steps"), F.count("*").alias("action_attempts"), _count(is_tool(SEARCH)).alias("search_count"), _count(is_tool(OPEN)).alias("open_product_count"),
         _count(is_tool(*INFORMATION)).alias("information_page_count"), _count(is_tool(OPTION)).alias("select_option_count"), _count(is_tool(BUY)).alias("buy_count"), _count(is_tool(FINISH)).alias("finish_without_purchase_count"),
         _count(F.col("_query") == F.col("_last_query")).alias("consecutive_duplicate_search_count"), _count(F.col("_sig") == F.col("_last_sig")).alias("consecutive_duplicate_action_count"),
         _count(F.col("_guard")).alias("guard_rejection_count"), _count(F.col("parse_error")).alias("malformed_tool_call_count"), _count(F.col("_guard") & F.startswith("guard_reason", F.lit("schema_"))).alias("schema_rejection_count"),
         _count(F.col("_step") & _no(F.col("step_error"))).alias("step_error_count"), _count(had).alias("projection_count"), _count(had & _no(p["truncated"])).alias("truncated_observation_count"),
         number(p["raw_tokens"]).alias("raw_observation_tokens"), number(p["visible_tokens"]).alias("visible_observation_tokens"), _count(had & ~_no(p["footer_kept"])).alias("critical_footer_failures"),
-    )
+    ]
     ids = F.when(is_tool(SEARCH), F.regexp_extract_all("shown", F.lit(id_pattern), F.lit(0)))
     distinct = {"_sigs": _one(F.col("_sig")), "_queries": _one(F.col("_query")), "_shown": ids, "_opened": F.when(is_tool(OPEN), _one(F.col("parameters")["asin"]))}
     label = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
     tallies = {"tool_counts": F.when(F.col("_step"), _one(label("tool"))), "guard_reason_counts": F.when(F.col("_guard"), _one(label("guard_reason")))}
-    out = _beside(key, facts, _by_value(rows, key, distinct, tallies))
+    out = _panel(rows, key, facts, distinct, tallies)
     return out.select(
-        *facts.columns, *map(_map, tallies), _counted("_shown").alias("visible_search_candidate_count"), _counted("_opened").alias("opened_candidate_count"),
-        (F.col("search_count") - _counted("_queries")).alias("duplicate_search_query_count"), (F.col("action_attempts") - _counted("_sigs")).alias("duplicate_canonical_action_count"),
+        *[c for c in out.columns if c not in distinct], F.col("_shown").alias("visible_search_candidate_count"), F.col("_opened").alias("opened_candidate_count"),
+        (F.col("search_count") - F.col("_queries")).alias("duplicate_search_query_count"), (F.col("action_attempts") - F.col("_sigs")).alias("duplicate_canonical_action_count"),
         (F.col("truncated_observation_count") > 0).alias("any_observation_truncated"),
     )
 
@@ -146,9 +138,9 @@ def call_behaviour(events: DataFrame, key: list[str], order: list[str]) -> DataF
     at = F.struct(*order)
     argument = lambda tool, name: F.when(F.col("_call") & _no(F.col("tool") == tool), _argument(name))
     query, opened, chosen = argument(SEARCH, "query"), argument(OPEN, "asin"), argument(OPTION, "value")
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(*order, c.alias("_v"))))), lambda x: x["_v"])
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when((F.col("_n") == "") & c.isNotNull(), F.struct(*order, c.alias("_v"))))), lambda x: x["_v"])
     first = lambda tool: F.min_by("event_id", F.when(F.col("_call") & _no(F.col("tool") == tool), at))
-    facts = rows.groupBy(*key).agg(
+    facts = [
         _count(F.col("_call")).alias("attempted_tool_calls"), _count(F.col("_accepted")).alias("executed_tool_calls"), _count(F.col("blocked")).alias("guard_rejection_count"),
         _count(named(SEARCH)).alias("search_count"), _count(named(*PAGING)).alias("page_navigation_count"), _count(named(OPEN)).alias("product_open_count"), _count(named(*INFORMATION)).alias("detail_view_count"),
         _count(named(OPTION)).alias("option_selection_count"), _count(named(BUY)).alias("purchase_call_count"), _count(named(FINISH)).alias("finish_without_purchase_count"),
@@ -156,14 +148,13 @@ def call_behaviour(events: DataFrame, key: list[str], order: list[str]) -> DataF
         listed(query).alias("search_queries"), listed(opened).alias("opened_asins"), listed(chosen).alias("selected_options"),
         first(SEARCH).alias("first_search"), first(OPEN).alias("first_product_open"), first(OPTION).alias("first_option_selection"), first(BUY).alias("first_purchase"),
         F.max_by("event_id", F.when(_no(F.col("kind") == "termination"), at)).alias("termination"),
-    )
+    ]
     turn = F.when(_no((F.col("role") == "assistant") & F.col("kind").isin("assistant_tool_call", "assistant_message")), _one(F.col("message_index")))
     page = F.when(F.col("page").isNotNull(), _one(F.to_json(F.struct(F.coalesce(F.col("page.query"), F.lit("")).alias("q"), F.greatest(F.coalesce(F.col("page.number"), F.lit(0)), F.lit(0)).alias("n")))))
     seen = F.transform("seen", lambda x: F.nullif(F.trim(x), F.lit("")))
     distinct = {"total_assistant_turns": turn, "unique_search_query_count": _one(F.when(query.isNotNull(), _folded(query))), "unique_product_open_count": _one(opened), "products_seen_count": seen, "unique_result_page_count": page}
     tallies = {"tool_counts_attempted": _one(F.col("_name")), "tool_counts_executed": F.when(F.col("_accepted"), _one(F.col("_name")))}
-    out = _beside(key, facts, _by_value(rows, key, distinct, tallies))
-    return out.select(*facts.columns, *map(_map, tallies), *[_counted(c).alias(c) for c in distinct])
+    return _panel(rows, key, facts, distinct, tallies)
 
 
 #: Errors of the machinery around a run. Fixed values.
