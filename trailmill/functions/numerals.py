@@ -83,3 +83,20 @@ def spans(text: Column, value: str) -> Column:
 
     found = F.aggregate(pieces, zero, step, lambda s: s["out"])
     return F.slice(found, 1, F.size(found) - 1)
+
+
+def places(text: Column, value: Column) -> Column:
+    """STR21 with the value as a column: its places as spans(); none for a value that is null or empty."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    low, n = F.lower(value), F.length(value)
+    quoted = F.regexp_replace(low, r"([^\p{L}\p{N}])", r"\\$1")
+    pieces = F.split(F.lower(text), quoted, F.lit(-1))
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def step(s: Column, piece: Column) -> Column:
+        start = (s["at"] + F.length(piece)).cast("int")
+        one = F.struct(start.alias("start"), (start + n).cast("int").alias("end"))
+        return F.struct((start + n).cast("int").alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+
+    found = F.aggregate(pieces, zero, step, lambda s: s["out"])
+    return F.when(n > 0, F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(none)
