@@ -159,14 +159,12 @@ def _in_han(text: str) -> Iterator[tuple[int, int, float, str, str]]:
             yield numeral.start(), r.at, float(han_value(numeral[0])), unit, last or over
 
 
-def signals_of(said: str | None) -> dict | None:
-    """STR15: amounts with units, budgets, binding, softening and excluding words of a stripped text; null for a null.
+def stated_of(said: str) -> tuple[list[dict], list[dict]]:
+    """STR15: amounts with units, and budgets, of a stripped text.
 
     Budgets are looked for as ranges of money, as amounts of money, behind a topic, as Han numerals of money; one
     that overlaps a budget found before goes. Places count in the stripped text.
     """
-    if said is None:
-        return None
     text = said.strip()
     numbers = list(_NUMBER.finditer(text))
     places, amounts, budgets = Places(), [], []
@@ -192,8 +190,17 @@ def signals_of(said: str | None) -> dict | None:
     for found in (_topical, _in_han):
         for start, end, value, unit, word in found(text):
             fact(start, end, unit, word, value=value)
+    return amounts, sorted(budgets, key=lambda b: (b["start"], b["end"]))
+
+
+def signals_of(said: str | None) -> dict | None:
+    """STR15: what stated_of() finds, and binding, softening and excluding words of a stripped text; null for a null."""
+    if said is None:
+        return None
+    text = said.strip()
+    amounts, budgets = stated_of(text)
     marks = {kind: sorted(({"text": m[0], "start": m.start(), "end": m.end()} for p in patterns for m in p.finditer(text)), key=lambda s: (s["start"], s["end"])) for kind, patterns in _MARKS.items()}
-    return {"amounts": amounts, "budgets": sorted(budgets, key=lambda b: (b["start"], b["end"])), **marks}
+    return {"amounts": amounts, "budgets": budgets, **marks}
 
 
 @F.pandas_udf(SIGNALS)
@@ -207,6 +214,17 @@ def signals(said: Column) -> Column:
     return _signals(said)
 
 
+@F.pandas_udf(T.ArrayType(FACT))
+def _budgets(said: pd.Series) -> pd.Series:
+    return said.map(lambda s: None if s is None else stated_of(s)[1])
+
+
+def budgets(said: Column) -> Column:
+    """STR15: the budgets of signals() alone; texts without a numeral never reach Python."""
+    numeral = said.rlike(r"(?U)\d|" + _HAN.pattern)
+    return F.when(numeral, _budgets(F.when(numeral, said))).when(said.isNotNull(), F.array().cast(T.ArrayType(FACT)))
+
+
 def money(a: Column) -> Column:
     """Number as text, without a fraction if it is whole."""
     return F.when(a == F.floor(a), a.cast("decimal(38,0)").cast("string")).otherwise(a.cast("string"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numerals import places
-from ..functions.signals import money, signals
+from ..functions.signals import budgets, money
 from ..functions.text import nfkc_casefold
 
 # What a rubric may name, other names of operators, numbers in a text.
@@ -197,14 +197,13 @@ def numeric(v: Column) -> Column:
     )
 
 
-def _normal_items(listed: Column, request: Column) -> Column:
+def _normal_items(listed: Column, request: Column, bare: Column) -> Column:
     """Items in normal form, with their fault (they break the contract) and reasons (they must be reviewed).
 
     Fields are read first, then what they come to, then what is made of that, so that none is worked out twice.
     """
     fields = {"requirement": "requirement", "type": "type", "priority": "priority", "evidence": "query_evidence", "judge": "verifier.kind", "field": "verifier.field", "criterion": "verifier.criterion", "said": "verifier.operator"}
     aliases = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    bare = _squeezed(request)
 
     def read(v: Column, n: Column) -> Column:
         kind = _kind_of(v)
@@ -266,14 +265,14 @@ def audited(rubrics: DataFrame, request: str, raw: str) -> DataFrame:
     request that no budget item states alike, then the writer's own. An unfit verifier becomes one to be read by
     meaning. Audit rubrics anew by calling this on the stored raw column: nothing else of them is used.
     """
-    if clash := {"_said", "_raw", "_array", "_items", "_facts", "_names"} & set(rubrics.columns):
+    if clash := {"_said", "_bare", "_raw", "_array", "_items", "_facts", "_names"} & set(rubrics.columns):
         raise ValueError(f"columns {sorted(clash)} are used by the audit")
     said = _strip(F.coalesce(F.col(request), F.lit("")))
-    read = rubrics.withColumn("_said", said).withColumn("_raw", F.try_parse_json(F.col(raw)))
+    read = rubrics.withColumn("_said", said).withColumn("_bare", _squeezed(F.col("_said"))).withColumn("_raw", F.try_parse_json(F.col(raw)))
     listed = read.withColumn("_array", F.try_variant_get(F.col("_raw"), "$.items", "array<variant>"))
     # more items than may be are a fault and never looked at
     few = F.when(F.size("_array") <= MOST_ITEMS, F.col("_array"))
-    normal = listed.withColumn("_items", _normal_items(few, F.col("_said"))).withColumn("_facts", signals(F.col("_said"))["budgets"])
+    normal = listed.withColumn("_items", _normal_items(few, F.col("_said"), F.col("_bare"))).withColumn("_facts", budgets(F.col("_said")))
     fault = (
         F.when(F.col("_said") == "", "request_empty")
         .when(F.coalesce(~F.startswith(_kind_of(F.col("_raw")), F.lit("OBJECT")), F.lit(True)), "rubric_not_object")
@@ -310,7 +309,7 @@ def audited(rubrics: DataFrame, request: str, raw: str) -> DataFrame:
     items = F.transform("_items", lambda i: F.struct(*[i[n].alias(n) for n in kept]))
     fine = F.col("fault").isNull()
     out = judged.withColumn("items", F.when(fine, items)).withColumn("reasons", F.when(fine, every)).withColumn("review", F.size("reasons") > 0)
-    return out.withColumn("review", F.when(fine, F.col("review"))).drop("_said", "_raw", "_array", "_items", "_facts", "_names")
+    return out.withColumn("review", F.when(fine, F.col("review"))).drop("_said", "_bare", "_raw", "_array", "_items", "_facts", "_names")
 
 
 def reaudited(attempts: DataFrame, requests: DataFrame, key: str, request: str, raw: str) -> DataFrame:
