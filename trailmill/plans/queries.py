@@ -499,7 +499,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 
 
 def _ranked(spark, sf_dir, k: int) -> DataFrame:
-    return retrieval.bm25(spread(t(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", {"text": 1.0}, t(spark, sf_dir, "benchmark"), "item_id", "text", k)
+    return retrieval.bm25(t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", {"text": 1.0}, t(spark, sf_dir, "benchmark"), "item_id", "text", k)
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 4) AS score, rank::BIGINT AS rank FROM r WHERE rank <= 20")

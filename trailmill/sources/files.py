@@ -102,6 +102,27 @@ def pending(expected: DataFrame, done: DataFrame, key: list[str], valid: Column)
     return expected.join(done.filter(valid).select(*key).distinct(), key, "left_anti")
 
 
+#: Bytes of input files whose rows one task of a step dealt by key answers for.
+TASK_BYTES = 4 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads."""
+    context = df.sparkSession.sparkContext
+    paths = [context._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return sum(p.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as its input files ask for, so that a task's rows don't grow with the input.
+
+    Spark merges the partitions of a plain shuffle down to one for each core, whatever the input; a stated number it
+    leaves as it is. What fits into one task is left to Spark.
+    """
+    n = -(-input_bytes(df) // TASK_BYTES)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys) if n > 1 else df.repartition(*keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores when its files make fewer partitions than that; tables of many files pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
