@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import dealt
 from . import sampling
 
 
 def exact_cover(required: DataFrame, given: DataFrame, group: str, item: str) -> DataFrame:
-    """JN17: by group, required items that are missing, given ones not required, and items given twice or more."""
-    want = required.select(group, item).distinct().withColumn("_want", F.lit(1))
-    have = given.groupBy(group, item).agg(F.count("*").alias("_have"))
-    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    both = want.join(have, [group, item], "full")
-    return both.groupBy(group).agg(n(F.col("_have").isNull()).alias("n_missing"), n(F.col("_want").isNull()).alias("n_unexpected"), n(F.col("_have") > 1).alias("n_repeated"))
+    """JN17: by group, required items that are missing, given ones not required, and items given twice or more.
+
+    Both sides are dealt by group once, to tasks of bounded input, and counted side by side there; nothing is joined.
+    A null group or item is never the same as another side's.
+    """
+    side = lambda df, want: df.select(group, item, F.lit(want).alias("_want"), F.when(F.col(group).isNull() | F.col(item).isNull(), want).alias("_apart"))
+    rows = dealt(side(required, 1).unionByName(side(given, 0)), group)
+    each = rows.groupBy(group, item, "_apart").agg(F.max("_want").alias("_want"), F.count(F.when(F.col("_want") == 0, 1)).alias("_have"))
+    n = lambda c: F.sum(c.cast("long"))
+    return each.groupBy(group).agg(n(F.col("_have") == 0).alias("n_missing"), n(F.col("_want") == 0).alias("n_unexpected"), n(F.col("_have") > 1).alias("n_repeated"))
 
 
 def override(proposals: DataFrame, decisions: DataFrame, key: str, columns: list[str]) -> DataFrame:

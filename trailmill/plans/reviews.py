@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numerals
 from ..operators import difficulty, reviews, sequence
+from ..sources.files import dealt
 from .queries import query, t
 
 _AMOUNT = numerals.AMOUNT.replace("'", "''")
@@ -42,7 +43,7 @@ FROM (SELECT *, true AS required FROM r) FULL JOIN g USING (l_orderkey, line) GR
 def exact_cover_report(spark, sf_dir):
     """JN17."""
     lines = t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), "l_quantity")
-    required = lines.groupBy("l_orderkey").agg(F.max("line").alias("n")).select("l_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("line"))
+    required = dealt(lines.select("l_orderkey", "line"), "l_orderkey").groupBy("l_orderkey").agg(F.max("line").alias("n")).select("l_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("line"))
     return reviews.exact_cover(required, lines.filter("l_quantity > 5"), "l_orderkey", "line")
 
 
