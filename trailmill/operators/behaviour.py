@@ -1,7 +1,7 @@
 """Panels of counts over the event rows of trajectories.
 
 Repeats next to each other need the order of a trajectory's own rows, so its rows meet in one task, once; a trajectory
-is bounded by its limit of steps. Different values and tallies come from the same dealing: a row is made for each
+is bounded by its limit of steps. Rows are dealt by trajectory to as many tasks as the input asks for. Different values and tallies come from the same dealing: a row is made for each
 value, and aggregates by (key, name, value), then by key, need no further shuffle.
 """
 
@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import dealt
+
 #: Names of tools. Fixed values.
 SEARCH, OPEN, OPTION, BUY, FINISH = "search_products", "open_product", "select_option", "buy_now", "finish_without_purchase"
 INFORMATION = ("view_attributes", "view_description", "view_features", "view_reviews")
@@ -89,7 +91,7 @@ def metric_panel(events: DataFrame, key: list[str], order: list[str], id_pattern
     """
     step, guard = _no(F.col("event_type") == "tool_step"), _no(F.col("event_type") == "guard_rejection")
     is_tool = lambda *names: F.col("_step") & _no(F.col("tool").isin(*names))
-    rows = events.withColumn("_step", step).withColumn("_guard", guard).withColumn("_sig", action_signature())
+    rows = dealt(events, *key).withColumn("_step", step).withColumn("_guard", guard).withColumn("_sig", action_signature())
     rows = rows.withColumn("_query", F.when(is_tool(SEARCH), _folded(F.col("parameters")["query"])))
     by = Window.partitionBy(*key).orderBy(*order)
     rows = rows.withColumn("_last_sig", F.lag("_sig").over(by)).withColumn("_last_query", F.last("_query", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
@@ -125,7 +127,7 @@ def call_behaviour(events: DataFrame, key: list[str], order: list[str]) -> DataF
     calls next to each other among the attempted ones. Lists keep the order of calls, repeats included; they are as long
     as a trajectory's calls. A trajectory without calls has zeros and empty lists.
     """
-    rows = events.withColumn("_call", _no(F.col("kind") == "assistant_tool_call")).withColumn("_sig", F.when(F.col("_call"), call_signature()))
+    rows = dealt(events, *key).withColumn("_call", _no(F.col("kind") == "assistant_tool_call")).withColumn("_sig", F.when(F.col("_call"), call_signature()))
     rows = rows.withColumn("_name", F.when(F.col("_call"), F.nullif(F.trim("tool"), F.lit("")))).withColumn("_accepted", F.col("_call") & _no(F.col("accepted")))
     by = Window.partitionBy(*key).orderBy(*order)
     before = by.rowsBetween(Window.unboundedPreceding, -1)
