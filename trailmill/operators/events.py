@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import dealt
+
 #: Fields of a message that training rows keep. Fixed values.
 MESSAGE_FIELDS = ("role", "content", "tool_calls", "tool_call_id", "name")
 
@@ -26,7 +28,7 @@ def event_stream(trajectories: DataFrame, key: str) -> DataFrame:
         F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("error"), F.coalesce("b.reason", F.lit("unknown")).alias("guard_reason"), F.lit(0.0).alias("reward"), F.lit(False).alias("done"),
     )
     number = F.row_number().over(Window.partitionBy(key).orderBy("position", "rank", "nth"))
-    rows = step.unionByName(guard).withColumn("event_number", number).withColumn("assistant_text", F.coalesce(F.col("replies")[F.col("call_id")], F.lit("")))
+    rows = dealt(step.unionByName(guard), key).withColumn("event_number", number).withColumn("assistant_text", F.coalesce(F.col("replies")[F.col("call_id")], F.lit("")))
     ids = rows.withColumn("event_id", F.format_string("e%04d", "event_number")).withColumn("action_attempt_id", F.format_string("a%04d", "event_number"))
     return ids.withColumn("source_step_index", F.when(F.col("rank") == 1, F.col("position"))).drop("replies", "rank", "nth", "position")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import outcomes, process, products
 from ..operators import events, planning
+from ..sources.files import dealt
 from .queries import query, t
 
 #: Fields of an attempt, by expressions over orders that both engines have.
@@ -145,7 +146,7 @@ stream AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY position,
 
 def stream(spark, sf_dir):
     """PRJ7, JN8: a user's events as a trajectory: steps, and the calls that a guard blocked at or after some of them."""
-    e = t(spark, sf_dir, "events").withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    e = dealt(t(spark, sf_dir, "events"), "user_id").withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
     tool = F.when(F.col("event_type") == "view", "search").when(F.col("event_type") == "purchase", "buy").otherwise(F.col("event_type"))
     action = F.concat_ws(" ", "event_type", F.floor(F.col("value") % 5).cast("int"))
     call = F.col("event_id").cast("string")
