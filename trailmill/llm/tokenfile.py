@@ -49,7 +49,7 @@ CACHE_WORDS = room(200, 2.5)
 
 #: White space as the tokenizer's pattern has it. Fixed values.
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_JOINED = re.compile(f" (?=[{_WS}]|\\Z)")
+_BLANK = re.compile(f"[{_WS}]")
 
 # ---- codes -----------------------------------------------------------------
 
@@ -158,26 +158,38 @@ class Encoder:
         if len(self.spaced) > CACHE_WORDS // 2:
             # two generations: words still in use move over from the older one, the others go
             self.older, self.spaced = self.spaced, {}
-        pieces, heads, whole = [], [], []
+        pieces: list = []
+        out: list = []
+        late, heads, whole = [], [], []
+        get = self.spaced.__getitem__
         for i, t in enumerate(texts):
-            if not t:
-                pieces.append([])
-            elif _JOINED.search(t) or any(a in t for a in self.added):
-                pieces.append(None)
+            first, *rest = t.split(" ") if t else [""]
+            pieces.append(rest)
+            out.append(b"")
+            if t and any(a in t for a in self.added):
                 whole.append(i)
-            else:
-                first, *rest = t.split(" ")
-                pieces.append(rest)
-                if first:
-                    heads.append((i, first))
-        fresh = set().union(*[p for p in pieces if p]) - self.spaced.keys()
-        for word in fresh & self.older.keys():
+                continue
+            try:
+                out[i] = b"".join(map(get, rest))
+            except KeyError:
+                late.append(i)
+            if first:
+                heads.append((i, first))
+        fresh = {w for i in late for w in pieces[i] if w not in self.spaced}
+        for word in [w for w in fresh if w in self.older]:
             self.spaced[word] = self.older[word]
-        self._learn(list(fresh - self.older.keys()))
+        fresh = {w for w in fresh if w not in self.spaced}
+        # after a space these begin in another way; they are never kept, so they are always met here
+        odd = {w for w in fresh if not w or _BLANK.match(w)}
+        self._learn(list(fresh - odd))
+        for i in late:
+            if odd and not odd.isdisjoint(pieces[i]):
+                whole.append(i)
+            else:
+                out[i] = b"".join(map(get, pieces[i]))
         head = dict(zip([i for i, _ in heads], self._ids([f for _, f in heads])))
         full = dict(zip(whole, self._ids([texts[i] for i in whole])))
-        get = self.spaced.__getitem__
-        return [np.frombuffer(full[i] if p is None else head.get(i, b"") + b"".join(map(get, p)), self.dtype) for i, p in enumerate(pieces)]
+        return [np.frombuffer(full[i] if i in full else head.get(i, b"") + x, self.dtype) for i, x in enumerate(out)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
