@@ -9,8 +9,8 @@ A file of the format is one segment, the documents of a doc_id range:
     data bytes (each id's rank, little-endian, as many bytes as its control says)
     trailer "TMSE"
 
-Decoding looks the control bytes up in tables of lengths and offsets, so numpy
-reads all ids at once. A segment carries its own ranks: one pass over the text
+Decoding looks the control bytes up in a table of lengths, so numpy reads all ids
+at once. A segment carries its own ranks: one pass over the text
 is enough, and a segment is read without any other.
 
 Files are written by Spark's file committer, one segment each, so what lost or
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,38 +50,52 @@ CACHE_WORDS = room(200, 2.5)
 
 #: White space as the tokenizer's pattern has it. Fixed values.
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_BLANK = re.compile(f"[{_WS}]")
+#: Nothing or white space after a unit's mark: a longer run was cut.
+_ODD = re.compile(rf"\n?+(?:[{_WS}]|\Z)")
+_CUT = re.compile(rf"(?=[ \n][^{_WS}])")
+#: Marks at the end of a word, but for the apostrophe, which may begin a piece of its own, and what must stand before
+#: them: digits and letters of every version of Unicode.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_BEFORE_MARKS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and (c.isascii() or c >= "\xc0"))
+#: Ends kept with their ids.
+MOST_ENDS = 4096
 
 # ---- codes -----------------------------------------------------------------
 
-LENGTHS = np.array([[(c >> 2 * j & 3) + 1 for j in range(4)] for c in range(256)], np.int64)
-OFFSETS = np.cumsum(LENGTHS, axis=1) - LENGTHS
-TOTALS = LENGTHS.sum(axis=1)
+#: Bytes of the four values of each control byte.
+LENGTHS = np.array([[(c >> 2 * j & 3) + 1 for j in range(4)] for c in range(256)], np.uint8)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
     v = np.ascontiguousarray(values, "<u4")
     n = len(v)
-    size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     two = np.zeros(-(-n // 4) * 4, np.uint8)
-    two[:n] = size - 1
+    longer = [np.flatnonzero(v >> np.uint32(8 * j)) for j in range(1, 4 if n and v.max() > 0xFFFF else 2)]
+    for x in longer:
+        two[x] += 1
+    size = two[:n] + np.uint8(1)
+    at = np.cumsum(size, dtype=np.int64)
+    data = np.empty(int(at[-1]) if n else 0, np.uint8)
+    at -= size
+    data[at] = v.astype(np.uint8)
+    for j, x in enumerate(longer, 1):
+        data[at[x] + j] = (v[x] >> np.uint32(8 * j)).astype(np.uint8)
     four = two.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    data = v.view(np.uint8).reshape(n, 4)[np.arange(4) < size[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    return control.tobytes(), data.tobytes()
 
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values again, by table lookup."""
-    c = np.frombuffer(control, np.uint8)
-    d = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
-    group = np.cumsum(TOTALS[c]) - TOTALS[c]
-    at = (group[:, None] + OFFSETS[c]).ravel()[:n]
-    size = LENGTHS[c].ravel()[:n]
-    out = d[at]
+    d = np.frombuffer(data, np.uint8)
+    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+    at = np.cumsum(size, dtype=np.int64)
+    at -= size
+    out = d[at].astype(np.uint32)
     for j in range(1, int(size.max()) if n else 0):
-        out |= np.where(size > j, d[np.minimum(at + j, len(d) - 1)], 0).astype(np.uint32) << np.uint32(8 * j)
+        longer = np.flatnonzero(size > j)
+        out[longer] |= d[at[longer] + j].astype(np.uint32) << np.uint32(8 * j)
     return out
 
 
@@ -122,10 +137,14 @@ def unpack_segment(segment: bytes) -> tuple[int, int, list, np.ndarray, np.ndarr
 class Encoder:
     """The library's ids of whole texts, with the ids of words kept.
 
-    The tokenizer's pattern never matches across a single space between two
-    non-space characters, so a text falls into independent pieces there. Texts
-    with other runs that hold a space, or with a token that the tokenizer adds to
-    its vocabulary (a special token), go to the library whole.
+    The tokenizer's pattern always has a bound before the last white space of a
+    run, so a text falls into independent units before each space or line feed
+    that another character follows. A unit is kept under its own text, a space at
+    its begin left out. A text's first unit is sought as if a line feed stood
+    before it, whose one id is cut off again. Columns are cut at every space and
+    line feed; texts where that cuts a run of three or of other white space are
+    cut anew. Texts with a token that the tokenizer adds to its vocabulary (a
+    special token) go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -133,63 +152,138 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
-        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.begins = {mark: np.array([t.startswith(token) for t in tokens]) for mark, token in ((" ", "Ġ"), ("\n", "Ċ"))}
         self.spaced: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in got]
+    def _ids(self, text: str) -> bytes:
+        # one text a call: the library deals several to threads, and the other cores have tasks of their own
+        (e,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(e.ids, self.dtype).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of " word" for new words, many in one text: only their first id begins with a space."""
+    def _learn(self, units: list[str], mark: str) -> None:
+        """Ids of new units that begin with the mark, many in one text: only their first id begins with it."""
         size = np.dtype(self.dtype).itemsize
-        for low in range(0, len(words), 16_384):
-            parts = [words[i : i + 64] for i in range(low, min(len(words), low + 16_384), 64)]
-            for part, raw in zip(parts, self._ids([" " + " ".join(p) for p in parts])):
-                cuts = np.flatnonzero(self.begins[np.frombuffer(raw, self.dtype)])
-                if len(cuts) == len(part) and cuts[0] == 0:
-                    at = (cuts * size).tolist()
-                    self.spaced.update(zip(part, [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)])]))
-                else:
-                    self.spaced.update(zip(part, self._ids([" " + w for w in part])))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        lead = " " if mark == " " else ""  # a line feed is part of the unit
+        for low in range(0, len(units), 64):
+            part = units[low : low + 64]
+            raw = self._ids("".join([lead + u for u in part]))
+            cuts = np.flatnonzero(self.begins[mark][np.frombuffer(raw, self.dtype)])
+            if len(cuts) == len(part) and cuts[0] == 0:
+                at = (cuts * size).tolist()
+                self.spaced.update(zip(part, [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)])]))
+            else:
+                self.spaced.update(zip(part, [self._ids(lead + u) for u in part]))
+
+    def _look_up(self, units: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of distinct units and their kinds: 0 a word, 1 a mark alone, 2 one before white space, which has no ids."""
+        spaced, older = self.spaced, self.older
+        found = list(map(spaced.get, units))
+        kinds = np.zeros(len(units), np.int8)
+        late, ended, stems = [], [], {}
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            unit = units[i]
+            if not unit or unit[0].isspace():
+                # they are never kept, so they are always met here
+                if _ODD.match(unit):
+                    kinds[i] = 1 if unit in ("", "\n") else 2
+                    found[i] = self._ids(unit or " ") if kinds[i] == 1 else b""
+                    continue
+            if unit in older:
+                found[i] = spaced[unit] = older[unit]
+                continue
+            late.append(i)
+            # the pattern has a bound between a letter or digit and marks
+            stem = unit.rstrip(_MARKS)
+            if stem != unit and stem and stem[-1] in _BEFORE_MARKS and len(unit) - len(stem) <= 8:
+                ended.append((unit, stem))
+                if stem in spaced:
+                    continue
+                if stem in older:
+                    spaced[stem] = older[stem]
+                    continue
+                unit = stem
+            stems[unit] = None
+        self._learn([u for u in stems if u[0] != "\n"], " ")
+        self._learn([u for u in stems if u[0] == "\n"], "\n")
+        for unit, stem in ended:
+            end = unit[len(stem) :]
+            if end not in self.ends:
+                if len(self.ends) >= MOST_ENDS:
+                    self.ends.clear()
+                self.ends[end] = self._ids(end)
+            spaced[unit] = spaced[stem] + self.ends[end]
+        for i in late:
+            found[i] = spaced[units[i]]
+        return found, kinds
+
+    def _with_runs(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts with runs of white space: cut before a run's last space or line feed alone."""
+        cut = [_CUT.split(t) for t in texts]
+        rest = [[u[1:] if u[0] == " " else u for u in units[1:]] for units in cut]
+        distinct = list({u for units in rest for u in units})
+        ids = dict(zip(distinct, self._look_up(distinct)[0]))
+        return [(self._ids(first) if first else b"") + b"".join([ids[u] for u in units]) for (first, *_), units in zip(cut, rest)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one text after the other, and the number of ids of each."""
         if len(self.spaced) > CACHE_WORDS // 2:
             # two generations: words still in use move over from the older one, the others go
             self.older, self.spaced = self.spaced, {}
-        pieces: list = []
-        out: list = []
-        late, heads, whole = [], [], []
-        get = self.spaced.__getitem__
-        for i, t in enumerate(texts):
-            first, *rest = t.split(" ") if t else [""]
-            pieces.append(rest)
-            out.append(b"")
-            if t and any(a in t for a in self.added):
-                whole.append(i)
-                continue
-            try:
-                out[i] = b"".join(map(get, rest))
-            except KeyError:
-                late.append(i)
-            if first:
-                heads.append((i, first))
-        fresh = {w for i in late for w in pieces[i] if w not in self.spaced}
-        for word in [w for w in fresh if w in self.older]:
-            self.spaced[word] = self.older[word]
-        fresh = {w for w in fresh if w not in self.spaced}
-        # after a space these begin in another way; they are never kept, so they are always met here
-        odd = {w for w in fresh if not w or _BLANK.match(w)}
-        self._learn(list(fresh - odd))
-        for i in late:
-            if odd and not odd.isdisjoint(pieces[i]):
-                whole.append(i)
-            else:
-                out[i] = b"".join(map(get, pieces[i]))
-        head = dict(zip([i for i, _ in heads], self._ids([f for _, f in heads])))
-        full = dict(zip(whole, self._ids([texts[i] for i in whole])))
-        return [np.frombuffer(full[i] if i in full else head.get(i, b"") + x, self.dtype) for i, x in enumerate(out)]
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = np.zeros(len(texts), bool)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(whole), "", texts)
+        bare = pc.invert(pc.or_(pc.or_(pc.starts_with(plain, " "), pc.starts_with(plain, "\n")), pc.equal(plain, "")))
+        marked = pc.if_else(bare, pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), plain, pa.scalar("", pa.large_string())), plain)
+        pieces = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+        bare = bare.to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy())]).astype(np.int64)
+        first = at[:-1]  # an empty piece, as a space begins every text now
+        words = pieces.flatten().dictionary_encode()
+        places = words.indices.to_numpy()
+        units = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found, kinds = self._look_up(units)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.dtype).itemsize
+        begin, length = (np.cumsum(lengths) - lengths)[places], lengths[places]
+        length[first] = 0
+        begin[first[bare] + 1] += 1
+        length[first[bare] + 1] -= 1
+        kind = np.append(kinds[places], np.int8(0))
+        kind[first] = 0
+        # a mark alone is a piece of its own if its run has one more mark at most
+        alone = np.flatnonzero(kind == 1)
+        before = places[alone - 1]
+        blank = np.zeros(len(units), bool)
+        blank[[j for j in np.unique(before).tolist() if units[j][-1:].isspace()]] = True
+        hits = np.concatenate([np.flatnonzero(kind == 2), alone[(kind[alone + 1] > 0) | blank[before]]])
+        runs = np.unique(np.searchsorted(at, hits, "right") - 1).tolist()
+        known = int(lengths.sum())
+        for i, ids in [*zip(runs, self._with_runs([texts[i].as_py() for i in runs])), *[(i, self._ids(texts[i].as_py())) for i in np.flatnonzero(whole).tolist()]]:
+            found.append(ids)
+            length[at[i] : at[i + 1]] = 0
+            begin[at[i]], length[at[i]] = known, len(ids) // np.dtype(self.dtype).itemsize
+            known += int(length[at[i]])
+        stops = np.concatenate([[0], np.cumsum(length)])
+        ids = np.frombuffer(b"".join(found), self.dtype)[np.repeat(begin - stops[:-1], length) + np.arange(stops[-1])]
+        return ids, np.diff(stops[at])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, counts = self.encode_column(pa.array(texts, pa.large_string()))
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
+
+
+def with_ends(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and counts with the end id after each text."""
+    counts = counts + 1
+    out = np.full(len(ids) + len(counts), END_ID, ids.dtype)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(counts) - 1] = False
+    out[inner] = ids
+    return out, counts
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -224,11 +318,13 @@ def segments(docs: DataFrame, path: str) -> DataFrame:
         total = 0
         for whole in batches:
             for b in slices(whole):
-                for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+                ids, sizes = with_ends(*enc.encode_column(b.column("text")))
+                stops = np.cumsum(sizes)
+                for doc, low, high in zip(b.column("doc_id").to_pylist(), (stops - sizes).tolist(), stops.tolist()):
                     doc_ids.append(doc)
-                    held.append(np.append(ids, enc.dtype(END_ID)))
-                    counts.append(len(ids) + 1)
-                    total += len(ids) + 1
+                    held.append(ids[low:high])
+                    counts.append(high - low)
+                    total += high - low
                     if total >= SEGMENT_IDS:
                         yield flush()
                         seq, total = seq + 1, 0
