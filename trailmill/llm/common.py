@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text a Python worker works on at once, bytes of a batch sent to it while a table is staged.
 SLICE_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
+#: Bytes of a group after which freed memory goes.
+LARGE = 1 << 20
 #: Bytes that what a worker remembers (words, paths, steps) may take, over all its caches of one operator.
 CACHE_BYTES = 64 << 20
 #: Bytes of text that one bucket of a hash-dealt step answers for.
@@ -51,7 +55,17 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 
 #: While a table is staged: Spark deletes the query's shuffle files when it ends, and Python gets batches of bounded bytes.
-STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCHES: str(BATCH_BYTES)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Python gets batches of bounded bytes from here on, for a table that the caller writes; a smaller bound of the session's stays.
+
+    Spark reads the setting when the caller's query is planned, so it can't end with the operator that asks for it.
+    """
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCHES)) > BATCH_BYTES:
+        spark.conf.set(BATCHES, str(BATCH_BYTES))
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -158,6 +172,57 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start)
 
 
+#: What a Python worker keeps from task to task, of one operator at a time.
+REMEMBERED: dict = {}
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = None
+
+
+def forget() -> None:
+    """Drop what the worker keeps. (A closure that named the table itself would be sent with a copy of it.)"""
+    REMEMBERED.clear()
+
+
+def release() -> None:
+    """Give the memory that was freed back to the system: a worker lives on beside the JVM, and counts with it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run(batches) for mapInArrow, whose worker holds no freed memory after it, nor what another operator keeps, unless keeps."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def lean_group(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """work(table) or work(left, right) for applyInArrow; after a group of LARGE bytes freed memory goes."""
+
+    @functools.wraps(work)
+    def task(*tables: pa.Table) -> pa.Table:
+        try:
+            return work(*tables)
+        finally:
+            if sum(t.nbytes for t in tables) >= LARGE:
+                release()
+
+    if work.__code__.co_argcount == 2:
+        return lambda left, right: task(left, right)
+    return lambda table: task(table)
+
+
 def crc32_of(b: bytes) -> int:
     return zlib.crc32(b) & 0xFFFFFFFF
 

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, buckets_for, documents, drop_stage, joined, mix, pack, partitions, settings, shingles, slices, stage, words_of
+from .common import WordHashes, buckets_for, documents, drop_stage, joined, lean, lean_group, mix, pack, partitions, settings, shingles, slices, stage, words_of
 
 #: Sets and tokens in a chunk of a group (one set at least), tokens and sets a map task counts before it sends them.
 CHUNK, CHUNK_TOKENS, FLUSH, FLUSH_SETS = 1024, 1 << 20, 1_000_000, 200_000
@@ -159,7 +159,7 @@ def survey(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> Dat
         if held:
             yield from flush()
 
-    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "jaccard-survey")
+    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema), "jaccard-survey")
 
 
 def _shared(surveyed: DataFrame) -> DataFrame:
@@ -184,8 +184,8 @@ def _shared(surveyed: DataFrame) -> DataFrame:
         return pa.table({"row": row, "found": np.bincount(at, n, len(row)).astype(np.int64), "found_low": low})
 
     tokens = surveyed.filter("bucket >= 0").select("bucket", "tokens", "rows")
-    dealt = tokens.groupBy("bucket").applyInArrow(by_token, "part long, rows binary, counts binary, lows binary")
-    return dealt.groupBy("part").applyInArrow(by_row, "row long, found long, found_low long")
+    dealt = tokens.groupBy("bucket").applyInArrow(lean_group(by_token), "part long, rows binary, counts binary, lows binary")
+    return dealt.groupBy("part").applyInArrow(lean_group(by_row), "row long, found long, found_low long")
 
 
 def classes(surveyed: DataFrame, num: int, den: int) -> DataFrame:
@@ -220,11 +220,11 @@ def sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     # the smallest doc_id of several classes (its rows differ in text): its sets are found by their keys
     several = labels.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     odd = several.limit(1).count() > 0
-    kept = texts.join(labels.join(several, "doc_id", "left_anti") if odd else labels, "doc_id").select("doc_id", "text", "wanted", "low").mapInArrow(run, schema)
+    kept = texts.join(labels.join(several, "doc_id", "left_anti") if odd else labels, "doc_id").select("doc_id", "text", "wanted", "low").mapInArrow(lean(run), schema)
     if odd:
         some = texts.join(several, "doc_id", "left_semi").select("doc_id", "text", F.lit(None).cast("binary").alias("wanted"), F.lit(NO_LOW).alias("low"))
         wanted = labels.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("d"), "wanted", F.col("low").alias("l"))
-        found = some.mapInArrow(run, schema).join(wanted, (F.col("label") == F.col("d")) & (F.col("key") == F.col("wanted")))
+        found = some.mapInArrow(lean(run), schema).join(wanted, (F.col("label") == F.col("d")) & (F.col("key") == F.col("wanted")))
         kept = kept.union(found.select("key", "label", "n", "tokens", F.col("l").alias("low")))
     # a Bloom filter of bounded size (Spark's limit) over the labels drops other texts before their shuffle
     with settings(docs.sparkSession, {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
@@ -330,7 +330,7 @@ def groups_of(sets: DataFrame, num: int, den: int) -> DataFrame:
     many = sets.groupBy("low").agg(F.count("*").alias("sets"), F.sum("n").alias("in_all")).select("low", F.greatest(F.ceil(F.col("sets") / CHUNK), F.ceil(F.col("in_all") / CHUNK_TOKENS)).alias("chunks")).filter("chunks > 1")
     dealt = sets.join(many, "low", "left").withColumn("chunk", F.pmod(F.xxhash64("label"), F.coalesce("chunks", F.lit(1)))).drop("chunks")
     dealt = dealt.repartition(partitions(sets.sparkSession), "low", "chunk")
-    return stage(dealt.groupBy("low", "chunk").applyInArrow(gather, GROUP), "jaccard-groups")
+    return stage(dealt.groupBy("low", "chunk").applyInArrow(lean_group(gather), GROUP), "jaccard-groups")
 
 
 def _split(sizes: bytes, tokens: bytes) -> list[np.ndarray]:
@@ -405,8 +405,8 @@ def matrix(groups: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
             out_hi.append(np.full(len(got), own.max()))
         return pa.table({"token": np.concatenate(out_t).view(np.int64), "gid": np.concatenate(out_g), "lo": np.concatenate(out_lo), "hi": np.concatenate(out_hi)})
 
-    packed = groups.select("gid", "sizes", "tokens", "places").mapInArrow(tokens, "bucket long, tokens binary, gids binary")
-    counted = packed.groupBy("bucket").applyInArrow(frequencies, "part long, gids binary, tokens binary, counts binary")
+    packed = groups.select("gid", "sizes", "tokens", "places").mapInArrow(lean(tokens), "bucket long, tokens binary, gids binary")
+    counted = packed.groupBy("bucket").applyInArrow(lean_group(frequencies), "part long, gids binary, tokens binary, counts binary")
 
     def part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -420,8 +420,8 @@ def matrix(groups: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
             )
 
     # the rank needs a set's entries and size alone, a quarter of its tokens
-    dealt = groups.select("gid", "sizes", "tokens", "places").mapInArrow(part_of, "part long, gid long, sizes binary, picks binary, entries binary")
-    return stage(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(first, "token long, gid long, lo long, hi long"), "jaccard-matrix")
+    dealt = groups.select("gid", "sizes", "tokens", "places").mapInArrow(lean(part_of), "part long, gid long, sizes binary, picks binary, entries binary")
+    return stage(dealt.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(lean_group(first), "token long, gid long, lo long, hi long"), "jaccard-matrix")
 
 
 def _cross(one: Group, two: Group, nodes_one: bytes, nodes_two: bytes, num: int, den: int) -> list[tuple[int, int]]:
@@ -476,9 +476,9 @@ def bounded(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFram
             hit = [_may_join(*(Group(r[f"{c}_picks"], r[f"{c}_picked"], r[f"{c}_spots"]) for c in "ab"), r["a_sizes"], r["b_sizes"], num, den) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    unions = groups.select("gid", "sizes", "tokens", "places").mapInArrow(pick, "gid long, sizes binary, picks binary, picked binary, spots binary")
+    unions = groups.select("gid", "sizes", "tokens", "places").mapInArrow(lean(pick), "gid long, sizes binary, picks binary, picked binary, spots binary")
     side = lambda c: unions.select(F.col("gid").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fields])
-    return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "jaccard-bounded")
+    return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a long, b long"), "jaccard-bounded")
 
 
 def opened(candidates: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -494,7 +494,7 @@ def opened(candidates: DataFrame, groups: DataFrame, num: int, den: int) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     side = lambda c: groups.select(F.col("gid").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fields])
-    return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "jaccard-links")
+    return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a long, b long"), "jaccard-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -533,7 +533,7 @@ def members_of(groups: DataFrame) -> DataFrame:
             sizes = joined(b.column("sizes"), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(labels), pa.array(nodes), pa.array(gids), pa.array(sizes)], ["member", "label", "node", "gid", "n"])
 
-    return stage(groups.select("keys", "labels", "nodes", "gid", "sizes").mapInArrow(run, "member binary, label long, node long, gid long, n long"), "jaccard-members")
+    return stage(groups.select("keys", "labels", "nodes", "gid", "sizes").mapInArrow(lean(run), "member binary, label long, node long, gid long, n long"), "jaccard-members")
 
 
 def _linked(one: Group, two: Group, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -596,14 +596,14 @@ def link_counts(groups: DataFrame, rooted: DataFrame, num: int, den: int) -> Dat
                     yield counts(keys, n)
 
     fields = ("sizes", "tokens", "places", "keys")
-    opened_sets = groups.select("gid", *fields).join(of_group, "gid").mapInArrow(split, "root long, block long, member binary, set binary")
+    opened_sets = groups.select("gid", *fields).join(of_group, "gid").mapInArrow(lean(split), "root long, block long, member binary, set binary")
     opened_sets = opened_sets.repartition(partitions(groups.sparkSession), "root", "block")
-    blocks = stage(opened_sets.groupBy("root", "block").applyInArrow(gather, "root long, block long, sizes binary, tokens binary, places binary, keys binary"), "jaccard-blocks")
-    found = blocks.select(*fields).mapInArrow(within, "set binary, n_links long")
+    blocks = stage(opened_sets.groupBy("root", "block").applyInArrow(lean_group(gather), "root long, block long, sizes binary, tokens binary, places binary, keys binary"), "jaccard-blocks")
+    found = blocks.select(*fields).mapInArrow(lean(within), "set binary, n_links long")
     pairs = blocks.select("root", F.col("block").alias("a")).join(blocks.select("root", F.col("block").alias("b")), "root").filter("a < b")
     if pairs.limit(1).count():
         side = lambda c: blocks.select("root", F.col("block").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fields])
-        found = found.union(pairs.join(side("a"), ["root", "a"]).join(side("b"), ["root", "b"]).mapInArrow(across, "set binary, n_links long"))
+        found = found.union(pairs.join(side("a"), ["root", "a"]).join(side("b"), ["root", "b"]).mapInArrow(lean(across), "set binary, n_links long"))
     out = stage(found.groupBy("set").agg(F.sum("n_links").alias("n_links")), "jaccard-counts")
     drop_stage(blocks)
     return out

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, stage
+from .common import documents, lean, partitions, stage
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -111,7 +111,7 @@ def _local_ranks(sized: DataFrame) -> DataFrame:
 
     dealt = sized.repartitionByRange(partitions(sized.sparkSession), "key", "size", "doc_id").sortWithinPartitions("key", "size", "doc_id")
     schema = ", ".join(f"{c} {t}" for c, t in sized.dtypes) + ", part long, local_rank long"
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 def copies(docs: DataFrame) -> DataFrame:

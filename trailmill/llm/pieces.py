@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of, documents, joined, partitions, room, slices, stage
+from .common import REMEMBERED, SLICE_BYTES, bound_batches, crc32_of, documents, joined, lean, partitions, room, slices, stage
 
 SPACE = "▁"
 #: Characters of a chunk, neighbours combined at once, and characters of words searched many at a time.
@@ -359,14 +359,11 @@ def solve(matrices: list[dict], entry: tuple[int, int] = (BEGIN, 0), leave: tupl
     return list(zip(on, on[1:]))
 
 
-_MODELS: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
     """The model of this worker; workers live on over tasks."""
-    if path not in _MODELS:
-        _MODELS[path] = Pieces(path)
-    return _MODELS[path]
+    if path not in REMEMBERED:
+        REMEMBERED[path] = Pieces(path)
+    return REMEMBERED[path]
 
 
 def _tree(matrices: DataFrame, fan: int) -> DataFrame:
@@ -423,7 +420,7 @@ def _long(docs: DataFrame, path: str, chunk: int, fan: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(),) * 5 + (pa.string(),))], names)
                 row += 1
 
-    chunks = stage(docs.mapInArrow(cut, schema).repartition(tasks, "row", "number"), "piece-chunks")
+    chunks = stage(docs.mapInArrow(lean(cut, keeps=True), schema).repartition(tasks, "row", "number"), "piece-chunks")
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
@@ -431,7 +428,7 @@ def _long(docs: DataFrame, path: str, chunk: int, fan: int) -> DataFrame:
             made = [pickle.dumps(model.transfer(z, low, high, n == 0)) for n, low, high, z in zip(*(b.column(c).to_pylist() for c in ("number", "low", "high", "z")))]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("number"), pa.array(made, pa.binary())], ["row", "number", "matrix"])
 
-    matrices = stage(chunks.select("row", "number", "low", "high", "z").mapInArrow(transfers, "row long, number long, matrix binary"), "piece-matrices")
+    matrices = stage(chunks.select("row", "number", "low", "high", "z").mapInArrow(lean(transfers, keeps=True), "row long, number long, matrix binary"), "piece-matrices")
     solved = _tree(matrices, fan)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,7 +438,7 @@ def _long(docs: DataFrame, path: str, chunk: int, fan: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("number"), pa.array(ids, pa.binary())], ["row", "doc_id", "number", "ids"])
 
     # dealt by chunk: a few bytes of states would else bring all chunks of a text into few tasks
-    spelt = chunks.join(solved, ["row", "number"]).repartition(tasks, "row", "number").mapInArrow(spell, "row long, doc_id long, number long, ids binary")
+    spelt = chunks.join(solved, ["row", "number"]).repartition(tasks, "row", "number").mapInArrow(lean(spell, keeps=True), "row long, doc_id long, number long, ids binary")
 
     def whole(table: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(table.column("number")))
@@ -458,11 +455,12 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, fan: int = FAN) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for b_ in batches:
-            for b in slices(b_):
+            for b in slices(b_, limit=SLICE_BYTES // 4):  # its words are many times its bytes
                 got = model.encode_marked([marked(t) for t in b.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.binary())], ["doc_id", "ids"])
 
-    short = rows.filter(size < chunk).mapInArrow(run, "doc_id long, ids binary")
+    bound_batches(docs.sparkSession)
+    short = rows.filter(size < chunk).mapInArrow(lean(run, keeps=True), "doc_id long, ids binary")
     return short.unionByName(_long(rows.filter(size >= chunk), path, chunk, fan))
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import bound_batches, documents, lean, slices
 
 BASE = ("email", "ip", "card", "phone")
 #: Order of the kinds in a spans string.
@@ -242,7 +242,8 @@ def redacted(docs: DataFrame) -> DataFrame:
                     columns["n_chars"] = pa.array([None if t is None else len(t) for t in clean], columns["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    bound_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import SLICE_BYTES, crc_mod, documents, mix, room, slices, words_of
+from .common import SLICE_BYTES, bound_batches, crc_mod, documents, lean, mix, room, slices, words_of
 
 #: Labelled rows trained on at most (scoring has no such bound).
 TRAIN_ROWS = 2400
@@ -299,7 +299,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     spans[i] = ",".join("{}:{}:{:.3f}".format(*at[j - ends[i] + lengths[i]], p[j]) for j in own.tolist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.float64()), pa.array((got >= 0.5).astype(np.int32)), pa.array(spans, pa.string())], ["doc_id", "score", "predicted", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double, predicted int, spans string")
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
@@ -313,7 +313,8 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
                 got, _, _ = _scores(b.column("text").to_pylist(), values)
                 yield b.filter(pa.array(got < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    bound_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
