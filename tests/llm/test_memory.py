@@ -7,7 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from trailmill.llm import common, jaccard, pieces, pii, toxicity
+from trailmill.llm import common, jaccard, mixing, pieces, pii, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -77,3 +77,17 @@ def test_links_are_the_same_by_lean_tasks(spark):
     texts = [" ".join(words), " ".join(words[:-1]), " ".join(words[::-1]), "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["component_id"] for r in jaccard.duplicates(docs, 5, 80, 100).orderBy("doc_id").collect()] == [0, 0, 2, 3, 4]
+
+
+def test_the_mix_moves_a_text_once(spark):
+    rows = [(None if i % 9 == 0 else i, f"one two {i % 4}", "ab"[i % 2], i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+        texts = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "none" in line]
+        assert len(texts) == 2, plan  # the documents, and their numbers of copies
+        assert not [line for line in plan.split("\n") if "Exchange hashpartitioning(id" in line and "none" not in line]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -144,12 +144,14 @@ def mix(docs: DataFrame) -> DataFrame:
     names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     doc_id, source, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "source", "text"))
-    keyed = plain.withColumns({"key": source_key(source), "size": words_in(text)})
+    # plain keys without null: the window below then stands on the join's own shuffle, and a text moves once
+    zero, keys = F.lit(0).cast(docs.schema["doc_id"].dataType), ["id", "none", "k", "s"]
+    keyed = plain.withColumns({"id": F.coalesce(doc_id, zero), "none": doc_id.isNull(), "k": source_key(source), "s": words_in(text)})
     drawn = copies(docs).groupBy("doc_id", "key", "size").agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
-    drawn = drawn.filter("total > 0").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), F.col("size").alias("s"), "total", "rows")
-    joined = keyed.join(drawn, doc_id.eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")) & (F.col("size") == F.col("s")))
+    drawn = drawn.filter("total > 0").select(F.coalesce("doc_id", zero).alias("id"), F.col("doc_id").isNull().alias("none"), F.col("key").alias("k"), F.col("size").alias("s"), "total", "rows")
+    joined = keyed.join(drawn, keys)
     # equal ids, sources and sizes share their draws evenly; nearly always there is one such row
-    nth = F.row_number().over(Window.partitionBy("id", "k", "s").orderBy(text))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(text))
     each = F.floor(F.col("total") / F.col("rows")) + F.when(F.col("nth") <= F.col("total") % F.col("rows"), 1).otherwise(0)
     out = joined.withColumn("nth", nth).withColumn("n", each.cast("int")).filter("n > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
