@@ -1,8 +1,10 @@
 """What a Python worker holds between tasks, and at once."""
 
+import random
 import re
 import sys
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -91,3 +93,59 @@ def test_the_mix_moves_a_text_once(spark):
         assert not [line for line in plan.split("\n") if "Exchange hashpartitioning(id" in line and "none" not in line]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_group_does_not_travel_with_its_pairs(spark):
+    """Texts with one passage in common make a group (here of 177 sets, first in its pairs), each of whose sets has a partner in a group of its own."""
+    rng = random.Random(10)
+    word = lambda: f"w{rng.randrange(1 << 40):x}"
+    passage, docs = [word() for _ in range(22)], []
+    for i in range(700):
+        own = [word() for _ in range(100)]
+        docs += [(i, " ".join(passage + own)), (i + 1000, " ".join(own))]
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = moved()
+    with common.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert got == {i: i % 1000 for i, _ in docs}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    text = sum(len(t) for _, t in docs)
+    assert moved() - before < 10 * text  # 31 times the text when a group went along with each of its pairs
+
+
+def test_a_part_of_a_group_is_the_group_of_its_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (1, 5, 40, 90, 90, 200)]
+    group = jaccard.Group(*jaccard._group(sets))
+    for on in ([2], [0, 1, 5], [1, 3, 4, 5]):
+        part = jaccard.Group(*group.some(np.array(on)))
+        assert [x.tolist() for x in part.sets()] == [sets[i].tolist() for i in on]
+    tokens = group.union[::7]
+    assert [h.tolist() for h in group.holders(tokens)] == [[i for i, x in enumerate(sets) if t in x] for t in tokens]
+
+
+def test_links_over_several_lists_of_what_is_wanted(spark, monkeypatch):
+    """A group opened for a few rows at once gives the links of all pairs."""
+    monkeypatch.setattr(jaccard, "WANTED", 3)
+    rng = random.Random(8)
+    base, data = [f"w{i}" for i in range(60)], []
+    for i in range(40):
+        w = base[:]
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(60)] = f"n{rng.randrange(30)}"
+        data.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(56)} for i, t in data}
+    root = {i: i for i in sets}
+    for _ in range(8):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = jaccard.duplicates(spark.createDataFrame(data, "doc_id long, text string"), 5, 80, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == root
+
+
+def test_counted_buckets_follow_the_text(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abc d "), 1000).alias("text"))
+    assert common.buckets_for(docs, most=6000) == 40 and common.buckets_for(docs) == common.partitions(spark)
+    assert jaccard.COUNTED_BYTES <= 32 << 20

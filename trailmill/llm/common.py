@@ -99,10 +99,10 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def buckets_for(docs: DataFrame, text: str = "text") -> int:
+def buckets_for(docs: DataFrame, text: str = "text", most: int = BUCKET_BYTES) -> int:
     """Buckets of a step that loads a bucket whole: by counted bytes of text, as many as shuffles have at least."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(partitions(docs.sparkSession), -(-int(total) // BUCKET_BYTES))
+    return max(partitions(docs.sparkSession), -(-int(total) // most))
 
 
 def room(entry_bytes: int, share: float = 1.0) -> int:

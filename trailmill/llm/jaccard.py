@@ -17,9 +17,11 @@ shares at least ceil(n num / den) tokens with any partner. The join goes:
 4. Token-group matrix. Tokens are ordered by the number of groups whose union has
    them, rare first; of each set only the first n - ceil(n num / den) + 1 are
    entered (two linked sets share one of these). Groups in one row of the matrix
-   may hold linked sets. Each such pair of groups is bounded by the overlap of
-   the unions, then of a set with the other union; only those that qualify are
-   opened, and sets not yet connected are compared.
+   may hold linked sets. Of each such pair of groups only the sets that have a
+   token of a row the two share, and a size that fits, leave their groups: their
+   selected tokens first, which bound a set's overlap with the other side, then
+   those that qualify, and sets not yet connected are compared. A group itself
+   never travels with its pairs, which are many for a group of many sets.
    In round one the row's smallest group stands for all; in round two only pairs
    whose groups are not yet wholly connected are left.
 5. Components of the links by minimum labels, in staged rounds.
@@ -38,7 +40,7 @@ extra columns, whatever their names, are cut first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,10 @@ from .common import WordHashes, buckets_for, documents, drop_stage, joined, lean
 CHUNK, CHUNK_TOKENS, FLUSH, FLUSH_SETS = 1024, 1 << 20, 1_000_000, 200_000
 #: Sets and tokens in a block of a component while its links are counted (one set at least).
 BLOCK, BLOCK_TOKENS = 512, 1 << 19
+#: Shared tokens, or bytes in 32s of lists of sets, that a task looks up in a group at once; bytes it gathers before it sends them.
+WANTED, SENT = 1 << 15, 1 << 20
+#: Bytes of text that a bucket of counted tokens answers for; a worker takes about five times as many to count it.
+COUNTED_BYTES = 32 << 20
 #: The place of a set without shared tokens.
 NO_LOW = (1 << 63) - 1
 _U = np.uint64
@@ -297,6 +303,23 @@ class Group:
         hits = np.concatenate([[0], np.cumsum((other.union[at] == self.union)[self.places])])
         return hits[self.ends] - hits[self.ends - self.sizes]
 
+    def some(self, on: np.ndarray) -> tuple[bytes, bytes, bytes]:
+        """The group of these sets alone, packed."""
+        if len(on) == 1:
+            return self.sizes[on].tobytes(), self.one(on[0]).tobytes(), b""
+        at = np.concatenate([self.places[e - n : e] for e, n in zip(self.ends[on].tolist(), self.sizes[on].tolist())])
+        kept, places = np.unique(at, return_inverse=True)
+        return self.sizes[on].tobytes(), self.union[kept].tobytes(), places.astype(np.uint32).tobytes()
+
+    def holders(self, tokens: np.ndarray) -> list[np.ndarray]:
+        """The sets that have each of these tokens of the union (ascending, distinct)."""
+        nth = np.full(len(self.union), -1)
+        nth[np.searchsorted(self.union, tokens)] = np.arange(len(tokens))
+        held = nth[self.places]
+        on = np.flatnonzero(held >= 0)
+        on = on[np.argsort(held[on], kind="stable")]
+        return np.split(np.searchsorted(self.ends, on, "right"), np.searchsorted(held[on], np.arange(1, len(tokens))))
+
     def selected(self, stride: int) -> tuple[bytes, bytes, bytes]:
         """The group of the sets' selected tokens, packed."""
         on = self.union % _U(stride) == 0
@@ -355,7 +378,7 @@ def _entries(s: np.ndarray, stride: int, num: int, den: int) -> np.ndarray:
 
 
 def matrix(groups: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
-    """Staged token-group matrix: (token, gid, lo, hi) for the first tokens of the groups' sets that two groups or more have."""
+    """Staged token-group matrix: (token, gid, lo, hi) for the first tokens of the groups' sets that two groups or more have; lo and hi of these sets."""
     stride = stride_of(num, den)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,12 +420,15 @@ def matrix(groups: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
                 other = e % _U(stride) != 0
                 rank = np.lexsort((mix(e), np.where(other, 0, seen), other))[: size - least_shared(size, num, den) + 1]
                 picked.append(e[rank][seen[rank] > 1])
-            got = np.unique(np.concatenate(picked))
+            got, at = np.unique(np.concatenate(picked), return_inverse=True)
+            own = np.repeat(np.frombuffer(sizes, np.int64), [len(p) for p in picked])
+            lo, hi = np.full(len(got), NO_LOW), np.zeros(len(got), np.int64)
+            np.minimum.at(lo, at, own)
+            np.maximum.at(hi, at, own)
             out_t.append(got)
             out_g.append(np.full(len(got), gid, np.int64))
-            own = np.frombuffer(sizes, np.int64)
-            out_lo.append(np.full(len(got), own.min()))
-            out_hi.append(np.full(len(got), own.max()))
+            out_lo.append(lo)
+            out_hi.append(hi)
         return pa.table({"token": np.concatenate(out_t).view(np.int64), "gid": np.concatenate(out_g), "lo": np.concatenate(out_lo), "hi": np.concatenate(out_hi)})
 
     packed = groups.select("gid", "sizes", "tokens", "places").mapInArrow(lean(tokens), "bucket long, tokens binary, gids binary")
@@ -447,54 +473,119 @@ def _cross(one: Group, two: Group, nodes_one: bytes, nodes_two: bytes, num: int,
     return out
 
 
-def _may_join(one: Group, two: Group, sizes_one: bytes, sizes_two: bytes, num: int, den: int) -> bool:
-    """Whether the selected tokens alone (the groups hold no others) leave a link of the two groups possible.
+def _open(one: Group, two: Group, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of the first group's sets, of n tokens each, those whose selected tokens (the groups hold no others) leave a link possible.
 
     A set of n may miss n - ceil(n num / den) of its tokens in a partner, so it
     misses no more of its selected ones in the union of the partner's group.
     """
+    return np.flatnonzero(one.sizes - one.within(two) <= n - least_shared(n, num, den))
 
-    def some(a: Group, b: Group, sizes: bytes) -> bool:
-        n = np.frombuffer(sizes, np.int64)
-        return bool((a.sizes - a.within(b) <= n - least_shared(n, num, den)).any())
 
-    return some(one, two, sizes_one) and some(two, one, sizes_two)
+SIDE = "a long, b long, second boolean, sizes binary, tokens binary, places binary, more binary, sets binary"
+_SIDE = [c.split()[0] for c in SIDE.split(", ")]
 
 
-def bounded(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of groups that qualify by the overlap of their unions' selected tokens, a fraction of their bytes."""
-    stride = stride_of(num, den)
-    fields = ("sizes", "picks", "picked", "spots")
+def sides(wanted: DataFrame, groups: DataFrame, weight, part: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """The two sides of pairs (a, b) of groups, one after the other; wanted has gid, other and what part asks for.
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [g.selected(stride) for g in _groups_in(b)]
-            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("sizes"), *[pa.array([x[i] for x in own], pa.binary()) for i in range(3)]], ["gid", *fields])
+    part(group, nodes, rows by other) yields other, sets and their packed group for what is wanted of a group. A
+    group is opened for rows of a bounded weight at once.
+    """
+    many = wanted.groupBy("gid").agg(F.ceil(F.sum(weight) / WANTED).alias("chunks")).filter("chunks > 1")
+    chunk = F.pmod(F.xxhash64("other"), F.coalesce("chunks", F.lit(1)))
+    of_group = wanted.join(many, "gid", "left").groupBy("gid", chunk.alias("chunk")).agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "gid"])).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
+
+        def sent() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5))], _SIDE)
+            out.clear()
+            return made
+
         for b in batches:
-            hit = [_may_join(*(Group(r[f"{c}_picks"], r[f"{c}_picked"], r[f"{c}_spots"]) for c in "ab"), r["a_sizes"], r["b_sizes"], num, den) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            for gid, nodes, rows, group in zip(b.column("gid").to_pylist(), b.column("nodes").to_pylist(), b.column("wanted"), _groups_in(b)):
+                rows = pa.RecordBatch.from_struct_array(rows.values)
+                rows = rows.take(pc.sort_indices(rows, [("other", "ascending")]))
+                for other, *side in part(group, np.frombuffer(nodes, np.int64), rows):
+                    out.append((min(gid, other), max(gid, other), gid > other, *side))
+                    held += sum(map(len, side)) + 64
+                    if held > SENT:
+                        yield sent()
+                        held = 0
+        if out:
+            yield sent()
+
+    made = groups.select("gid", "sizes", "tokens", "places", "nodes").join(of_group, "gid").select("gid", "sizes", "tokens", "places", "nodes", "wanted").mapInArrow(lean(run), SIDE)
+    return made.repartition(partitions(groups.sparkSession), "a", "b").sortWithinPartitions("a", "b", "second")
+
+
+def _runs(rows: pa.RecordBatch) -> Iterator[tuple[int, int, int]]:
+    """other, start and end of the rows of each."""
+    other = np.asarray(rows.column("other"))
+    cuts = [0, *(np.flatnonzero(other[1:] != other[:-1]) + 1).tolist(), len(other)]
+    for low, high in zip(cuts, cuts[1:]):
+        yield int(other[low]), low, high
+
+
+def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
+    """The pairs of which both sides have a set left."""
+    last = None
+    for b in batches:
+        for r in zip(*(b.column(c).to_pylist() for c in _SIDE)):
+            if last and last[:2] == r[:2]:
+                yield last, r
+            last = r
+
+
+def bounded(candidates: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Staged gid, other, sets: for the pairs of groups in candidates (token, a, b and the sizes of either's sets that have
+    the token) the sets that may link by their selected tokens, a fraction of their bytes."""
+    stride = stride_of(num, den)
 
-    unions = groups.select("gid", "sizes", "tokens", "places").mapInArrow(lean(pick), "gid long, sizes binary, picks binary, picked binary, spots binary")
-    side = lambda c: unions.select(F.col("gid").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fields])
-    return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a long, b long"), "jaccard-bounded")
+    def part(group: Group, nodes: np.ndarray, rows: pa.RecordBatch) -> Iterator[tuple]:
+        distinct, nth = np.unique(np.asarray(rows.column("token")).view(_U), return_inverse=True)
+        held, lo, hi = group.holders(distinct), np.asarray(rows.column("lo")), np.asarray(rows.column("hi"))
+        few = Group(*group.selected(stride))
+        for other, low, high in _runs(rows):
+            on = np.unique(np.concatenate([held[i] for i in nth[low:high]]))
+            n = group.sizes[on]
+            on = on[(n * den >= num * lo[low:high].min()) & (n * num <= den * hi[low:high].max())]
+            if len(on):
+                yield other, *few.some(on), group.sizes[on].tobytes(), on.astype(np.uint32).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r1, r2 in _both(batches):
+            one, two = Group(*r1[3:6]), Group(*r2[3:6])
+            on = [np.frombuffer(r[7], np.uint32)[_open(x, y, np.frombuffer(r[6], np.int64), num, den)] for r, x, y in ((r1, one, two), (r2, two, one))]
+            if len(on[0]) and len(on[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(r1[:2], pa.int64()), pa.array(r1[1::-1], pa.int64()), pa.array([x.tobytes() for x in on], pa.binary())], ["gid", "other", "sets"])
+
+    side = lambda gid, other: F.struct(F.col(gid).alias("gid"), F.col(other).alias("other"), "token", F.col(f"lo_{other}").alias("lo"), F.col(f"hi_{other}").alias("hi"))
+    wanted = candidates.select(F.inline(F.array(side("a", "b"), side("b", "a"))))
+    return stage(sides(wanted, groups, F.lit(1), part).mapInArrow(lean(run), "gid long, other long, sets binary"), "jaccard-bounded")
 
 
 def opened(candidates: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of nodes found in the pairs (a, b) of groups that qualify."""
-    fields = ("sizes", "tokens", "places", "nodes")
-    pairs = bounded(candidates, groups, num, den)
+    """Links (a, b) of nodes found in the pairs of groups that qualify."""
+    wanted = bounded(candidates, groups, num, den)
+
+    def part(group: Group, nodes: np.ndarray, rows: pa.RecordBatch) -> Iterator[tuple]:
+        for other, sets in zip(rows.column("other").to_pylist(), rows.column("sets").to_pylist()):
+            on = np.frombuffer(sets, np.uint32)
+            yield other, *group.some(on), nodes[on].tobytes(), b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in zip(*(b.column(f"{c}_{f}").to_pylist() for c in "ab" for f in fields)):
-                found = _cross(Group(*r[:3]), Group(*r[4:7]), r[3], r[7], num, den)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        for one, two in _both(batches):
+            found = _cross(Group(*one[3:6]), Group(*two[3:6]), one[6], two[6], num, den)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    side = lambda c: groups.select(F.col("gid").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fields])
-    return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a long, b long"), "jaccard-links")
+    links_ = stage(sides(wanted, groups, F.octet_length("sets") / 32 + 1, part).mapInArrow(lean(run), "a long, b long"), "jaccard-links")
+    drop_stage(wanted)
+    return links_
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -612,10 +703,12 @@ def link_counts(groups: DataFrame, rooted: DataFrame, num: int, den: int) -> Dat
 def group_links(groups: DataFrame, members: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
     """node, root of the connected nodes (nodes without links are left out)."""
     entries = matrix(groups, num, den, buckets)
-    fits = (F.col("hi") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo") * num)
+    groups = stage(groups.select("gid", "sizes", "tokens", "places", "nodes").join(entries.select("gid").distinct(), "gid", "left_semi"), "jaccard-entered")
+    fits = (F.col("hi_a") * den >= F.col("lo_b") * num) & (F.col("hi_b") * den >= F.col("lo_a") * num)
+    of = lambda side, gid="gid", lo="lo", hi="hi": [F.col(gid).alias(side), F.col(lo).alias(f"lo_{side}"), F.col(hi).alias(f"hi_{side}")]
     centre = entries.groupBy("token").agg(F.min(F.struct("gid", "lo", "hi")).alias("c"), F.max("gid").alias("z")).filter("c.gid <> z")
-    centre = centre.select("token", F.col("c.gid").alias("a"), F.col("c.lo").alias("lo2"), F.col("c.hi").alias("hi2"))
-    stars = stage(entries.join(centre, "token").filter(fits & (F.col("gid") != F.col("a"))).select("a", F.col("gid").alias("b")).distinct(), "jaccard-stars")
+    centre = centre.select("token", *of("a", "c.gid", "c.lo", "c.hi"))
+    stars = stage(entries.select("token", *of("b")).join(centre, "token").filter(fits & (F.col("a") != F.col("b"))), "jaccard-stars")
     found = opened(stars, groups, num, den)
     roots = components(found)
     # a group whose nodes have one root by now is known by that root, any other by itself
@@ -624,11 +717,13 @@ def group_links(groups: DataFrame, members: DataFrame, num: int, den: int, bucke
     rooted = entries.join(state, F.col("gid") == F.col("g")).drop("g")
     mixed = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
     rest = rooted.join(mixed, "token", "left_semi")
-    two = rest.select("token", F.col("gid").alias("gid2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("root").alias("root2"))
-    pairs = rest.join(two, "token").filter(fits & (F.col("gid") < F.col("gid2")) & (F.col("root") != F.col("root2"))).select(F.col("gid").alias("a"), F.col("gid2").alias("b")).distinct()
-    more = opened(pairs.join(stars, ["a", "b"], "left_anti"), groups, num, den)
-    drop_stage(entries)
-    drop_stage(stars)
+    one, two = rest.select("token", *of("a"), F.col("root").alias("root_a")), rest.select("token", *of("b"), F.col("root").alias("root_b"))
+    pairs = one.join(two, "token").filter(fits & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).drop("root_a", "root_b")
+    # a pair of a star has been looked through for the sets of its token only
+    pairs = stage(pairs.join(stars.select("token", "a", "b"), ["token", "a", "b"], "left_anti"), "jaccard-pairs")
+    more = opened(pairs, groups, num, den)
+    for done in (entries, groups, stars, pairs):
+        drop_stage(done)
     if more.limit(1).count():
         return components(found.union(more))
     return roots
@@ -640,7 +735,7 @@ def duplicates(docs: DataFrame, words: int, num: int, den: int, counted: bool =
     n_links is the number of other shingle sets that link with the row's own, however many rows have them: copies
     of one text are one set. It is 0 for a row without words, without a doc_id or without such a partner.
     """
-    buckets = buckets_for(docs)
+    buckets = buckets_for(docs, most=COUNTED_BYTES)
     surveyed = survey(docs, words, num, den, buckets)
     known = stage(classes(surveyed, num, den), "jaccard-classes")
     rows = stage(surveyed.filter("bucket < 0").select("doc_id", "n", "key"), "jaccard-rows")
