@@ -4,6 +4,7 @@ import random
 import re
 import sys
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -95,21 +96,25 @@ def test_the_mix_moves_a_text_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_a_group_does_not_travel_with_its_pairs(spark):
+@pytest.mark.parametrize("of", ["operator", "pipeline"])
+def test_a_group_does_not_travel_with_its_pairs(spark, of):
     """Texts with one passage in common make a group (here of 177 sets, first in its pairs), each of whose sets has a partner in a group of its own."""
     rng = random.Random(10)
     word = lambda: f"w{rng.randrange(1 << 40):x}"
-    passage, docs = [word() for _ in range(22)], []
+    passage, rows = [word() for _ in range(22)], []
     for i in range(700):
         own = [word() for _ in range(100)]
-        docs += [(i, " ".join(passage + own)), (i + 1000, " ".join(own))]
+        rows += [(i, " ".join(passage + own)), (i + 1000, " ".join(own))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
     before = moved()
     with common.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
-        got = {r["doc_id"]: r["component_id"] for r in jaccard.duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80, 100).collect()}
-    assert got == {i: i % 1000 for i, _ in docs}
+        if of == "operator":
+            assert {r["doc_id"]: r["component_id"] for r in jaccard.duplicates(docs, 5, 80, 100).collect()} == {i: i % 1000 for i, _ in rows}
+        else:
+            assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(700))
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    text = sum(len(t) for _, t in docs)
+    text = sum(len(t) for _, t in rows)
     assert moved() - before < 10 * text  # 31 times the text when a group went along with each of its pairs
 
 
